@@ -8,9 +8,9 @@ the count are verified in double precision, so the result is exact but for the b
 
 So that not all pairs are counted, rows are blocked by the signs of the first K projections, K growing with the
 logarithm of the rows: a query looks into the blocks that its window crosses into, that is those whose signs differ
-from its own on axes F with sum over F of x_k^2 within a budget.  Of a pair one side has at most half of the squared
-difference on the axes of different sign; the budget is half the part of d^2 that K axes hold with the probability
-`recall` (a Beta distribution, by simulation with a fixed seed).
+from its own on axes F with sum over F of x_k^2 within a budget.  The budget is calibrated by simulation so that of
+pairs right at the limit all but 1 - recall (0.0001) are seen from one of the two sides; closer pairs are seen more
+surely.
 """
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ from .common import connected_components, written
 #: Rows of a block that meet in one task; larger blocks are cut into parts that meet in pairs.
 PART = 4_000
 #: Rows on average in a block.
-FILL = 64
+FILL = 128
+#: Rows that are dealt to their blocks at a time.
+ROWS = 500
 
 
 def basis(size: int, seed: int = 3) -> np.ndarray:
@@ -33,18 +35,24 @@ def basis(size: int, seed: int = 3) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def _probe_budget(size: int, axes: int, squared: float, recall: float) -> float:
-    """Half of what of a squared difference falls on so many of the axes, but for a chance of 1 - recall."""
-    if axes >= size:
-        return squared / 2
-    z = np.random.default_rng(9).standard_normal((200_000, size)) ** 2 if size <= 8 else None
-    if z is None:
-        rng = np.random.default_rng(9)
-        part, rest = rng.chisquare(axes, 200_000), rng.chisquare(size - axes, 200_000)
-        share = part / (part + rest)
-    else:
-        share = z[:, :axes].sum(1) / z.sum(1)
-    return float(np.quantile(share, recall)) * squared / 2
+def _probe_budget(size: int, axes: int, cosine: float, recall: float, pairs: int = 100_000) -> float:
+    """What a query may spend on axes of other sign, to find so large a part of the pairs at the limit itself.
+
+    By simulation: of random pairs with that cosine, the smaller one of the two sides' sums; the turn of the axes
+    makes any pair a random one.
+    """
+    rng = np.random.default_rng(9)
+    sums, step = [], max(1, 2_000_000 // size)
+    for first in range(0, pairs, step):
+        n = min(step, pairs - first)
+        x, z = rng.standard_normal((2, n, size))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        z -= (z * x).sum(axis=1)[:, None] * x
+        z /= np.maximum(np.linalg.norm(z, axis=1), 1e-300)[:, None]
+        a, b = x[:, :axes], (cosine * x + np.sqrt(1 - cosine**2) * z)[:, :axes]
+        differ = (a >= 0) != (b >= 0)
+        sums.append(np.minimum((a * a * differ).sum(axis=1), (b * b * differ).sum(axis=1)))
+    return float(np.quantile(np.concatenate(sums), recall))
 
 
 def _cost(x: np.ndarray) -> np.ndarray:
@@ -202,23 +210,23 @@ def _links(distinct: DataFrame, size: int, count: int, cosine: float, recall: fl
     w = 0.75 * np.sqrt(squared / 10) * np.sqrt(64 / size)
     need = max(1, size - int(squared / (w * w) + 1e-9))
     axes = int(min(size, 20, max(0, np.ceil(np.log2(max(1, count) / FILL)))))
-    budget = int(_probe_budget(size, axes, squared, recall) * (1 << 44)) if axes else 0
+    budget = int(_probe_budget(size, axes, cosine, recall) * (1 << 44)) if axes else 0
     kind = np.float32 if dict(distinct.dtypes)["v"] == "array<float>" else np.float64
 
     def place(batches):
         q = basis(size)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat = batch.column("v").flatten().to_numpy().astype(kind).reshape(batch.num_rows, size)
-            blobs = [r.tobytes() for r in flat]
-            x = _unit(blobs, kind) @ q
-            vec, rows = batch.column("vec").to_numpy(), batch.column("rows").to_numpy()
-            codes = [_codes(r[:axes], budget) for r in x]
-            n = np.array([len(c) for c in codes])
-            at = np.repeat(np.arange(len(n)), n)
-            block = np.array([c for cs in codes for c in cs], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(vec[at]), pa.array(rows[at]), pa.array(np.array([c[0] for c in codes], np.int64)[at]), pa.array(block), pa.array([blobs[i] for i in at], pa.binary())], names=["vec", "rows", "home", "block", "x"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(first, ROWS)
+                flat = batch.column("v").flatten().to_numpy().astype(kind).reshape(batch.num_rows, size)
+                blobs = [r.tobytes() for r in flat]
+                x = _unit(blobs, kind) @ q
+                vec, rows = batch.column("vec").to_numpy(), batch.column("rows").to_numpy()
+                codes = [_codes(r[:axes], budget) for r in x]
+                n = np.array([len(c) for c in codes])
+                at = np.repeat(np.arange(len(n)), n)
+                block = np.array([c for cs in codes for c in cs], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(vec[at]), pa.array(rows[at]), pa.array(np.array([c[0] for c in codes], np.int64)[at]), pa.array(block), pa.array([blobs[i] for i in at], pa.binary())], names=["vec", "rows", "home", "block", "x"])
 
     placed = written(distinct.select("vec", "rows", "v").mapInArrow(place, "vec long, rows long, home long, block long, x binary"))
     # parts: blocks with many members or queries are cut, and each part of queries meets each part of members
