@@ -15,7 +15,7 @@ from .common import shuffle_partitions, small, written
 UNIT = re.compile(r"[^\n]*?[.!?]+(?=[ \t\r\f\v])|[^\n]+")
 #: Documents with removed spans that may be broadcast; beyond that the texts are shuffled.
 BROADCAST_DOCS = 500_000
-BUFFER = 1_000_000
+BUFFER = 400_000
 LAST = 2**63 - 1
 
 

@@ -29,7 +29,7 @@ from .common import chunks, connected_components, mixed, shingles, shuffle_parti
 #: Rows of ids that may be broadcast (16 bytes each); beyond that the texts are shuffled to them.
 BROADCAST_ROWS = 4_000_000
 #: A map task sends its part of all fragments when it holds so many shingles.
-BUFFER = 4_000_000
+BUFFER = 1_000_000
 
 
 def _digest(text: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
