@@ -1,2 +1,151 @@
-def sql():
-    return {}
+"""The same results in plain SQL, to hold the queries against."""
+
+from __future__ import annotations
+
+from .. import dims
+from ..functions.columns import ISSUE, SHAPES
+from ..sources.bridge import CLASSES, VIEWS
+
+
+def _case(value: str, table: dict[str, str], other: str = "NULL") -> str:
+    return f"CASE {value} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE {other} END"
+
+
+def _category(name: str) -> str:
+    return "CASE " + " ".join(f"WHEN contains(lower({name}), '{w}') THEN '{c}'" for c, ws in dims.KEYWORDS.items() for w in ws.split(", ")) + " ELSE 'other' END"
+
+
+_TYPE = lambda c: _case(c, dims.ENTITY_TYPES, "'unknown'")
+_SHAPE = "CASE " + " ".join(f"WHEN h BETWEEN {a} AND {b} AND w BETWEEN {c} AND {d} AND h / w BETWEEN {e} AND {f} THEN '{n}'" for n, (a, b, c, d, e, f) in SHAPES.items()) + " END"
+_R = lambda g: f"nullif(regexp_extract(t, '^(\\d{{1,2}})[\"”]?\\s*[-]?\\s*([A-Z]{{1,4}})\\s*[-]\\s*(\\d{{3,5}})\\s*[-]?\\s*([A-Z0-9]{{1,4}})?\\s*[-]?\\s*([A-Z])?$', {g}, 'i'), '')"
+_E = lambda g: f"nullif(regexp_extract(upper(t), '^([A-Z])([- ]?)(\\d{{1,5}})\\s*([A-Z](?:\\s*/\\s*[A-Z])?)?$', {g}), '')"
+_I = lambda g: f"nullif(regexp_extract(upper(t), '^([A-Z]{{2,4}})[- ]?(\\d{{1,5}})([A-Z])?(?:\\s*/\\s*(\\d{{1,5}}))?$', {g}), '')"
+_FUNCTION = _case("c", dims.FUNCTIONS)
+
+# No lookbehind here: a replaced letter is followed by a digit or the end, so replacing twice is the same.
+CHAIN = {
+    "n0": "SELECT *, trim(text) AS a FROM texts",
+    "n1": r"SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(a, '(\d)O(\d|$)', '\10\2', 'g'), '(\d)O(\d|$)', '\10\2', 'g'), '(\d)I(\d|$)', '\11\2', 'g'), '(\d)I(\d|$)', '\11\2', 'g'), '(\d)l(\d|$)', '\11\2', 'g'), '(\d)l(\d|$)', '\11\2', 'g') AS b FROM n0",
+    "n2": r"SELECT *, regexp_replace(regexp_replace(b, '^[+\-./]+([A-Z])', '\1'), '([A-Z])\s+(\d)', '\1-\2', 'g') AS t FROM n1",
+    "n3": f"""SELECT *, {_R(1)} AS l1, {_R(2)} AS l2, {_R(3)} AS l3, {_R(4)} AS l4, {_R(5)} AS l5, {_E(1)} AS e1, {_E(3)} AS e3, replace({_E(4)}, ' ', '') AS e4,
+        coalesce({_I(1)}, nullif(regexp_extract(upper(t), '^([A-Z]{{2,4}})$', 1), ''), nullif(regexp_extract(upper(t), '^([A-Z])([- ]?)(\\d{{1,5}})$', 1), '')) AS i1,
+        coalesce({_I(2)}, nullif(regexp_extract(upper(t), '^([A-Z])([- ]?)(\\d{{1,5}})$', 3), '')) AS i2, {_I(3)} AS i3, {_I(4)} AS i4,
+        regexp_matches(t, '^(\\d{{2,4}})\\s*#|^(CS|SS|A105|A106|A312|A234|ASTM)\\s*\\d*', 'i') AS spec, nullif(regexp_extract(t, '^(\\d{{1,2}}(?:/\\d{{1,2}})?)\\s*["”]$', 1), '') AS sz FROM n2""",
+    "n4": f"SELECT *, {_case('e1', dims.EQUIPMENT_LETTERS)} AS ek, {_case('left(i1, 1)', dims.VARIABLES)} AS iv, list_transform(string_split(substr(i1, 2), ''), lambda c: {_FUNCTION}) AS fs FROM n3",
+    "n5": f"""SELECT *, CASE WHEN l1 IS NOT NULL THEN 'line_number' WHEN spec THEN 'specification' WHEN ek IS NOT NULL THEN 'equipment_tag'
+        WHEN iv IS NOT NULL AND (CASE WHEN length(i1) = 1 THEN {_case('i1', dims.EQUIPMENT_LETTERS)} IS NULL ELSE len(list_filter(fs, lambda f: f IS NULL)) = 0 END) THEN 'instrument_tag'
+        WHEN sz IS NOT NULL THEN 'pipe_size' WHEN length(t) > 3 THEN 'description' ELSE 'unknown' END AS tag_type, CASE WHEN length(i1) > 1 THEN list_aggregate(fs, 'string_agg', '/') END AS fn FROM n4""",
+    "tags": f"""SELECT *, CASE tag_type WHEN 'line_number' THEN concat_ws('-', l1 || '"', l2, l3, l4, l5) WHEN 'equipment_tag' THEN concat(e1, '-', e3, e4) WHEN 'instrument_tag' THEN concat(i1, '-' || i2, i3, '/' || i4) ELSE t END AS tag_id,
+        CASE tag_type WHEN 'line_number' THEN concat(l1, '" ', coalesce({_case('upper(l2)', dims.SERVICES)}, 'Service (' || l2 || ')'), ' Line ', l3) WHEN 'specification' THEN 'Specification: ' || t WHEN 'equipment_tag' THEN ek WHEN 'instrument_tag' THEN concat_ws(' ', iv, fn)
+          WHEN 'pipe_size' THEN sz || ' inch pipe' WHEN 'description' THEN t END AS parsed_description,
+        CASE tag_type WHEN 'line_number' THEN l3 WHEN 'equipment_tag' THEN e3 WHEN 'instrument_tag' THEN i2 END AS loop_number, CASE tag_type WHEN 'line_number' THEN l1 || '"' WHEN 'pipe_size' THEN sz || '"' END AS pipe_size,
+        CASE tag_type WHEN 'line_number' THEN l4 WHEN 'specification' THEN t END AS pipe_spec FROM n5""",
+    "cand": "SELECT s.doc_id, s.page, s.det_ord, x.text_ord, sqrt((s.cx - x.cx) * (s.cx - x.cx) + (s.cy - x.cy) * (s.cy - x.cy)) AS dist FROM symbols s JOIN texts x ON s.page = x.page WHERE sqrt((s.cx - x.cx) * (s.cx - x.cx) + (s.cy - x.cy) * (s.cy - x.cy)) <= 350",
+    "m0": "SELECT doc_id, page, list({'d': dist, 'l': det_ord, 'r': text_ord} ORDER BY dist, det_ord, text_ord) AS c FROM cand GROUP BY doc_id, page",
+    "m1": "SELECT doc_id, page, c, list_reduce(list_transform(c, lambda e: [e]), lambda m, e: CASE WHEN len(list_filter(m, lambda k: k.l = e[1].l OR k.r = e[1].r)) > 0 THEN m ELSE list_concat(m, e) END) AS m1 FROM m0",
+    "m2": "SELECT doc_id, page, unnest(list_reduce(list_concat([m1], list_transform(c, lambda e: [e])), lambda m, e: CASE WHEN len(list_filter(m, lambda k: k.r = e[1].r)) > 0 OR len(list_filter(m, lambda k: k.l = e[1].l)) >= 3 THEN m ELSE list_concat(m, e) END)) AS k FROM m1",
+    "given": "SELECT doc_id, page, k.l AS det_ord, k.r AS text_ord, k.d AS dist, row_number() OVER (PARTITION BY doc_id, page, k.l ORDER BY k.d, k.r) AS place FROM m2",
+    "labels": "SELECT g.*, t.confidence AS ocr, t.tag_type, t.tag_id, t.parsed_description, t.pipe_size, t.pipe_spec FROM given g JOIN tags t ON g.page = t.page AND g.text_ord = t.text_ord",
+    "per": """SELECT page, det_ord, count(*) AS texts, avg(ocr) AS ocr, arg_min(tag_type, place) FILTER (WHERE tag_type IN ('instrument_tag', 'equipment_tag')) AS tag_type, arg_min(tag_id, place) FILTER (WHERE tag_type IN ('instrument_tag', 'equipment_tag')) AS tag_id,
+        arg_min(parsed_description, place) FILTER (WHERE tag_type IN ('instrument_tag', 'equipment_tag')) AS description, arg_min(pipe_size, place) FILTER (WHERE tag_type = 'pipe_size') AS size, arg_min(pipe_spec, place) FILTER (WHERE tag_type = 'specification') AS specification FROM labels GROUP BY page, det_ord""",
+    "every": f"""SELECT s.doc_id, s.page, 0 AS kind, s.det_ord AS ord, p.tag_id, CASE p.tag_type WHEN 'equipment_tag' THEN 'equipment' WHEN 'instrument_tag' THEN 'instruments' ELSE {_category('class_name')} END AS category, coalesce(p.description, class_name) AS description, p.size, p.specification, cx AS x, cy AS y, s.confidence AS det, p.ocr, coalesce(p.texts, 0) AS texts
+        FROM symbols s LEFT JOIN per p ON s.page = p.page AND s.det_ord = p.det_ord
+        UNION ALL SELECT t.doc_id, t.page, 1, t.text_ord, t.tag_id, CASE tag_type WHEN 'instrument_tag' THEN 'instruments' ELSE 'equipment' END, t.parsed_description, t.pipe_size, t.pipe_spec, t.cx, t.cy, NULL, t.confidence, 1 FROM tags t ANTI JOIN given g ON t.page = g.page AND t.text_ord = g.text_ord WHERE t.tag_type IN ('instrument_tag', 'equipment_tag')""",
+    "ents": f"""SELECT *, {_TYPE('category')} AS entity_type, row_number() OVER (PARTITION BY doc_id ORDER BY page, kind, ord) AS node_ord,
+        CASE WHEN det IS NOT NULL AND ocr IS NOT NULL THEN det * 0.4::DOUBLE + ocr * 0.35::DOUBLE + (CASE WHEN tag_id IS NOT NULL THEN 0.9::DOUBLE ELSE 0.3::DOUBLE END) * 0.25::DOUBLE WHEN det IS NOT NULL THEN det * 0.6::DOUBLE ELSE ocr * 0.5::DOUBLE + (CASE WHEN tag_id IS NOT NULL THEN 0.9::DOUBLE ELSE 0.3::DOUBLE END) * 0.2::DOUBLE END AS confidence FROM every""",
+    "near": "SELECT a.doc_id, a.page, a.node_ord AS i, b.node_ord AS j, a.x AS ax, b.x AS bx, a.y AS ay, b.y AS bty, a.entity_type AS ta, b.entity_type AS tb, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM ents a JOIN ents b ON a.page = b.page AND a.node_ord < b.node_ord",
+    "graph": """SELECT doc_id, page, CASE WHEN ax <= bx THEN i ELSE j END AS src, CASE WHEN ax <= bx THEN j ELSE i END AS dst, dist AS distance, dist / (CASE WHEN abs(ay - bty) < 30 THEN 1.5::DOUBLE WHEN abs(ax - bx) < 30 THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END) * 1.0::DOUBLE AS weight,
+        CASE WHEN (ta = 'instrument' OR tb = 'instrument') AND dist < 80 THEN 'signal' ELSE 'piping' END AS connection_type FROM near WHERE dist <= 200""",
+    "ends": "SELECT doc_id, src AS node, dst AS other FROM graph UNION ALL SELECT doc_id, dst, src FROM graph",
+    "loop_members": "SELECT DISTINCT e.doc_id, e.node_ord, t.loop_number AS loop FROM ents e JOIN tagged t ON t.page = e.page AND t.kind = e.kind AND t.ord = e.ord WHERE e.entity_type = 'instrument' AND t.loop_number IS NOT NULL",
+    "tagged": "SELECT g.page, 0 AS kind, g.det_ord AS ord, t.loop_number FROM given g JOIN tags t ON g.page = t.page AND g.text_ord = t.text_ord UNION ALL SELECT page, 1, text_ord, loop_number FROM tags",
+    "loops": "SELECT *, row_number() OVER (PARTITION BY doc_id, loop ORDER BY node_ord) AS place, lead(node_ord) OVER (PARTITION BY doc_id, loop ORDER BY node_ord) AS dst FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, loop) AS size FROM loop_members) m WHERE size > 1",
+}
+_ID = "'E' || CASE WHEN length(node_ord::VARCHAR) < 4 THEN lpad(node_ord::VARCHAR, 4, '0') ELSE node_ord::VARCHAR END"
+_OLD = "(VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(["Back Pressure Regulator", "BackPressure Regulator", "bolier", "Boiler", "Gate_Valve", "Gate Valve", "Level Trasmitter", "Reformer", "reformer", "Ball_valve", "Ball Valve", "Pump", "Tee", "Elbow", "Cap", "Drum", "Fan", "Motor"])) + ") o(id, name)"
+_NEW = "(VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(CLASSES)) + ") c(id, name)"
+_SAME = {m: g[0] for g in dims.SAME_CLASS for m in g}
+_MERGED = f"(SELECT name, row_number() OVER (ORDER BY o, id) - 1 AS new_id FROM (SELECT name, min(o) AS o, arg_min(id, o * 1000 + id) AS id FROM (SELECT name, 0 AS o, id FROM {_NEW} UNION ALL SELECT name, 1, id FROM {_OLD}) u WHERE name <> 'Tee' GROUP BY name) g)"
+
+FINAL = {
+    "tag_parse": """SELECT doc_id, page, text_ord, t AS raw_text, tag_type, tag_id, CASE tag_type WHEN 'instrument_tag' THEN iv END AS primary_variable, CASE tag_type WHEN 'instrument_tag' THEN fn END AS function, loop_number, CASE tag_type WHEN 'equipment_tag' THEN e4 WHEN 'instrument_tag' THEN i3 END AS suffix,
+        CASE tag_type WHEN 'equipment_tag' THEN ek END AS equipment_type, pipe_size, pipe_spec, CASE tag_type WHEN 'line_number' THEN upper(l2) END AS service_code, parsed_description FROM tags""",
+    "tag_type_counts": "SELECT tag_type, count(*) AS n FROM tags GROUP BY 1",
+    "ocr_text_valid": r"""SELECT doc_id, page, text_ord, CASE WHEN length(trim(text)) = 0 THEN false WHEN length(trim(text)) <= 2 AND regexp_matches(trim(text), '^\d+$') THEN true WHEN length(trim(text)) = 1 THEN false WHEN regexp_matches(trim(text), '^[^a-zA-Z0-9]+$|^[oe]{1,3}$|^[ry]{1,2}$', 'i') THEN false
+        ELSE length(regexp_replace(trim(text), '[^a-zA-Z0-9\-_./() ]', '', 'g')) * 2 >= length(trim(text)) END AS valid FROM texts""",
+    "symbol_classify": f"SELECT class_name, {_category('class_name')} AS category, {_TYPE(_category('class_name'))} AS entity_type FROM (SELECT DISTINCT class_name FROM symbols) s",
+    "class_coverage": f"SELECT category, count(*) AS n, coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE category = 'other'), '') AS unmapped FROM (SELECT name, {_category('name')} AS category FROM (SELECT name FROM {_OLD} UNION ALL SELECT name FROM {_NEW}) n) k GROUP BY 1",
+    "blob_filter": "SELECT doc_id, page, blob_ord FROM blobs WHERE h BETWEEN 12 AND 130 AND w BETWEEN 5 AND 700 AND area >= 30 AND w / h BETWEEN 0.15 AND 12 AND area / (w * h) BETWEEN 0.08 AND 0.90",
+    "word_groups": """SELECT doc_id, page, isl AS island, count(*) AS blobs, greatest(0, min(x) - 4) AS x, greatest(0, min(y) - 4) AS y, max(x + w) - min(x) + 8 AS w, max(y + h) - min(y) + 8 AS h FROM (SELECT *, sum(f) OVER (PARTITION BY page ORDER BY x, blob_ord)::BIGINT - 1 AS isl FROM (
+        SELECT *, CASE WHEN x - (lag(x) OVER p + lag(w) OVER p) <= (h + lag(h) OVER p) / 2 * 1.8 AND least(y + h, lag(y) OVER p + lag(h) OVER p) - greatest(y, lag(y) OVER p) >= least(h, lag(h) OVER p) * 0.4 THEN 0 ELSE 1 END AS f
+        FROM blobs WHERE h BETWEEN 12 AND 130 AND w BETWEEN 5 AND 700 AND area >= 30 AND w / h BETWEEN 0.15 AND 12 AND area / (w * h) BETWEEN 0.08 AND 0.90 WINDOW p AS (PARTITION BY page ORDER BY x, blob_ord)) a) b GROUP BY doc_id, page, isl""",
+    "fragment_merge": """SELECT doc_id, page, isl AS island, string_agg(text, '' ORDER BY cx, text_ord) AS text, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM (SELECT *, sum(f) OVER (PARTITION BY page ORDER BY cx, text_ord)::BIGINT - 1 AS isl FROM (
+        SELECT *, CASE WHEN x1 - lag(x2) OVER p < (h + lag(h) OVER p) / 2 * 2.5 AND abs(cy - lag(cy) OVER p) < (h + lag(h) OVER p) / 2 * 0.7 THEN 0 ELSE 1 END AS f FROM (SELECT *, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, y2 - y1 AS h FROM words) w WINDOW p AS (PARTITION BY page ORDER BY cx, text_ord)) a) b GROUP BY doc_id, page, isl""",
+    "ocr_dedup": "SELECT doc_id, page, text_ord FROM (SELECT *, row_number() OVER (PARTITION BY page, lower(text), floor((x1 + x2) / 20), floor((y1 + y2) / 20) ORDER BY text_ord) AS n FROM words WHERE confidence >= 0.2 AND x2 - x1 >= 3 AND y2 - y1 >= 3 AND text <> '|') q WHERE n = 1",
+    "nms": """SELECT doc_id, page, k.o AS det_ord, k.n AS rank FROM (SELECT doc_id, page, unnest(list_transform(m, lambda e, i: {'o': e.o, 'n': i - 1})) AS k FROM (SELECT doc_id, page, list_reduce(list_transform(c, lambda e: [e]), lambda m, e: CASE WHEN len(list_filter(m, lambda k: (CASE WHEN least(k.x2, e[1].x2) > greatest(k.x1, e[1].x1) AND least(k.y2, e[1].y2) > greatest(k.y1, e[1].y1)
+        THEN (least(k.x2, e[1].x2) - greatest(k.x1, e[1].x1)) * (least(k.y2, e[1].y2) - greatest(k.y1, e[1].y1)) / ((k.x2 - k.x1) * (k.y2 - k.y1) + (e[1].x2 - e[1].x1) * (e[1].y2 - e[1].y1) - (least(k.x2, e[1].x2) - greatest(k.x1, e[1].x1)) * (least(k.y2, e[1].y2) - greatest(k.y1, e[1].y1))) ELSE 0 END) > 0.45)) > 0 THEN m ELSE list_concat(m, e) END) AS m
+        FROM (SELECT doc_id, page, list({'o': det_ord, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2} ORDER BY confidence DESC, det_ord) AS c FROM dense GROUP BY doc_id, page) a) b) d""",
+    "detection_summary": "SELECT class_name, count(*) AS n, avg(confidence) AS avg_confidence FROM symbols GROUP BY 1",
+    "label_candidates": "SELECT doc_id, page, count(*) AS n, max(dist) AS far FROM cand GROUP BY 1, 2",
+    "label_assignment": "SELECT doc_id, page, det_ord, text_ord, dist, place FROM given",
+    "unassigned_text": "SELECT t.doc_id, t.page, t.text_ord FROM texts t ANTI JOIN given g ON t.page = g.page AND t.text_ord = g.text_ord",
+    "entities": f"SELECT doc_id, page, {_ID} AS entity_id, tag_id, entity_type, category, description, size, specification, confidence, confidence < 0.6 AS needs_review FROM ents",
+    "confidence_stats": "SELECT doc_id, count(*) AS total, round(avg(confidence), 6) AS avg_confidence, min(confidence) AS min_confidence, max(confidence) AS max_confidence, count(*) FILTER (WHERE confidence < 0.6) AS needs_review, count(*) FILTER (WHERE confidence >= 0.8) AS high, count(*) FILTER (WHERE confidence >= 0.6 AND confidence < 0.8) AS medium FROM ents GROUP BY 1",
+    "edges": "SELECT * FROM graph",
+    "degree": f"SELECT e.doc_id, {_ID} AS entity_id, count(d.n) AS degree FROM ents e LEFT JOIN (SELECT doc_id, node, 1 AS n FROM ends) d ON e.doc_id = d.doc_id AND e.node_ord = d.node GROUP BY 1, 2",
+    "neighbors": "SELECT doc_id, node, count(*) AS n, min(other) AS first FROM ends GROUP BY 1, 2",
+    "two_hops": "SELECT doc_id, node, count(DISTINCT other) AS n FROM (SELECT doc_id, node, other FROM ends UNION ALL SELECT a.doc_id, a.node, b.other FROM ends a JOIN ends b ON a.doc_id = b.doc_id AND a.other = b.node WHERE b.other <> a.node) h GROUP BY 1, 2",
+    "components": "SELECT e.doc_id, e.node_ord AS node, min(r.y) AS component FROM ents e JOIN reach r ON r.doc_id = e.doc_id AND r.x = e.node_ord GROUP BY 1, 2",
+    "instrument_loops": "SELECT doc_id, loop, node_ord, place FROM loops",
+    "loop_edges": "SELECT DISTINCT l.doc_id, l.node_ord AS src, l.dst, 50.0::DOUBLE AS weight FROM loops l ANTI JOIN graph g ON g.doc_id = l.doc_id AND g.src = l.node_ord AND g.dst = l.dst WHERE l.dst IS NOT NULL",
+    "entity_table": "SELECT doc_id, " + _ID + """ AS entity_id, coalesce(tag_id, '—') AS tag_id, CASE entity_type WHEN 'piping_component' THEN 'Piping Component' ELSE upper(left(entity_type, 1)) || substr(entity_type, 2) END AS type, upper(left(category, 1)) || substr(category, 2) AS category, description, round(confidence * 100)::INT::VARCHAR || '%' AS confidence FROM ents""",
+    "mto_rows": """SELECT doc_id, category, description, CASE WHEN size = '' THEN '—' ELSE size END AS size, CASE WHEN specification = '' THEN '—' ELSE specification END AS specification, count(*) AS quantity, coalesce(string_agg(tag_id, ', ' ORDER BY tag_id, node_ord), '—') AS tag_id, '—' AS line_number,
+        CASE category WHEN 'valves' THEN 'Valve' WHEN 'instruments' THEN 'Instrument' WHEN 'piping' THEN 'Piping' WHEN 'equipment' THEN 'Equipment' ELSE 'Other' END AS entity_type, round_even(avg(confidence), 4) AS confidence, CASE WHEN avg(confidence) < 0.6 THEN '⚠ Low confidence — needs review' WHEN count(tag_id) = 0 THEN 'Tag not identified' ELSE '' END AS notes
+        FROM (SELECT doc_id, node_ord, category, description, coalesce(size, '') AS size, coalesce(specification, '') AS specification, tag_id, confidence FROM ents) e GROUP BY doc_id, category, description, e.size, e.specification""",
+    "mto_category_totals": "SELECT doc_id, coalesce(category, 'TOTAL') AS category, count(*) AS n FROM ents GROUP BY GROUPING SETS ((doc_id, category), (doc_id))",
+    "prompt_topk": f"SELECT doc_id, entity_type, {_ID} AS entity_id, greatest(0, c - 10) AS more FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, entity_type ORDER BY node_ord) AS k, count(*) OVER (PARTITION BY doc_id, entity_type) AS c FROM ents) e WHERE k <= 10",
+    "cell_sanitize_slug": r"SELECT text, CASE WHEN regexp_matches(text, '^[=+\-@]') THEN '''' || text ELSE text END AS cell, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM (SELECT text, left(regexp_replace(regexp_replace(trim(text), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), 60) AS s FROM (SELECT DISTINCT text FROM texts) d) e",
+    "content_dedup": "SELECT split, name, digest FROM (SELECT *, md5(content) AS digest, row_number() OVER (PARTITION BY md5(content) ORDER BY list_position(['train', 'valid', 'test'], split), name) AS n FROM images) i WHERE n = 1",
+    "split_sizes": "SELECT split, n FROM (SELECT unnest([{'split': 'train', 'n': t}, {'split': 'valid', 'n': v}, {'split': 'test', 'n': n - t - v}], recursive := true) FROM (SELECT n, greatest(1, floor(n * 0.8))::BIGINT AS t, greatest(1, floor(n * 0.1))::BIGINT AS v FROM (SELECT count(DISTINCT md5(content)) AS n FROM images) a) b) c",
+    "split_leakage": "SELECT md5(content) AS digest, count(DISTINCT split) AS splits, count(*) AS copies FROM images GROUP BY 1 HAVING count(DISTINCT split) > 1",
+    "class_canonical": f"SELECT id::BIGINT AS id, name, canonical, dense_rank() OVER (ORDER BY f) - 1 AS new_id FROM (SELECT *, min(id) OVER (PARTITION BY canonical) AS f FROM (SELECT id, name, coalesce({_case('g', dims.MISSPELT)}, g) AS canonical FROM (SELECT id, name, coalesce({_case('name', _SAME)}, name) AS g FROM {_OLD}) a) b) c",
+    "class_merge": f"SELECT new_id, name FROM {_MERGED} m",
+    "label_remap": f"SELECT b.image, b.ord, m.new_id AS cid FROM boxes b JOIN {_OLD} ON b.cid = o.id JOIN {_MERGED} m ON m.name = o.name",
+    "class_instances": f"SELECT coalesce(o.name, '') AS name, count(*) AS instances, count(*) < 20 AS rare FROM boxes b LEFT JOIN {_OLD} ON b.cid = o.id GROUP BY 1",
+    "eval_f1": "SELECT cid, precision, recall, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM (SELECT cid, count(*) FILTER (WHERE ord % 4 <> 0) / count(*) AS precision, count(*) FILTER (WHERE ord % 5 <> 0) / count(*) AS recall FROM boxes GROUP BY 1) m",
+    "shape_classify": f"SELECT doc_id, page, det_ord, {_SHAPE} AS shape FROM (SELECT *, x2 - x1 AS w, y2 - y1 AS h FROM symbols) s",
+    "annotate_reject": "SELECT doc_id, page, k.o AS det_ord FROM (SELECT doc_id, page, unnest(list_reduce(list_transform(c, lambda e: [e]), lambda m, e: CASE WHEN len(list_filter(m, lambda k: k.x1 < e[1].x2 AND e[1].x1 < k.x2 AND k.y1 < e[1].y2 AND e[1].y1 < k.y2)) > 0 THEN m ELSE list_concat(m, e) END)) AS k FROM (SELECT doc_id, page, list({'o': det_ord, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2} ORDER BY det_ord) AS c FROM dense GROUP BY doc_id, page) a) b",
+    "issue_lines": f"SELECT id, isl AS issue, string_agg(line, ' ' ORDER BY ln) AS text, lower(regexp_extract(string_agg(line, ' ' ORDER BY ln), 'severity\\s*[:=]\\s*\\**\\s*(error|warning|info)\\b', 1, 'i')) = 'error' AS error FROM (SELECT *, sum(CASE WHEN regexp_matches(line, '{ISSUE}') OR k = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY ln)::BIGINT AS isl FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ln) AS k FROM (SELECT id, trim(u) AS line, ln FROM (SELECT id, unnest(string_split(text, chr(10))) AS u, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM reports) a) b WHERE line <> '') c) d GROUP BY id, isl",
+    "issue_verdict": "SELECT id, NOT (text LIKE '%Severity: error%') AS passed FROM reports",
+    "line_assignment": "SELECT e.doc_id, e.node_ord, n.line AS line_number FROM ents e LEFT JOIN (SELECT doc_id, node_ord, arg_min(tag_id, dist * 1000 + text_ord / 1000) AS line FROM (SELECT a.doc_id, a.node_ord, t.tag_id, t.text_ord, sqrt((a.x - t.cx) * (a.x - t.cx) + (a.y - t.cy) * (a.y - t.cy)) AS dist FROM ents a JOIN tags t ON a.page = t.page AND t.tag_type = 'line_number') d WHERE dist < 300 GROUP BY 1, 2) n ON n.doc_id = e.doc_id AND n.node_ord = e.node_ord",
+    "tile_grid": "SELECT s.sheet, r.k AS row, c.k AS col, c.v AS x, r.v AS y, c.v > 0 AS cut_left, r.v > 0 AS cut_top, c.v + least(1312, s.width - c.v) < s.width AS cut_right, r.v + least(1312, s.height - r.v) < s.height AS cut_bottom FROM sheets s JOIN (SELECT sheet, i AS k, CASE WHEN height <= 1312 THEN 0 ELSE round_even(i * ((height - 1312) / (n - 1)), 0) END::BIGINT AS v FROM (SELECT sheet, height, n, unnest(range(0, n)) AS i FROM (SELECT sheet, height, CASE WHEN height <= 1312 THEN 1 ELSE greatest(2, ceil((height - 1312) / 1184.0::DOUBLE) + 1) END::BIGINT AS n FROM sheets) a) b) r ON r.sheet = s.sheet JOIN (SELECT sheet, i AS k, CASE WHEN width <= 1312 THEN 0 ELSE round_even(i * ((width - 1312) / (n - 1)), 0) END::BIGINT AS v FROM (SELECT sheet, width, n, unnest(range(0, n)) AS i FROM (SELECT sheet, width, CASE WHEN width <= 1312 THEN 1 ELSE greatest(2, ceil((width - 1312) / 1184.0::DOUBLE) + 1) END::BIGINT AS n FROM sheets) a) b) c ON c.sheet = s.sheet",
+    "jobs_expired": "SELECT id, status FROM jobs WHERE created_at < TIMESTAMP '2024-01-14'",
+}
+_REACH = "reach AS (SELECT doc_id, node_ord AS x, node_ord AS y FROM ents UNION SELECT r.doc_id, r.x, e.other FROM reach r JOIN ends e ON e.doc_id = r.doc_id AND e.node = r.y)"
+
+
+def _needed(text: str, known: dict[str, str]) -> list[str]:
+    import re
+
+    out: list[str] = []
+
+    def visit(sql):
+        for name in known:
+            if name not in out and re.search(rf"(FROM|JOIN)\s+{name}\b", sql):
+                visit(known[name])
+                out.append(name)
+
+    visit(text)
+    return out
+
+
+def sql() -> dict[str, str]:
+    known = VIEWS | CHAIN
+    result = {}
+    for name, final in FINAL.items():
+        reach = " reach " in f" {final} ".replace("\n", " ")
+        parts = [f"{n} AS MATERIALIZED ({known[n]})" for n in _needed(final + (" FROM ents FROM ends" if reach else ""), known)]
+        if reach:
+            parts.append(_REACH)
+        result[name] = f"WITH {'RECURSIVE ' if reach else ''}{', '.join(parts)} {final}" if parts else final
+    return result
