@@ -9,13 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, small, written
+from .common import small, written
 
 #: A unit ends at a line end, or after . ! or ? and the white space that follows.
 UNIT = re.compile(r"[^\n]*?[.!?]+(?=[ \t\r\f\v])|[^\n]+")
 #: Documents with removed spans that may be broadcast; beyond that the texts are shuffled.
 BROADCAST_DOCS = 500_000
-BUFFER = 400_000
+#: A map task hands its units on when it holds so many.
+BUFFER = 50_000
 LAST = 2**63 - 1
 
 
@@ -32,61 +33,28 @@ def units(text: str) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def _map(fragments: int):
-    def run(batches):
-        held: list[list[np.ndarray]] = []
-        count = 0
-
-        def sent():
-            doc, key, no, start, end, words, digest = (np.concatenate([h[i] for h in held]) for i in range(7))
-            frag = ((digest.view(np.uint64) >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
-            order = np.argsort(frag, kind="stable")
-            cut = np.flatnonzero(np.diff(frag[order])) + 1
-            rows = []
-            for part in np.split(order, cut):
-                columns = [doc[part], key[part], digest[part], no[part].astype(np.int32), start[part].astype(np.int32), end[part].astype(np.int32), words[part].astype(np.int32)]
-                rows.append((int(frag[part[0]]), np.int64(len(part)).tobytes() + b"".join(c.tobytes() for c in columns)))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["frag", "blob"])
-
-        for batch in batches:
-            ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            for i in range(batch.num_rows):
-                found = units(batch.column(2)[i].as_py() or "")
-                if not found:
-                    continue
-                start, end, words, digest = zip(*found)
-                n = len(found)
-                held.append([np.full(n, ids[i], np.int64), np.full(n, keys[i], np.int64), np.arange(n), np.array(start), np.array(end), np.array(words), np.array(digest, np.uint64).view(np.int64)])
-                count += n
-                if count >= BUFFER:
-                    yield sent()
-                    held, count = [], 0
-        if held:
-            yield sent()
-
-    return run
-
-
-def _repeats(group: pa.Table) -> pa.Table:
-    parts: list[list[np.ndarray]] = [[] for _ in range(7)]
-    for blob in group.column("blob").to_pylist():
-        n = int(np.frombuffer(blob, np.int64, 1)[0])
-        at = 8
-        for k in range(7):
-            kind = np.int64 if k < 3 else np.int32
-            parts[k].append(np.frombuffer(blob, kind, n, at))
-            at += n * np.dtype(kind).itemsize
-    doc, key, digest, no, start, end, words = map(np.concatenate, parts)
-    order = np.lexsort((no, key, doc, digest))
-    doc, key, digest, no, start, end, words = (x[order] for x in (doc, key, digest, no, start, end, words))
-    new = np.ones(len(order), bool)
-    new[1:] = digest[1:] != digest[:-1]
-    first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else np.zeros(0, int)
-    again = (doc != doc[first]) | (key != key[first]) | (no != no[first])  # rows that are alike are the first ones all
-    last = np.ones(len(order), bool)
-    last[:-1] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (no[1:] != no[:-1]) | new[1:]
-    keep = again & last  # and of other rows that are alike, one stands for all
-    return pa.table({"doc": doc[keep], "key": key[keep], "no": no[keep].astype(np.int64), "start": start[keep].astype(np.int64), "end": end[keep].astype(np.int64), "words": words[keep].astype(np.int64)})
+def _units(batches):
+    held: list[list[np.ndarray]] = []
+    count = 0
+
+    def sent():
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[i] for h in held])) for i in range(7)], names=["doc", "key", "no", "start", "end", "words", "digest"])
+
+    for batch in batches:
+        ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+        for i in range(batch.num_rows):
+            found = units(batch.column(2)[i].as_py() or "")
+            if not found:
+                continue
+            start, end, words, digest = zip(*found)
+            n = len(found)
+            held.append([np.full(n, ids[i], np.int64), np.full(n, keys[i], np.int64), np.arange(n, dtype=np.int32), np.array(start, np.int32), np.array(end, np.int32), np.array(words, np.int32), np.array(digest, np.uint64).view(np.int64)])
+            count += n
+            if count >= BUFFER:
+                yield sent()
+                held, count = [], 0
+    if held:
+        yield sent()
 
 
 def repeated_spans(docs: DataFrame, min_words: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,14 +63,18 @@ def repeated_spans(docs: DataFrame, min_words: int = 30, id_col: str = "doc_id",
     Units are sentences and lines, normalised to lower case and single spaces.  Of each digest the occurrence with the
     smallest (id, hash of the text, place) is kept.  Neighbouring units that occur earlier elsewhere form a span; spans of at
     least min_words words are to be removed.  start and end are offsets (characters) in the original text.
+
+    A digest's first place is a minimum, so that map tasks send one row per digest each, however common a unit is; its
+    occurrences meet that row in a join, which Spark can split where one digest has many.
     """
-    fragments = max(32, shuffle_partitions(docs.sparkSession))
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    blobs = base.mapInArrow(_map(fragments), "frag int, blob binary")
-    again = blobs.groupBy("frag").applyInArrow(_repeats, "doc long, key long, no long, start long, end long, words long")
+    found = base.mapInArrow(_units, "doc long, key long, no int, start int, end int, words int, digest long")
+    place = F.struct("doc", "key", "no")
+    first = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    again = found.join(first, "digest").where(place != F.col("first")).select("doc", "key", "no", "start", "end", "words").distinct()  # of rows that are alike, one stands for all
     order = Window.partitionBy("doc", "key").orderBy("no")
     runs = again.repartition("doc", "key").withColumn("run", F.col("no") - F.row_number().over(order))
-    spans = runs.groupBy("doc", "key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words")).where(F.col("words") >= min_words)
+    spans = runs.groupBy("doc", "key", "run").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.sum("words").alias("words")).where(F.col("words") >= min_words)
     return spans.groupBy("doc", "key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "words"))).alias("spans"))
 
 
