@@ -65,12 +65,13 @@ def repeated_spans(docs: DataFrame, min_words: int = 30, id_col: str = "doc_id",
     least min_words words are to be removed.  start and end are offsets (characters) in the original text.
 
     A digest's first place is a minimum, so that map tasks send one row per digest each, however common a unit is; its
-    occurrences meet that row in a join, which Spark can split where one digest has many.
+    occurrences meet that row in a join.  The rows are written first, since Spark splits a join's large partitions only
+    where both sides come straight from a shuffle.
     """
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     found = base.mapInArrow(_units, "doc long, key long, no int, start int, end int, words int, digest long")
     place = F.struct("doc", "key", "no")
-    first = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    first = written(found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"))
     again = found.join(first, "digest").where(place != F.col("first")).select("doc", "key", "no", "start", "end", "words").distinct()  # of rows that are alike, one stands for all
     order = Window.partitionBy("doc", "key").orderBy("no")
     runs = again.repartition("doc", "key").withColumn("run", F.col("no") - F.row_number().over(order))
