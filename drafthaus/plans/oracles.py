@@ -62,6 +62,20 @@ CHAIN = {
     "loops": "SELECT *, row_number() OVER (PARTITION BY doc_id, loop ORDER BY node_ord) AS place, lead(node_ord) OVER (PARTITION BY doc_id, loop ORDER BY node_ord) AS dst FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, loop) AS size FROM loop_members) m WHERE size > 1",
 }
 _ID = "'E' || CASE WHEN length(node_ord::VARCHAR) < 4 THEN lpad(node_ord::VARCHAR, 4, '0') ELSE node_ord::VARCHAR END"
+CHAIN |= {
+    "lined": "SELECT e.doc_id, e.page, e.node_ord, e.x, n.line AS line_number FROM ents e LEFT JOIN (SELECT doc_id, node_ord, arg_min(tag_id, dist * 1000 + text_ord / 1000) AS line FROM (SELECT a.doc_id, a.node_ord, t.tag_id, t.text_ord, sqrt((a.x - t.cx) * (a.x - t.cx) + (a.y - t.cy) * (a.y - t.cy)) AS dist FROM ents a JOIN tags t ON a.page = t.page AND t.tag_type = 'line_number') d WHERE dist < 300 GROUP BY 1, 2) n ON n.doc_id = e.doc_id AND n.node_ord = e.node_ord",
+    "new_edges": "SELECT DISTINCT l.doc_id, l.node_ord AS src, l.dst FROM loops l ANTI JOIN graph g ON g.doc_id = l.doc_id AND g.src = l.node_ord AND g.dst = l.dst WHERE l.dst IS NOT NULL",
+    "all_ends": "SELECT doc_id, src AS node FROM graph UNION ALL SELECT doc_id, dst FROM graph UNION ALL SELECT doc_id, src FROM new_edges UNION ALL SELECT doc_id, dst FROM new_edges",
+    "deg": f"SELECT e.*, {_ID} AS entity_id, coalesce(d.n, 0) AS degree FROM ents e LEFT JOIN (SELECT doc_id, node, count(*) AS n FROM all_ends GROUP BY 1, 2) d ON d.doc_id = e.doc_id AND d.node = e.node_ord",
+    "memberships": "SELECT e.doc_id, e.node_ord, t.loop_number AS loop FROM ents e JOIN tagged t ON t.page = e.page AND t.kind = e.kind AND t.ord = e.ord WHERE e.entity_type = 'instrument' AND t.loop_number IS NOT NULL",
+    "found": f"""SELECT doc_id, 'R001' AS rule_id, 'warning' AS severity, entity_id, upper(left(entity_type, 1)) || substr(entity_type, 2) || ' at position (' || x || ', ' || y || ') has no tag identifier.' AS message FROM deg WHERE entity_type IN ('instrument', 'equipment', 'valve') AND tag_id IS NULL
+        UNION ALL SELECT doc_id, 'R002', 'error', arg_min(entity_id, node_ord), 'Duplicate tag ''' || tag_id || ''' found on ' || count(*) || ' entities: [' || string_agg('''' || entity_id || '''', ', ' ORDER BY node_ord) || ']' FROM deg WHERE tag_id IS NOT NULL GROUP BY doc_id, tag_id HAVING count(*) > 1
+        UNION ALL SELECT m.doc_id, 'R003', 'info', {_ID}, 'Loop ' || loop || ' has only 1 instrument. Typical loops have 2-3 elements.' FROM (SELECT doc_id, loop, min(node_ord) AS node_ord FROM memberships GROUP BY 1, 2 HAVING count(*) = 1) m
+        UNION ALL SELECT doc_id, 'R004', 'warning', entity_id, 'Low confidence (' || format('{{:.2f}}', confidence) || ') for entity ''' || coalesce(tag_id, description) || ''' at (' || x || ', ' || y || ').' FROM deg WHERE confidence < 0.5
+        UNION ALL SELECT doc_id, 'R005', 'info', entity_id, 'Orphan ' || entity_type || ' ''' || coalesce(tag_id, 'None') || ''' has no connections.' FROM deg WHERE degree = 0 AND entity_type NOT IN ('line', 'unknown')
+        UNION ALL SELECT doc_id, 'R006', 'warning', entity_id, 'Valve ''' || coalesce(tag_id, entity_id) || ''' has only ' || degree || ' connection(s). Valves typically have 2 (inlet + outlet).' FROM deg WHERE entity_type = 'valve' AND degree < 2""",
+    "pipes": "SELECT a.doc_id, a.page, a.det_ord AS run, a.cx AS px, a.cy AS py, b.cx AS qx, b.cy AS qy FROM symbols a JOIN symbols b ON a.page = b.page AND b.det_ord = a.det_ord + 1",
+}
 _OLD = "(VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(["Back Pressure Regulator", "BackPressure Regulator", "bolier", "Boiler", "Gate_Valve", "Gate Valve", "Level Trasmitter", "Reformer", "reformer", "Ball_valve", "Ball Valve", "Pump", "Tee", "Elbow", "Cap", "Drum", "Fan", "Motor"])) + ") o(id, name)"
 _NEW = "(VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(CLASSES)) + ") c(id, name)"
 _SAME = {m: g[0] for g in dims.SAME_CLASS for m in g}
@@ -117,10 +131,18 @@ FINAL = {
     "annotate_reject": "SELECT doc_id, page, k.o AS det_ord FROM (SELECT doc_id, page, unnest(list_reduce(list_transform(c, lambda e: [e]), lambda m, e: CASE WHEN len(list_filter(m, lambda k: k.x1 < e[1].x2 AND e[1].x1 < k.x2 AND k.y1 < e[1].y2 AND e[1].y1 < k.y2)) > 0 THEN m ELSE list_concat(m, e) END)) AS k FROM (SELECT doc_id, page, list({'o': det_ord, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2} ORDER BY det_ord) AS c FROM dense GROUP BY doc_id, page) a) b",
     "issue_lines": f"SELECT id, isl AS issue, string_agg(line, ' ' ORDER BY ln) AS text, lower(regexp_extract(string_agg(line, ' ' ORDER BY ln), 'severity\\s*[:=]\\s*\\**\\s*(error|warning|info)\\b', 1, 'i')) = 'error' AS error FROM (SELECT *, sum(CASE WHEN regexp_matches(line, '{ISSUE}') OR k = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY ln)::BIGINT AS isl FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ln) AS k FROM (SELECT id, trim(u) AS line, ln FROM (SELECT id, unnest(string_split(text, chr(10))) AS u, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM reports) a) b WHERE line <> '') c) d GROUP BY id, isl",
     "issue_verdict": "SELECT id, NOT (text LIKE '%Severity: error%') AS passed FROM reports",
-    "line_assignment": "SELECT e.doc_id, e.node_ord, n.line AS line_number FROM ents e LEFT JOIN (SELECT doc_id, node_ord, arg_min(tag_id, dist * 1000 + text_ord / 1000) AS line FROM (SELECT a.doc_id, a.node_ord, t.tag_id, t.text_ord, sqrt((a.x - t.cx) * (a.x - t.cx) + (a.y - t.cy) * (a.y - t.cy)) AS dist FROM ents a JOIN tags t ON a.page = t.page AND t.tag_type = 'line_number') d WHERE dist < 300 GROUP BY 1, 2) n ON n.doc_id = e.doc_id AND n.node_ord = e.node_ord",
+    "line_assignment": "SELECT doc_id, node_ord, line_number FROM lined",
     "tile_grid": "SELECT s.sheet, r.k AS row, c.k AS col, c.v AS x, r.v AS y, c.v > 0 AS cut_left, r.v > 0 AS cut_top, c.v + least(1312, s.width - c.v) < s.width AS cut_right, r.v + least(1312, s.height - r.v) < s.height AS cut_bottom FROM sheets s JOIN (SELECT sheet, i AS k, CASE WHEN height <= 1312 THEN 0 ELSE round_even(i * ((height - 1312) / (n - 1)), 0) END::BIGINT AS v FROM (SELECT sheet, height, n, unnest(range(0, n)) AS i FROM (SELECT sheet, height, CASE WHEN height <= 1312 THEN 1 ELSE greatest(2, ceil((height - 1312) / 1184.0::DOUBLE) + 1) END::BIGINT AS n FROM sheets) a) b) r ON r.sheet = s.sheet JOIN (SELECT sheet, i AS k, CASE WHEN width <= 1312 THEN 0 ELSE round_even(i * ((width - 1312) / (n - 1)), 0) END::BIGINT AS v FROM (SELECT sheet, width, n, unnest(range(0, n)) AS i FROM (SELECT sheet, width, CASE WHEN width <= 1312 THEN 1 ELSE greatest(2, ceil((width - 1312) / 1184.0::DOUBLE) + 1) END::BIGINT AS n FROM sheets) a) b) c ON c.sheet = s.sheet",
+    "flow_order": "SELECT doc_id, node_ord, line_number, row_number() OVER (PARTITION BY doc_id, line_number ORDER BY x, node_ord) - 1 AS flow_order FROM lined WHERE line_number IS NOT NULL",
+    "line_strengthen": "SELECT g.doc_id, g.src, g.dst, g.weight * 0.25::DOUBLE AS weight, a.line_number FROM graph g JOIN lined a ON a.doc_id = g.doc_id AND a.node_ord = g.src JOIN lined b ON b.doc_id = g.doc_id AND b.node_ord = g.dst WHERE a.line_number = b.line_number",
+    "graph_summary": "SELECT n.*, coalesce(d.edges, 0) AS edges, c.components, c.components = 1 AS connected FROM (SELECT doc_id, count(*) AS nodes, " + ", ".join(f"count(*) FILTER (WHERE category = '{k}') AS {k}" for k in dims.CATEGORY_ORDER) + " FROM ents GROUP BY 1) n LEFT JOIN (SELECT doc_id, count(*) AS edges FROM graph GROUP BY 1) d ON d.doc_id = n.doc_id JOIN (SELECT doc_id, count(DISTINCT component) AS components FROM (SELECT e.doc_id, e.node_ord, min(r.y) AS component FROM ents e JOIN reach r ON r.doc_id = e.doc_id AND r.x = e.node_ord GROUP BY 1, 2) m GROUP BY 1) c ON c.doc_id = n.doc_id",
+    "rule_issues": "SELECT * FROM found",
+    "rule_summary": "SELECT n.*, coalesce(f.errors, 0) AS errors, coalesce(f.warnings, 0) AS warnings, (entities - coalesce(bad, 0)) / entities * 100 AS pass_rate FROM (SELECT doc_id, count(*) AS entities, count(tag_id) AS tagged FROM ents GROUP BY 1) n LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(DISTINCT entity_id) FILTER (WHERE severity = 'error') AS bad FROM found GROUP BY 1) f ON f.doc_id = n.doc_id",
+    "class_compat": f"SELECT CASE WHEN a = b THEN 'identical' WHEN list_sort(a) = list_sort(b) THEN 'order' ELSE 'vocabulary' END AS verdict, array_to_string(list_sort(list_distinct(list_filter(a, lambda x: NOT list_contains(b, x))))[1:10], ',') AS only_in_model, array_to_string(list_sort(list_distinct(list_filter(b, lambda x: NOT list_contains(a, x))))[1:10], ',') AS only_in_dataset FROM (SELECT (SELECT list(name ORDER BY id) FROM {_NEW}) AS a, (SELECT list(name ORDER BY id) FROM {_OLD}) AS b) n",
+    "pipe_crossings": "SELECT r.doc_id, r.page, r.run FROM pipes r ANTI JOIN symbols o ON o.page = r.page AND o.det_ord <> r.run AND o.det_ord <> r.run + 1 AND ((r.py BETWEEN o.y1 - 2 AND o.y2 + 2 AND greatest(r.px, r.qx) > o.x1 - 2 AND least(r.px, r.qx) < o.x2 + 2) OR (CASE WHEN r.py = r.qy THEN r.py BETWEEN o.y1 - 2 AND o.y2 + 2 AND r.qx > o.x1 - 2 AND r.qx < o.x2 + 2 ELSE r.qx BETWEEN o.x1 - 2 AND o.x2 + 2 AND greatest(r.py, r.qy) > o.y1 - 2 AND least(r.py, r.qy) < o.y2 + 2 END))",
     "jobs_expired": "SELECT id, status FROM jobs WHERE created_at < TIMESTAMP '2024-01-14'",
 }
+FINAL["mto_numbered"] = f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY list_position({dims.CATEGORY_ORDER}, category), description NULLS FIRST, tag_id, size, specification) AS item_no, category, description, size, specification, quantity FROM ({FINAL['mto_rows']}) r"
 _REACH = "reach AS (SELECT doc_id, node_ord AS x, node_ord AS y FROM ents UNION SELECT r.doc_id, r.x, e.other FROM reach r JOIN ends e ON e.doc_id = r.doc_id AND e.node = r.y)"
 
 
