@@ -5,8 +5,10 @@ shingles of its range, so that frequencies and overlaps are counted fragment by
 per pair.  Everything is exact for the threshold given (but for collisions of 64-bit hashes):
 
 1. Texts with equal sets form a class, whose id is a digest of the set; from here on a class is one record.
-2. Of each class the lowest quarter (and two) of its shingles in hash order goes to the fragments.  A class with a
-   partner misses at most floor((1 - t) n) shingles there, so a class that misses more is done.
+2. Of each class the shingles whose hash is under a limit are tested: the limit depends on n alone and falls with n.
+   A partner has n / t shingles at most, so each class sends those under the limit of t n, and what the two share of
+   the tested ones is in both.  A class with a partner misses at most floor((1 - t) n) shingles there, so a class that
+   misses more is done.
 3. The whole sets of the classes left (a tenth or so) go to the fragments, which return the shingles that two or
    more classes have, with their frequency.  With s such shingles a class has overlaps of s at most.
 4. Prefix filter in the order of frequency; within each group of classes with a common prefix shingle, every class
@@ -62,7 +64,8 @@ class _Fragments:
         digest, size = (np.concatenate([p[i] for p in self.parts]) for i in (0, 1))
         owner = np.concatenate([p[2] + b for p, b in zip(self.parts, base)])
         value = np.concatenate([p[3] for p in self.parts])
-        frag = ((value >> np.uint64(32)) * np.uint64(self.shift)) >> np.uint64(32)
+        # ranges of the lower half, since the upper half says which shingles are sent
+        frag = ((value & np.uint64(0xFFFFFFFF)) * np.uint64(self.shift)) >> np.uint64(32)
         order = np.lexsort((owner, frag))
         frag, owner, value = frag[order], owner[order], value[order]
         cut = np.flatnonzero(np.diff(frag)) + 1
@@ -101,18 +104,23 @@ def _frequency(value: np.ndarray) -> np.ndarray:
     return out
 
 
-def _map(words: int, fragments: int, quarter: bool):
-    """Rows (row key, n, class) of the texts, and (fragment, blob)."""
+def _limit(size: np.ndarray, percent: int) -> np.ndarray:
+    """Upper halves of hashes under this are tested: a twentieth more of a set than it may miss, and sqrt(size) more."""
+    return np.ceil(np.minimum(1, (105 - percent) / 100 + 1 / np.sqrt(np.maximum(size, 1))) * 2.0**32).astype(np.uint64)
+
+
+def _map(words: int, fragments: int, percent: int | None = None):
+    """Rows (row key, n, tested shingles, class) of the texts, and (fragment, blob).  Without percent no rows, and whole sets."""
 
     def run(batches):
         parts = _Fragments(fragments)
-        schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("d", pa.int64()), ("frag", pa.int32()), ("blob", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("tested", pa.int64()), ("d", pa.int64()), ("frag", pa.int32()), ("blob", pa.binary())])
 
         def sent():
             rows = list(parts.flush())
             if rows:
                 none = pa.nulls(len(rows), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
 
         for batch in batches:
             for first, data, at in chunks(batch.column(2)):
@@ -120,10 +128,11 @@ def _map(words: int, fragments: int, quarter: bool):
                 text, value = shingles(data, at, words)
                 size = np.bincount(text, minlength=rows)
                 digest = _digest(text, value, rows)
-                if quarter:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), batch.column(1).slice(first, rows), pa.array(size, pa.int64()), pa.array(digest), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], schema=schema)
-                    begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-                    low = np.arange(len(text)) - begin[text] < np.minimum(size, size // 4 + 2)[text]
+                if percent:
+                    half = value >> np.uint64(32)
+                    tested = np.bincount(text[half < _limit(size, percent)[text]], minlength=rows)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), batch.column(1).slice(first, rows), pa.array(size, pa.int64()), pa.array(tested, pa.int64()), pa.array(digest), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], schema=schema)
+                    low = half < _limit(size * percent // 100, percent)[text]
                     text, value = text[low], value[low]
                 parts.add(digest, size, text, value)
                 if parts.held >= BUFFER:
@@ -133,13 +142,17 @@ def _map(words: int, fragments: int, quarter: bool):
     return run
 
 
-_MAPPED = "doc_id long, key long, n long, d long, frag int, blob binary"
+_MAPPED = "doc_id long, key long, n long, tested long, d long, frag int, blob binary"
 
 
-def _shared_counts(group: pa.Table) -> pa.Table:
-    digest, _, value = _unpack(group.column("blob").to_pylist())
-    own, n = np.unique(digest[_frequency(value) > 1], return_counts=True)
-    return pa.table({"d": pa.array(own, pa.int64()), "shared": pa.array(n, pa.int64())})
+def _shared_counts(percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        digest, size, value = _unpack(group.column("blob").to_pylist())
+        tested = value >> np.uint64(32) < _limit(size, percent)
+        own, n = np.unique(digest[tested & (_frequency(value) > 1)], return_counts=True)
+        return pa.table({"d": pa.array(own, pa.int64()), "shared": pa.array(n, pa.int64())})
+
+    return run
 
 
 def _shared_shingles(group: pa.Table) -> pa.Table:
@@ -167,17 +180,15 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     misses = F.floor(F.col("n") * (100 - percent) / 100)  # n * (100 - percent) is exact; so is the floor for n < 2**45
 
-    mapped = written(base.mapInArrow(_map(words, fragments, True), _MAPPED))
-    rows = mapped.where("frag is null").select("doc_id", "key", "n", "d")
-    shared = mapped.where("frag is not null").select("frag", "blob").groupBy("frag").applyInArrow(_shared_counts, "d long, shared long").groupBy("d").agg(F.sum("shared").alias("shared"))
-    sets = rows.where("n > 0").groupBy("d", "n").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("i"), "key")).alias("first"))
-    sampled = F.least(F.col("n"), F.floor(F.col("n") / 4) + 2)
-    # percent under 75 would leave the sample without power; every class that shares anything then goes on
-    alive = sets.join(shared, "d").where(sampled - F.col("shared") <= misses).select(F.col("first.key").alias("key"), F.col("first.i").alias("i"))
+    mapped = written(base.mapInArrow(_map(words, fragments, percent), _MAPPED))
+    rows = mapped.where("frag is null").select("doc_id", "key", "n", "tested", "d")
+    shared = mapped.where("frag is not null").select("frag", "blob").groupBy("frag").applyInArrow(_shared_counts(percent), "d long, shared long").groupBy("d").agg(F.sum("shared").alias("shared"))
+    sets = rows.where("n > 0").groupBy("d", "n", "tested").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("i"), "key")).alias("first"))
+    alive = sets.join(shared, "d", "left").where(F.col("tested") - F.coalesce("shared", F.lit(0)) <= misses).select(F.col("first.key").alias("key"), F.col("first.i").alias("i"))
     alive = written(alive)
     left = base.withColumn("i", F.coalesce("doc_id", F.lit(2**63 - 1))).join(small(alive, BROADCAST_ROWS), ["key", "i"], "left_semi").select("doc_id", "key", "text")
 
-    whole = left.mapInArrow(_map(words, fragments, False), _MAPPED).where("frag is not null").select("frag", "blob")
+    whole = left.mapInArrow(_map(words, fragments), _MAPPED).where("frag is not null").select("frag", "blob")
     entries = whole.groupBy("frag").applyInArrow(_shared_shingles, "d long, n long, h long, freq long")
     by_class = Window.partitionBy("d")
     entries = entries.withColumn("s", F.count("*").over(by_class)).where(F.col("n") - F.col("s") <= misses)

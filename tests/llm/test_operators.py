@@ -56,6 +56,26 @@ def test_ngram_join_families(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def joined_as_brute_force(spark, docs):
+    rows = list(enumerate(docs))
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    got = ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == classes(sets, links)
+    return links
+
+
+def test_ngram_join_nested(spark):
+    rnd = random.Random(5)
+    docs = []
+    for n in range(1, 57):
+        for extra in {n // 4, n // 4 + 1}:  # at 0.8 or just over it, and just under it
+            for end in range(4):
+                w = [f"w{rnd.randrange(10**9)}" for _ in range(n + 4 + extra)]
+                docs += [" ".join(w), " ".join(w[extra * (end % 2) :][: n + 4])]
+    assert len(joined_as_brute_force(spark, docs)) > 150
+
+
 def test_ngram_join_odd(spark):
     got = ngram_join.ngram_jaccard_join(odd_docs(spark)).collect()
     assert len(got) == len(ODD)
