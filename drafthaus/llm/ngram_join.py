@@ -198,12 +198,12 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     prefix = entries.where("prefix").select("h", "d", "n", "s")
     fits = lambda x, y: (F.col(f"{x}n") + F.col(f"{y}n")) * percent <= F.least(f"{x}s", f"{y}s") * (100 + percent)
     hubs = prefix.groupBy("h").agg(F.count("*").alias("many"), F.min(F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("own"), F.col("d").alias("hub"), F.col("n").alias("hn"), F.col("s").alias("hs"))).alias("x")).where("many > 1").select("h", "x.hub", "x.hn", "x.hs")
-    votes = written(prefix.join(hubs, "h").where(F.col("d") != F.col("hub")).where(fits("", "h")).groupBy("d", "n", "s", "hub", "hn").agg(F.count("*").alias("votes")))
+    votes = written(prefix.join(hubs, "h").where(F.col("d") != F.col("hub")).where(fits("", "h")).groupBy("d", "n", "s", "hub", "hn", "hs").agg(F.count("*").alias("votes")))
     # of the hubs with half of a class's most votes or more, the one that most classes have, so that families have one hub
     fame = votes.groupBy("hub").agg(F.count("*").alias("fame"))
     strong = votes.withColumn("most", F.max("votes").over(by_class)).where(F.col("votes") * 2 >= F.col("most")).join(fame, "hub")
-    chosen = strong.groupBy("d", "n", "s").agg(F.max(F.struct("fame", "votes", "hub", "hn")).alias("x"))
-    first = chosen.select(F.col("d").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("x.hub").alias("b"), F.col("x.hn").alias("nb"))
+    chosen = strong.groupBy("d", "n", "s").agg(F.max(F.struct("fame", "votes", "hub", "hn", "hs")).alias("x"))
+    first = chosen.select(F.col("d").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("x.hub").alias("b"), F.col("x.hn").alias("nb"), (F.col("x.hn") - F.col("x.hs")).alias("lone"))
 
     def overlaps(pairs: DataFrame) -> DataFrame:
         """Overlaps per range of hashes, as the join deals them out, summed per pair."""
@@ -215,26 +215,27 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     compared = written(overlaps(first))
     links = compared.where(similar).select("a", "b")
     components = written(connected_components(links))
-    # a family: the classes compared with one hub, and how many shingles each doesn't share with it
+    # a family: the classes compared with one hub, and how many shingles each doesn't share with it; lone: those of the
+    # hub that no other class has, which are in all of these differences but not in entries
     joined = components.withColumnsRenamed({"node": "d", "component": "c"})
-    about = compared.select(F.col("a").alias("d"), F.col("na").alias("n"), F.col("sa").alias("s"), F.col("b").alias("hub"), (F.col("na") + F.col("nb") - 2 * F.col("both")).alias("apart"))
+    about = compared.select(F.col("a").alias("d"), F.col("na").alias("n"), F.col("sa").alias("s"), F.col("b").alias("hub"), (F.col("na") + F.col("nb") - 2 * F.col("both")).alias("apart"), "lone")
     family = written(about.join(joined, "d", "left").withColumn("c", F.coalesce("c", "d")).withColumn("common", F.col("apart") - F.col("n") + F.col("s")))
     # Two of a family are similar only if they differ in (100 - percent) / (100 + percent) of their sizes' sum at most.
     # What their differences from the hub share is at most what of them no other class lacks or has: "common".
     spare = F.col("apart") * (100 + percent) - F.col("n") * (100 - percent)
     least_ = family.groupBy("hub").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(spare - F.col("common") * 2 * (100 + percent)).alias("low"), F.min(spare).alias("high")).where("c0 != c1").select("hub", "low", "high")
     able = family.join(least_, "hub").where((spare + F.col("low") <= 0) & (spare - F.col("common") * 2 * (100 + percent) + F.col("high") <= 0)).drop("low", "high")
-    x, y = (able.select("hub", *(F.col(c).alias(f"{p}{c}") for c in ("d", "n", "s", "c", "apart", "common"))) for p in "xy")
+    x, y = (able.select("hub", *(F.col(c).alias(f"{p}{c}") for c in ("d", "n", "s", "c", "apart", "common", "lone"))) for p in "xy")
     close = (F.col("xapart") + F.col("yapart") - 2 * F.least("xcommon", "ycommon")) * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent)
     pair = [F.col("xd").alias("a"), F.col("yd").alias("b"), F.col("xn").alias("na"), F.col("yn").alias("nb")]
-    within = x.join(y, "hub").where("xd < yd and xc != yc").where(fits("x", "y")).where(close).select(*pair, (F.col("xapart") + F.col("yapart")).alias("apart"))
+    within = x.join(y, "hub").where("xd < yd and xc != yc").where(fits("x", "y")).where(close).select(*pair, (F.col("xapart") + F.col("yapart")).alias("apart"), F.col("xlone").alias("lone"))
     # their differences from the hub, a tenth of their sets, are counted instead of the sets
     own = able.select("hub", "d")
     sides = own.join(entries.select("d", "h"), "d").select("d", "h", F.lit(1).alias("side")).union(own.join(entries.select(F.col("d").alias("hub"), "h"), "hub").select("d", "h", F.lit(2).alias("side")))
     differ = written(sides.groupBy("d", "h").agg(F.sum("side").alias("sides")).where("sides != 3").select("d", "h"))
     within = written(within)
     alike = within.join(differ.withColumnRenamed("d", "a"), "a").join(differ.withColumnRenamed("d", "b"), ["b", "h"]).groupBy("a", "b").agg(F.count("*").alias("alike"))
-    within = within.join(alike, ["a", "b"], "left").where((F.col("apart") - 2 * F.coalesce("alike", F.lit(0))) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+    within = within.join(alike, ["a", "b"], "left").where((F.col("apart") - 2 * (F.col("lone") + F.coalesce("alike", F.lit(0)))) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
 
     # across families: prefix groups, but those of one component or one family are done
     member = prefix.join(joined, "d", "left").join(about.select("d", "hub"), "d", "left").select("h", "d", "n", "s", F.coalesce("c", "d").alias("c"), F.coalesce("hub", "d").alias("hub"))

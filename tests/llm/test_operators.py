@@ -76,6 +76,26 @@ def test_ngram_join_nested(spark):
     assert len(joined_as_brute_force(spark, docs)) > 150
 
 
+def test_ngram_join_hub_with_own(spark):
+    rnd = random.Random(6)
+    new = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    docs = []
+    for _ in range(10):
+        common, z = new(104), new(52)
+        # the hub has 8 shingles that no other text has and 8 of two others; the pair is linked, neither to the hub
+        docs += [" ".join(w) for w in (common + new(11), common + new(11), z[:12] + new(4) + common[:101], z, z + new(3))]
+    for _ in range(20):
+        tree = [new(rnd.choice([60, 100, 160]))]
+        for _ in range(12):
+            w = list(rnd.choice(tree))
+            for _ in range(rnd.choice([1, 2, 3])):
+                i = rnd.randrange(len(w))
+                w[i : i + rnd.randrange(2)] = new(1)
+            tree.append(w)
+        docs += [" ".join(w) for w in tree[1:]]  # edit trees without their root
+    joined_as_brute_force(spark, docs)
+
+
 def test_ngram_join_odd(spark):
     got = ngram_join.ngram_jaccard_join(odd_docs(spark)).collect()
     assert len(got) == len(ODD)
