@@ -56,7 +56,7 @@ def _tiles(v):
 
 
 def _merged_tiles(v, spark):
-    t = _tiles(v).where("row < 2 and col < 2")
+    t = _tiles(v)
     i = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")
     d = t.select("sheet", "row", "col", "tile_width", "tile_height", i).select(
         "sheet", "row", "col", F.col("i").alias("det_ord"), (F.col("i") * 433.0 - 3).alias("x1"), (F.col("i") * 217.0).alias("y1"), (F.col("i") * 433.0 + 60).alias("x2"), (F.col("i") * 217.0 + 40).alias("y2"))

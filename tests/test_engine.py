@@ -94,6 +94,22 @@ def test_oracle(spark, name):
     assert key(df.select(*cols).collect()) == key([tuple(r[i] for i in place) for r in rel.fetchall()])
 
 
+def test_merge_all_tiles(spark):
+    from drafthaus.sources.bridge import views
+
+    want, far = set(), 0
+    for t in drawing.tile_grid(views(spark, SF)["sheets"]).collect():
+        for i in range(4):
+            x1, x2 = (min(max(t.x + x, 0.0), t.width) for x in (i * 433.0 - 3, i * 433.0 + 60))
+            y1, y2 = (min(max(t.y + y, 0.0), t.height) for y in (i * 217.0, i * 217.0 + 40))
+            sliced = (t.cut_left and x1 - t.x <= 2.0) or (t.cut_top and y1 - t.y <= 2.0) or (t.cut_right and t.x + t.tile_width - x2 <= 2.0) or (t.cut_bottom and t.y + t.tile_height - y2 <= 2.0)
+            if x2 > x1 and y2 > y1 and not sliced:
+                want.add((t.sheet, t.row, t.col, i, x1, y1, x2, y2))
+                far += t.row > 1 or t.col > 1
+    got = [tuple(r[c] for c in ("sheet", "row", "col", "det_ord", "x1", "y1", "x2", "y2")) for r in catalogue.QUERIES["tile_merge_clip_cut"](spark, SF).collect()]
+    assert far and len(got) == len(want) and set(got) == want
+
+
 def test_partitions_dont_matter(spark):
     from drafthaus.sources.bridge import views
 
