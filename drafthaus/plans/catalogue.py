@@ -96,7 +96,7 @@ QUERIES = {
     "word_groups": _q(lambda v, s: D.word_groups(D.blobs_of_text(v["blobs"]))),
     "fragment_merge": _q(lambda v, s: D.merge_fragments(v["words"]).select("doc_id", "page", "island", "text", "x1", "y1", "x2", "y2")),
     "ocr_dedup": _q(lambda v, s: D.clean_words(v["words"]).select("doc_id", "page", "text_ord")),
-    "covered_words": _q(lambda v, s: D.covered_words(v["words"].withColumns({c: F.col(c).cast("bigint") for c in ("x1", "y1", "x2", "y2")}).where("x2 > x1 and y2 > y1"), v["blobs"].where("blob_ord % 3 = 0").select("doc_id", "page", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2")))),
+    "covered_words": _q(lambda v, s: D.covered_words(v["words"].withColumns({c: F.col(c).cast("bigint") for c in ("x1", "y1", "x2", "y2")}).where("x2 > x1 and y2 > y1"), v["blobs"].select("doc_id", "page", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2")))),
     "tile_grid": _q(lambda v, s: _tiles(v).select("sheet", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "x", "y", "cut_left", "cut_top", "cut_right", "cut_bottom")),
     "tile_merge_clip_cut": _q(lambda v, s: _merged_tiles(v, s).select("sheet", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("det_ord").cast("long").alias("det_ord"), "x1", "y1", "x2", "y2")),
     "nms": _q(lambda v, s: D.suppress(v["dense"]).select("doc_id", "page", "det_ord", F.col("rank").cast("long").alias("rank"))),

@@ -110,6 +110,27 @@ def test_merge_all_tiles(spark):
     assert far and len(got) == len(want) and set(got) == want
 
 
+def test_covered_words_masks(spark):
+    from collections import defaultdict
+
+    from drafthaus.sources.bridge import views
+
+    v = views(spark, SF)
+    boxes = defaultdict(list)
+    for b in v["blobs"].collect():
+        boxes[b.doc_id, b.page].append((b.x, b.y, b.x + b.w, b.y + b.h))
+    want = set()
+    for r in v["words"].collect():
+        x1, y1, x2, y2 = (int(r[c]) for c in ("x1", "y1", "x2", "y2"))
+        mask = set()
+        for a, b, c, d in boxes[r.doc_id, r.page]:
+            mask |= {(x, y) for x in range(max(a, x1), min(c, x2)) for y in range(max(b, y1), min(d, y2))}
+        if x2 > x1 and y2 > y1 and mask and len(mask) >= 25 / 255 * (x2 - x1) * (y2 - y1):
+            want.add((r.doc_id, r.page, r.text_ord, len(mask)))
+    got = [tuple(r[c] for c in ("doc_id", "page", "text_ord", "cover")) for r in catalogue.QUERIES["covered_words"](spark, SF).collect()]
+    assert want and len(got) == len(want) and set(got) == want
+
+
 def test_partitions_dont_matter(spark):
     from drafthaus.sources.bridge import views
 
