@@ -20,6 +20,7 @@ class Settings:
     low: float = 0.5
     tile: int = 1312
     overlap: int = 128
+    tile_edge: float = 6.0
     rare_class: int = 20
     retention_hours: float = 24.0
 

@@ -30,7 +30,7 @@ def tile_grid(pages: DataFrame, tile: int = SETTINGS.tile, overlap: int = SETTIN
     return t.withColumns(cut).drop("xs", "ys")
 
 
-def merge_tiles(detections: DataFrame, tiles: DataFrame, on: list[str], drop_cut: bool = True, edge: float = 2.0) -> DataFrame:
+def merge_tiles(detections: DataFrame, tiles: DataFrame, on: list[str], drop_cut: bool = True, edge: float = SETTINGS.tile_edge) -> DataFrame:
     """Boxes moved to the page, clipped to it; empty ones go, and those that a cut inside the page slices."""
     d = detections.join(tiles.select(*on, F.col("x").alias("tx"), F.col("y").alias("ty"), "tile_width", "tile_height", "width", "height", "cut_left", "cut_top", "cut_right", "cut_bottom"), on)
     clip = lambda c, o, most: F.greatest(F.lit(0.0), F.least(F.col(c) + F.col(o), F.col(most).cast("double")))

@@ -94,6 +94,15 @@ def test_oracle(spark, name):
     assert key(df.select(*cols).collect()) == key([tuple(r[i] for i in place) for r in rel.fetchall()])
 
 
+def test_merge_tiles_edge(spark):
+    sheet = spark.createDataFrame([(1, 2000, 1000)], "sheet int, width bigint, height bigint")
+    tiles = drawing.tile_grid(sheet)
+    wide = tiles.where("col = 0").first().tile_width
+    rows = [(1, 0, 0, gap, wide - gap - 40.0, 100.0, float(wide - gap), 140.0) for gap in (2, 6, 7)]
+    d = spark.createDataFrame(rows, "sheet int, row int, col int, gap int, x1 double, y1 double, x2 double, y2 double")
+    assert [r.gap for r in drawing.merge_tiles(d, tiles, ["sheet", "row", "col"]).collect()] == [7]
+
+
 def test_merge_all_tiles(spark):
     from drafthaus.sources.bridge import views
 
@@ -102,7 +111,7 @@ def test_merge_all_tiles(spark):
         for i in range(4):
             x1, x2 = (min(max(t.x + x, 0.0), t.width) for x in (i * 433.0 - 3, i * 433.0 + 60))
             y1, y2 = (min(max(t.y + y, 0.0), t.height) for y in (i * 217.0, i * 217.0 + 40))
-            sliced = (t.cut_left and x1 - t.x <= 2.0) or (t.cut_top and y1 - t.y <= 2.0) or (t.cut_right and t.x + t.tile_width - x2 <= 2.0) or (t.cut_bottom and t.y + t.tile_height - y2 <= 2.0)
+            sliced = (t.cut_left and x1 - t.x <= 6.0) or (t.cut_top and y1 - t.y <= 6.0) or (t.cut_right and t.x + t.tile_width - x2 <= 6.0) or (t.cut_bottom and t.y + t.tile_height - y2 <= 6.0)
             if x2 > x1 and y2 > y1 and not sliced:
                 want.add((t.sheet, t.row, t.col, i, x1, y1, x2, y2))
                 far += t.row > 1 or t.col > 1
