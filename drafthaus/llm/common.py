@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import re
+import tempfile
 import uuid
 
 import numpy as np
@@ -15,10 +17,10 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bytes of text that are turned into arrays at a time; a longer text is taken alone.
-CHUNK = 2 << 20
+#: Bytes of text that are turned into arrays at a time; a longer text is taken alone, in pieces of this size.
+CHUNK = 256 << 10
 
-_TABLES: dict[str, list] = {}
+_TABLES: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,29 +32,35 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own where that is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir.  Where it is unset, a local session, as in tests, gets one
+    of its own; a cluster has no folder that we could choose, so there it's an error."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         set_dir = f"file://{tempfile.gettempdir()}/checkpoints"
     return set_dir.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, instead: DataFrame | None = None) -> DataFrame:
     """Cuts the lineage: df as a Parquet table in the shared folder, which outlives any executor.
 
-    The tables of a session lie in one folder named after the application and go when the driver exits.
+    The tables of a session lie in one folder named after the application and go when the driver exits; a table that
+    this one comes instead of (an earlier round of a loop) goes at once.
     """
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     root = f"{shared_dir(spark)}/drafthaus-{app}"
     if app not in _TABLES:
-        _TABLES[app] = []
+        _TABLES.add(app)
         atexit.register(_drop, spark, root)
     path = f"{root}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if instead is not None:
+        _drop(spark, instead.written_path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
 
 
 def _drop(spark: SparkSession, root: str) -> None:
@@ -64,6 +72,17 @@ def _drop(spark: SparkSession, root: str) -> None:
         pass
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to be no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df, to be broadcast if it has at most so many rows; beyond that Spark shuffles both sides."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -72,25 +91,26 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): component is the smallest node that can be reached.  edges: two long columns.
 
-    Large-star and small-star steps in turn until nothing changes; each step is a grouping by node with partial
-    aggregation and an equi-join, so no node's neighbours meet in one task, and no links reach the driver.
-    Nodes without an edge to another node have no row.
+    Large-star and small-star steps in turn until nothing changes.  The smallest neighbours are a minimum with map-side
+    combine and are written, so that Spark can split the partition of a node with many edges where they meet it in a
+    join; no node's neighbours need meet in one task, and no links reach the driver.  Nodes without an edge to
+    another node have no row.
     """
     a, b = edges.columns
     e = written(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    seen = None
+    seen = least = large = None
     while True:
         state = tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long"))).first())
         if state == seen or not state[0]:
             return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         seen = state
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), least)
+        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), large)
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), least)
         joined = large.join(least, "u")
         small_star = joined.select("u", F.col("m").alias("v")).union(joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        e = written(small_star)
+        e = written(small_star, e)
 
 
 # --- hashes of words and word shingles over Arrow buffers ---
@@ -167,27 +187,51 @@ class Words:
         return mixed((self.sums[self.end] - self.sums[self.start]) + self.size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def pieces(data: np.ndarray, spaces: np.ndarray = SPACES):
+    """(begin, end) of pieces of a long text of about CHUNK bytes, cut where a word has ended."""
+    first, n = 0, len(data)
+    while first < n:
+        last = min(n, first + CHUNK)
+        while last < n:
+            gaps = np.flatnonzero(spaces[data[last : last + CHUNK]])
+            if len(gaps):
+                last += int(gaps[0])
+                break
+            last = min(n, last + CHUNK)
+        yield first, last
+        first = last
+
+
+def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a chunk, and how many words each text has; a long text piece by piece."""
+    if len(data) <= CHUNK:
+        w = Words(data, at)
+        return w.hashes(), w.count
+    h = np.concatenate([Words(data[a:b], np.array([0, b - a])).hashes() for a, b in pieces(data)])
+    return h, np.array([len(h)])
+
+
 def shingles(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash), sorted and distinct, of the k-word shingles of each text; of fewer words, the whole sequence."""
-    w = Words(data, at)
-    h = w.hashes()
+    h, count = word_hashes(data, at)
+    begin = np.concatenate([[0], np.cumsum(count)])
     factor = _splitmix(k, 37) | np.uint64(1)
     n = len(h)
-    text = np.repeat(np.arange(len(at) - 1), w.count)
+    text = np.repeat(np.arange(len(at) - 1), count)
     full = np.zeros(max(0, n - k + 1), np.uint64)
     for j in range(k):
         full += h[j : n - k + 1 + j] * factor[j] if n >= k else 0
-    last = w.first[1:][text[: len(full)]]
+    last = begin[1:][text[: len(full)]]
     inside = np.arange(len(full)) + k <= last
     texts, values = [text[: len(full)][inside]], [mixed(full[inside])]
-    short = np.flatnonzero((w.count > 0) & (w.count < k))
+    short = np.flatnonzero((count > 0) & (count < k))
     if len(short):
         total = np.zeros(len(short), np.uint64)
         for j in range(k - 1):
-            has = w.count[short] > j
-            total[has] += h[w.first[short[has]] + j] * factor[j]
+            has = count[short] > j
+            total[has] += h[begin[short[has]] + j] * factor[j]
         texts.append(short)
-        values.append(mixed(total + w.count[short].astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
+        values.append(mixed(total + count[short].astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
     text, value = np.concatenate(texts), np.concatenate(values)
     order = np.lexsort((value, text))
     text, value = text[order], value[order]
