@@ -81,24 +81,35 @@ def _sets(words: int, percent: int | None = None):
     return run
 
 
+def _fragments(bands: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    """(first band, last band, first fragment, fragments) of (band, entries) in order: small bands are put together until
+    they have FRAGMENT entries, a large one is cut into ranges of hashes."""
+    out, base, begin, held = [], 0, None, 0
+    for i, (band, entries) in enumerate(bands):
+        begin, held = band if begin is None else begin, held + entries
+        if held >= FRAGMENT or i == len(bands) - 1:
+            ranges = min(1 << 30, held // FRAGMENT + 1) if begin == band else 1
+            out.append((begin, band, base, ranges))
+            base, begin, held = base + ranges, None, 0
+    return out
+
+
 def _segments(whole: DataFrame, misses) -> DataFrame:
     """d, n, s, frag, hs, prefix: each set's segments, of the shingles that several sets have, and their part of its prefix.
 
-    The global order is that of the fragments, and of the hashes in a fragment: fragments are ranges of hashes within
-    a band of frequencies (1 to 2, 2 to 4, ...).
+    The global order is that of the frequencies (over 64, of eighths of their logarithms), then of the hashes.
     """
     entries = whole.select("d", "n", F.explode("hs").alias("h"))
     counted = entries.groupBy("h").agg(F.count("*").alias("freq")).where("freq > 1")
-    known = written(counted.select("h", "freq", F.floor(F.log2("freq")).cast("int").alias("band")))
-    bands = sorted(tuple(r) for r in known.groupBy("band").agg(F.sum("freq")).collect())  # a row for each power of two
-    frag, base = F.lit(0), 0
-    upper = F.shiftrightunsigned("h", 32)
-    for band, total in bands:
-        ranges = min(1 << 30, total // FRAGMENT + 1)
-        frag = F.when(F.col("band") == band, F.lit(base) + F.shiftrightunsigned(upper * ranges, 32)).otherwise(frag)
-        base += ranges
-    placed = entries.join(known.select("h", frag.cast("long").alias("frag")), "h").repartition("d")
-    parts = placed.groupBy("d", "n", "frag").agg(F.sort_array(F.collect_list("h")).alias("hs"))  # a part of one set
+    band = F.when(F.col("freq") < 64, F.col("freq")).otherwise(F.floor(F.log2("freq") * 8) + 16)
+    known = written(counted.select("h", "freq", band.cast("int").alias("band")))
+    bands = sorted(tuple(r) for r in known.groupBy("band").agg(F.sum("freq")).collect())  # some hundred rows, whatever the data
+    frag, upper = F.lit(0).cast("long"), F.shiftrightunsigned("h", 32)
+    for begin, end, base, ranges in _fragments(bands):
+        frag = F.when(F.col("band").between(begin, end), F.lit(base) + F.shiftrightunsigned(upper * ranges, 32)).otherwise(frag)
+    placed = entries.join(known.select("h", "band", frag.alias("frag")), "h").repartition("d")
+    parts = placed.groupBy("d", "n", "frag").agg(F.sort_array(F.collect_list(F.struct("band", "h"))).alias("x"))  # a part of one set
+    parts = parts.select("d", "n", "frag", F.col("x.h").alias("hs"))
     own = Window.partitionBy("d")
     parts = parts.withColumn("s", F.sum(F.size("hs")).over(own)).withColumn("upto", F.sum(F.size("hs")).over(own.orderBy("frag").rowsBetween(Window.unboundedPreceding, 0)))
     parts = parts.where(F.col("n") - F.col("s") <= misses)
@@ -177,10 +188,11 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     # their differences from the hub, a tenth of their sets, are counted instead of the sets
     own = able.select("hub", "d")
     sides = own.join(entries, "d").select("d", "h", F.lit(1).alias("side")).union(own.join(entries.withColumnRenamed("d", "hub"), "hub").select("d", "h", F.lit(2).alias("side")))
-    differ = written(sides.groupBy("d", "h").agg(F.sum("side").alias("sides")).where("sides != 3").select("d", "h"))
-    within = written(within)
-    alike = within.join(differ.withColumnRenamed("d", "a"), "a").join(differ.withColumnRenamed("d", "b"), ["b", "h"]).groupBy("a", "b").agg(F.count("*").alias("alike"))
-    within = within.join(alike, ["a", "b"], "left").where((F.col("apart") - 2 * (F.col("lone") + F.coalesce("alike", F.lit(0)))) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+    differ = sides.groupBy("d", "h").agg(F.sum("side").alias("sides")).where("sides != 3").groupBy("d").agg(F.collect_list("h").alias("hs"))  # a part of two sets
+    differ = written(differ)
+    left, right = differ.select(F.col("d").alias("a"), F.col("hs").alias("xs")), differ.select(F.col("d").alias("b"), F.col("hs").alias("ys"))
+    alike = F.col("lone") + F.coalesce(F.size(F.array_intersect("xs", "ys")), F.lit(0))
+    within = written(within).join(left, "a", "left").join(right, "b", "left").where((F.col("apart") - 2 * alike) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
 
     # across families: prefix groups, but those of one component or one family are done
     member = prefix.join(joined, "d", "left").join(about.select("d", "hub"), "d", "left").select("h", "d", "n", "s", F.coalesce("c", "d").alias("c"), F.coalesce("hub", "d").alias("hub"))
