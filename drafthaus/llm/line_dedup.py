@@ -1,4 +1,4 @@
-"""Substring dedup by line and sentence hashing."""
+"""Substring dedup by line or paragraph hashing, with sentences as a finer unit."""
 
 from __future__ import annotations
 
@@ -9,10 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import free, small, written
 
-#: A unit ends at a line end, or after . ! or ? and the white space that follows.
-UNIT = re.compile(r"[^\n]*?[.!?]+(?=[ \t\r\f\v])|[^\n]+")
+#: Where a unit ends, by its kind.  Each pattern reads a text once, whatever stands in it.
+ENDS = {
+    "paragraph": re.compile(r"(?<!\n)\n(?:[ \t\r]*+\n)++"),
+    "line": re.compile(r"\n"),
+    "sentence": re.compile(r"(?<![.!?])[.!?]++(?=[ \t\r\f\v])|\n"),  # of a line
+}
 #: Documents with removed spans that may be broadcast; beyond that the texts are shuffled.
 BROADCAST_DOCS = 500_000
 #: A map task hands its units on when it holds so many.
@@ -20,79 +24,88 @@ BUFFER = 50_000
 LAST = 2**63 - 1
 
 
-def units(text: str) -> list[tuple[int, int, int, int]]:
-    """(start, end, words, digest of the normalised unit) of each unit with a word."""
+def units(text: str, kind: str = "line") -> list[tuple[int, int, int, int]]:
+    """(start, end, words, 128-bit digest of the normalised unit) of each unit with a word."""
     import xxhash
 
-    out = []
-    for found in UNIT.finditer(text):
-        words = found.group().lower().split()
+    out, begin = [], 0
+    ends = [m.span() if kind != "sentence" or m.group() == "\n" else (m.end(), m.end()) for m in ENDS[kind].finditer(text)]
+    for end, after in [*ends, (len(text), len(text))]:
+        words = text[begin:end].lower().split()
         if words:
-            a, b = found.span()
-            out.append((a, b, len(words), xxhash.xxh3_64_intdigest(" ".join(words).encode())))
+            out.append((begin, end, len(words), xxhash.xxh3_128_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))))
+        begin = after
     return out
 
 
-def _units(batches):
-    held: list[list[np.ndarray]] = []
-    count = 0
+def _units(kind: str):
+    low = (1 << 64) - 1
 
-    def sent():
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[i] for h in held])) for i in range(7)], names=["doc", "key", "no", "start", "end", "words", "digest"])
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+        count = 0
 
-    for batch in batches:
-        ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        for i in range(batch.num_rows):
-            found = units(batch.column(2)[i].as_py() or "")
-            if not found:
-                continue
-            start, end, words, digest = zip(*found)
-            n = len(found)
-            held.append([np.full(n, ids[i], np.int64), np.full(n, keys[i], np.int64), np.arange(n, dtype=np.int32), np.array(start, np.int32), np.array(end, np.int32), np.array(words, np.int32), np.array(digest, np.uint64).view(np.int64)])
-            count += n
-            if count >= BUFFER:
-                yield sent()
-                held, count = [], 0
-    if held:
-        yield sent()
+        def sent():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[i] for h in held])) for i in range(8)], names=["doc", "key", "no", "start", "end", "words", "d1", "d2"])
 
+        for batch in batches:
+            ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            for i in range(batch.num_rows):
+                found = units(batch.column(2)[i].as_py() or "", kind)
+                if not found:
+                    continue
+                start, end, words, digest = zip(*found)
+                n = len(found)
+                held.append([np.full(n, ids[i], np.int64), np.full(n, keys[i], np.int64), np.arange(n, dtype=np.int32), np.array(start, np.int32), np.array(end, np.int32), np.array(words, np.int32), np.array([d >> 64 for d in digest], np.uint64).view(np.int64), np.array([d & low for d in digest], np.uint64).view(np.int64)])
+                count += n
+                if count >= BUFFER:
+                    yield sent()
+                    held, count = [], 0
+        if held:
+            yield sent()
 
-def repeated_spans(docs: DataFrame, min_words: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return run
+
+
+def repeated_spans(docs: DataFrame, unit: str = "line", min_words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document that loses something: doc, key (the text's hash), spans array<struct<start, end, words>>.
 
-    Units are sentences and lines, normalised to lower case and single spaces.  Of each digest the occurrence with the
-    smallest (id, hash of the text, place) is kept.  Neighbouring units that occur earlier elsewhere form a span; spans of at
-    least min_words words are to be removed.  start and end are offsets (characters) in the original text.
+    Units are lines, paragraphs (parted by blank lines) or sentences within lines, normalised to lower case and single
+    spaces and named by a 128-bit digest.  Of each digest the occurrence with the smallest (id, hash of the text,
+    place) is kept.  Neighbouring units that occur earlier elsewhere form a span; spans of at least min_words words
+    are to be removed, so 1 means every later occurrence.  start and end are offsets (characters) in the original text.
 
     A digest's first place is a minimum, so that map tasks send one row per digest each, however common a unit is; its
     occurrences meet that row in a join.  The rows are written first, since Spark splits a join's large partitions only
     where both sides come straight from a shuffle.
     """
+    if unit not in ENDS:
+        raise ValueError(f"unit: {', '.join(ENDS)}")
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    found = base.mapInArrow(_units, "doc long, key long, no int, start int, end int, words int, digest long")
+    found = base.mapInArrow(_units(unit), "doc long, key long, no int, start int, end int, words int, d1 long, d2 long")
     place = F.struct("doc", "key", "no")
-    first = written(found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"))
-    again = found.join(first, "digest").where(place != F.col("first")).select("doc", "key", "no", "start", "end", "words").distinct()  # of rows that are alike, one stands for all
+    first = written(found.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first"))
+    again = found.join(first, ["d1", "d2"]).where(place != F.col("first")).select("doc", "key", "no", "start", "end", "words").distinct()  # of rows that are alike, one stands for all
     order = Window.partitionBy("doc", "key").orderBy("no")
     runs = again.repartition("doc", "key").withColumn("run", F.col("no") - F.row_number().over(order))
     spans = runs.groupBy("doc", "key", "run").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.sum("words").alias("words")).where(F.col("words") >= min_words)
-    return spans.groupBy("doc", "key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "words"))).alias("spans"))
+    return spans.groupBy("doc", "key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "words"))).alias("spans"))  # of one document
 
 
-def dedup_substrings(docs: DataFrame, min_words: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, unit: str = "line", min_words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the repeated spans in text_col; adds removed: array<struct<start, end, words>>, in order.
 
-    All other columns of docs are kept (a column named removed is replaced).  What lies between two removed spans stays
-    as it is, white space included.  A null or empty text stays so, with no spans.  Rows with a null id rank last;
-    rows with equal ids and texts are one document, so repeated rows all keep what the first keeps and come back as
-    often.  Texts of equal ids rank by their hash.  An empty table gives none.
+    All other columns of docs are kept, whatever their names (a column named removed is replaced).  What lies between
+    two removed spans stays as it is, white space included.  A null or empty text stays so, with no spans.  Rows with
+    a null id rank last; rows with equal ids and texts are one document, so repeated rows all keep what the first keeps
+    and come back as often.  Texts of equal ids rank by their hash.  An empty table gives none.
     """
-    spans = written(repeated_spans(docs, min_words, id_col, text_col))
-    columns = [c for c in docs.columns if c != "removed"]
-    keyed = docs.select(*columns).withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "_key": F.xxhash64(text_col)})
-    joined = keyed.join(small(spans.withColumnsRenamed({"doc": "_doc", "key": "_key", "spans": "_spans"}), BROADCAST_DOCS), ["_doc", "_key"], "left")
-    spans_ = F.coalesce("_spans", F.array().cast("array<struct<start:bigint,end:bigint,words:bigint>>"))
-
-    removed = joined.withColumn("removed", spans_).drop("_spans", "_doc", "_key")
-    text = F.aggregate(F.reverse("removed"), F.col(text_col), lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"].cast("int")), F.substring(t, s["end"].cast("int") + 1, F.length(t))))
-    return removed.select(*[F.when(F.size("removed") > 0, text).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in columns], "removed")
+    columns = [c for c in docs.columns if c.lower() != "removed"]
+    docs = docs.select(*columns)
+    doc, key, spans = free(docs, "doc", "key", "spans")
+    found = written(repeated_spans(docs, unit, min_words, id_col, text_col)).toDF(doc, key, spans)
+    keyed = docs.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), key: F.xxhash64(text_col)})
+    joined = keyed.join(small(found, BROADCAST_DOCS), [doc, key], "left")
+    removed = F.coalesce(F.col(spans), F.array().cast("array<struct<start:bigint,end:bigint,words:bigint>>"))
+    text = F.aggregate(F.reverse(F.col(spans)), F.col(text_col), lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"].cast("int")), F.substring(t, s["end"].cast("int") + 1, F.length(t))))
+    return joined.select(*[F.when(F.size(spans) > 0, text).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in columns], removed.alias("removed"))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, free, written
 
 #: Rows of one source that one task pairs; a larger source is cut into parts of about this size.
 PART = 100_000
@@ -139,17 +139,19 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: fl
     return out.select(F.col("id").alias(id_col), rows["source"], F.col("key").alias("text_key"), "size", "source_size", "target", (F.col("whole") + F.when(F.col("nth") <= F.col("extra"), 1).otherwise(0)).cast("int").alias("copies"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of docs as often as mix_sources says, with the columns of docs."""
-    ids = {"id_col": "doc_id", "text_col": "text", "source_col": "source"} | {k: v for k, v in options.items() if k.endswith("_col")}
-    take = mix_sources(docs, **options).where("copies > 0")
-    keyed = [F.col("_t.id").eqNullSafe(F.col(f"_d.{ids['id_col']}")), F.col("_t.key") == F.col("_d._mix_key"), F.col("_t.source").eqNullSafe(F.col(f"_d.{ids['source_col']}"))]
-    # rows that are alike are one group: all their copies together
-    take = take.groupBy(F.col(ids["id_col"]).alias("id"), "source", F.col("text_key").alias("key")).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).alias("_t")
-    one = docs.withColumn("_mix_key", F.xxhash64(ids["text_col"])).alias("_d")
-    joined = one.join(take, keyed[1] & keyed[0] & keyed[2])
-    nth = F.row_number().over(Window.partitionBy(ids["id_col"], "_mix_key", ids["source_col"]).orderBy("_mix_key"))
-    several = joined.select("_d.*", "_t.copies", "_t.rows")
-    single, repeated = several.where("rows = 1").drop("rows"), several.where("rows > 1").withColumn("nth", nth).where("nth = 1").drop("nth", "rows")
-    both = single.unionByName(repeated)
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_copy", "copies", "_mix_key")
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: each row of docs as often as mix_sources says, with the columns of docs, whatever their names.
+
+    Rows alike in id, source and text are one group, which has all copies of the group, as its first row is.  Null ids,
+    texts and sources are values of their own; an empty table gives none.
+    """
+    key, copies, rows, nth = free(docs, "key", "copies", "rows", "nth")
+    take = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).groupBy(F.col(id_col).alias("id"), F.col("source"), F.col("text_key").alias("key")).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
+    take = take.alias("_t")
+    one = docs.withColumn(key, F.xxhash64(text_col)).alias("_d")
+    same = (F.col(f"_d.{key}") == F.col("_t.key")) & F.col(f"_d.{id_col}").eqNullSafe(F.col("_t.id")) & F.col(f"_d.{source_col}").eqNullSafe(F.col("_t.source"))
+    joined = one.join(take, same).select("_d.*", F.col("_t.copies").alias(copies), F.col("_t.rows").alias(rows))
+    first = F.row_number().over(Window.partitionBy(id_col, key, source_col).orderBy(key))
+    repeated = joined.where(F.col(rows) > 1).withColumn(nth, first).where(F.col(nth) == 1).drop(nth)
+    both = joined.where(F.col(rows) == 1).unionByName(repeated)
+    return both.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)

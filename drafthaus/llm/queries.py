@@ -19,6 +19,8 @@ from .url_filter import url_filter
 
 #: (host, path, verdict)
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+#: Passages are runs of repeated sentences; a floor of 30 words leaves the short lines alone that clean documents share.
+PASSAGES = {"unit": "sentence", "min_words": 30}
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -67,7 +69,7 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_substrings(table(spark, sf_dir, "documents"))
+    found = dedup_substrings(table(spark, sf_dir, "documents"), **PASSAGES)
     return found.select("doc_id", "text", F.size("removed").alias("n_removed"), F.to_json("removed").alias("removed"))
 
 

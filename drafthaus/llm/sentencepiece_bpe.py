@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Cuts up to this length are kept, so many at a time (about 200 MB).
-KEPT_CHARS, KEPT, PAIRS = 48, 500_000, 800_000
+#: Cuts up to this length are kept, so many at a time (about 40 MB, as much again for the pairs).
+KEPT_CHARS, KEPT, PAIRS = 48, 100_000, 400_000
 
 
 class _Kept(dict):
@@ -246,7 +246,7 @@ def _shared_model(spark, path: str):
 
 _TYPES = {"ids": ("array<int>", pa.list_(pa.int32())), "n_tokens": ("long", pa.int64()), "decoded": ("string", pa.string()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
 #: Texts whose outputs make one batch.
-ROWS = 500
+ROWS = 200
 
 
 def sentencepiece_round_trip(docs: DataFrame, model: str, outputs=("ids", "decoded"), keep=("doc_id",), text_col: str = "text") -> DataFrame:

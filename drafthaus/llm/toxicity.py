@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, BYTE_LOWER, Words, chunks, mixed
+from .common import BYTE, BYTE_LOWER, CHUNK, Words, chunks, mixed, pieces, written
 
 #: Features are hashed to so many bits.
 BITS = 20
@@ -19,6 +19,15 @@ NOT_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x8
 
 def word_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, features) of each distinct word of each text, whatever its case: a row of hashed features, -1 for none."""
+    if len(data) <= CHUNK:
+        text, _, feats = _word_features(data, at)
+        return text, feats
+    found = [_word_features(data[a:b], np.array([0, b - a]))[1:] for a, b in pieces(data, NOT_WORD)]  # one long text
+    feats = np.concatenate([f for _, f in found])[np.unique(np.concatenate([h for h, _ in found]), return_index=True)[1]]
+    return np.zeros(len(feats), np.int64), feats
+
+
+def _word_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     low = data.copy()
     if len(low) > 1:
         capital = np.flatnonzero((low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97)) + 1
@@ -37,7 +46,7 @@ def word_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
         long = w.size[pick] > size
         s = w.start[pick][long]
         out[long, k] = mixed((w.sums[s + size] - w.sums[s]) ^ BYTE[size]) >> shift
-    return text[pick], out
+    return text[pick], h[pick], out
 
 
 class Model:
@@ -52,34 +61,29 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, epochs: int = 60, batch: int = 1024, rate: float = 0.05, decay: float = 1e-3, least: int = 3, evidence: float = 16.0, seed: int = 5) -> Model:
-    """rows: features of each document; positive: which are confirmed, the others are unlabelled.
+def telling_features(df_p: np.ndarray, n_p: int, df_u: np.ndarray, n_u: int, least: int = 3, evidence: float = 16.0) -> np.ndarray:
+    """Features that tell confirmed documents from the corpus: those of `least` confirmed documents or more whose share
+    among the confirmed is the larger one by a likelihood ratio (G squared) of `evidence`.  df: documents with each."""
+    term = lambda k, n, q: np.where(k > 0, k * np.log(np.maximum(k, 1) / np.maximum(n * q, 1e-12)), 0.0)
+    share = (df_p + df_u) / max(1, n_p + n_u)
+    ratio = 2 * (term(df_p, n_p, share) + term(n_p - df_p, n_p, 1 - share) + term(df_u, n_u, share) + term(n_u - df_u, n_u, 1 - share))
+    return np.flatnonzero((df_p >= least) & (df_p * n_u > 2 * df_u * n_p) & (ratio >= evidence))
+
+
+def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, used: np.ndarray, start: np.ndarray, epochs: int = 60, batch: int = 1024, rate: float = 0.05, decay: float = 1e-3, seed: int = 5) -> Model:
+    """rows: features (of those in used) of each document; positive: which are confirmed, the others are unlabelled.
 
     Minimises prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]) with the logistic loss; when the second part
-    of a batch is under 0, the step goes against it instead.  Only features that tell confirmed documents from
-    unlabelled ones get a weight: those of `least` confirmed documents or more whose share among the confirmed is
-    the larger one by a likelihood ratio (G squared) of `evidence`.  Their weights start at the corrected log ratio.
+    of a batch is under 0, the step goes against it instead.  The weights of the used features begin at start.
     """
     size = 1 << BITS
-    weights, bias = np.zeros(size), 0.0
-    if not positive.any() or positive.all() or not 0 < prior < 1:
+    weights = np.zeros(size)
+    if not len(used) or not positive.any() or positive.all() or not 0 < prior < 1:
         return Model(weights, float(np.log(max(prior, 1e-3) / (1 - min(prior, 0.999)))))
-    rows = [np.unique(r[r >= 0]) for r in rows]
-    n_p, n_u = int(positive.sum()), int((~positive).sum())
-    df_p = np.bincount(np.concatenate([r for r, y in zip(rows, positive) if y]), minlength=size)
-    df_u = np.bincount(np.concatenate([r for r, y in zip(rows, positive) if not y]), minlength=size)
-    term = lambda k, n, q: np.where(k > 0, k * np.log(np.maximum(k, 1) / np.maximum(n * q, 1e-12)), 0.0)
-    share = (df_p + df_u) / (n_p + n_u)
-    ratio = 2 * (term(df_p, n_p, share) + term(n_p - df_p, n_p, 1 - share) + term(df_u, n_u, share) + term(n_u - df_u, n_u, 1 - share))
-    used = np.flatnonzero((df_p >= least) & (df_p * n_u > 2 * df_u * n_p) & (ratio >= evidence))
-    if not len(used):
-        return Model(weights, float(np.log(prior / (1 - prior))))
     name = np.full(size, -1, np.int64)
     name[used] = np.arange(len(used))
     rows = [name[r][name[r] >= 0] for r in rows]
-    w, m, v = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used))
-    clean = np.maximum((df_u[used] / n_u - prior * df_p[used] / n_p) / (1 - prior), 0.5 / n_u)  # share among the rest
-    w += 0.25 * np.log(np.maximum(df_p[used] / n_p / clean, 1.0))  # a quarter, as prefixes of a word come together
+    w, m, v = start.astype(float), np.zeros(len(used)), np.zeros(len(used))
     b, mb, vb = float(np.log(prior / (1 - prior))), 0.0, 0.0
     rng = np.random.default_rng(seed)
     pos, unl = np.flatnonzero(positive), np.flatnonzero(~positive)
@@ -118,33 +122,74 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, epochs:
     return Model(weights, b)
 
 
-def _sample_features(batches):
-    for batch in batches:
-        for first, data, at in chunks(batch.column(1)):
-            text, feats = word_features(data, at)
-            ends = np.searchsorted(text, np.arange(len(at)))
-            blobs = [np.unique(feats[a:b][feats[a:b] >= 0]).astype(np.int32).tobytes() for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(at) - 1), pa.array(blobs, pa.binary())], names=["confirmed", "feats"])
+def _counts(among: np.ndarray | None):
+    """(feature, documents with it) of a task's texts, of the features in among."""
+
+    def run(batches):
+        counts = np.zeros(1 << BITS, np.int64)
+        for batch in batches:
+            for _, data, at in chunks(batch.column(0)):
+                text, feats = word_features(data, at)
+                pairs = np.unique((text[:, None] * (1 << BITS) + feats)[feats >= 0])  # a document counts once
+                counts += np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS)
+        if among is not None:
+            counts[~among] = 0
+        found = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(counts[found])], names=["feature", "docs"])
+
+    return run
+
+
+def _document_frequencies(texts: DataFrame, among: np.ndarray | None = None) -> np.ndarray:
+    """How many of the texts have each feature; added up by feature, so at most a row for each comes to the driver."""
+    found = texts.mapInArrow(_counts(among), "feature int, docs long").groupBy("feature").agg(F.sum("docs").alias("docs")).toArrow()
+    out = np.zeros(1 << BITS, np.int64)
+    out[found["feature"].to_numpy()] = found["docs"].to_numpy()
+    return out
+
+
+def _sample_features(used: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            for first, data, at in chunks(batch.column(1)):
+                text, feats = word_features(data, at)
+                ends = np.searchsorted(text, np.arange(len(at)))
+                blobs = [(f := np.unique(feats[a:b]))[(f >= 0) & used[f]].astype(np.int32).tobytes() for a, b in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(at) - 1), pa.array(blobs, pa.binary())], names=["confirmed", "feats"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, confirmed: int = 4000, unlabelled: int = 8000, usable=None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits the model on at most `confirmed` documents labelled 1 and at most `unlabelled` documents of any kind.
+    """Fits the model on at most `confirmed` rows of labels with a 1 and at most `unlabelled` rows of labels whatever
+    their label, which these then don't show; and on how many of all documents have a feature.
 
     Both samples are those with the smallest hash of the id, so reruns agree; usable (a condition on id_col) says which
-    ids may be learnt from, all by default.  Their hashed features, not their texts, come to the driver: about 8 kB
-    each, 100 MB at these bounds.  The class prior is the mean of the usable labels.  Null ids and labels are left out;
-    without a confirmed document, every score is the prior.
+    ids may be learnt from, all by default.  The corpus counts go over every usable document.  What comes to the driver
+    are counts by feature (2 ** 20 at most) and, of the samples, the few features that were chosen.  The class prior is
+    the mean of the usable labels.  Null ids and labels are left out; without a confirmed document, every score is
+    the prior.
     """
     usable = F.lit(True) if usable is None else usable
     known = labels.select(F.col(id_col), F.col(label_col).cast("double").alias("y")).where(usable & F.col(id_col).isNotNull() & F.col("y").isNotNull())
     prior = known.agg(F.avg("y")).first()[0] or 0.0
     order = F.xxhash64(id_col, F.lit(17))
     p = known.where("y = 1").select(id_col).distinct().orderBy(order, id_col).limit(confirmed).withColumn("confirmed", F.lit(True))
-    u = docs.select(id_col).where(usable & F.col(id_col).isNotNull()).distinct().orderBy(order, id_col).limit(unlabelled).withColumn("confirmed", F.lit(False))
-    wanted = F.broadcast(p.unionByName(u))  # two rows for a document in both
-    rows = docs.select(id_col, F.col(text_col).alias("text")).join(wanted, id_col).select("confirmed", "text").mapInArrow(_sample_features, "confirmed boolean, feats binary").toArrow()
+    u = known.select(id_col).distinct().orderBy(order, id_col).limit(unlabelled).withColumn("confirmed", F.lit(False))
+    wanted = written(p.unionByName(u))  # two rows for a document in both
+    texts = docs.select(id_col, F.col(text_col).alias("text")).where(usable & F.col(id_col).isNotNull())
+    sample = texts.join(F.broadcast(wanted), id_col).select("confirmed", "text")
+    df_p = _document_frequencies(sample.where("confirmed").select("text"))
+    n_p, n_u = sample.where("confirmed").count(), texts.count()
+    df_u = _document_frequencies(texts.select("text"), df_p >= 3)
+    used = telling_features(df_p, n_p, df_u, n_u)
+    mask = np.zeros(1 << BITS, bool)
+    mask[used] = True
+    rows = sample.mapInArrow(_sample_features(mask), "confirmed boolean, feats binary").toArrow()
     rows = sorted(zip(rows["confirmed"].to_pylist(), rows["feats"].to_pylist()))  # in an order that reruns share
-    return fit_nnpu([np.frombuffer(f, np.int32) for _, f in rows], np.array([c for c, _ in rows], bool), prior)
+    clean = np.maximum((df_u[used] / max(1, n_u) - prior * df_p[used] / max(1, n_p)) / max(1e-9, 1 - prior), 0.5 / max(1, n_u))  # share among the rest
+    start = 0.25 * np.log(np.maximum(df_p[used] / max(1, n_p) / clean, 1.0))  # a quarter, as prefixes of a word come together
+    return fit_nnpu([np.frombuffer(f, np.int32) for _, f in rows], np.array([c for c, _ in rows], bool), prior, used, start)
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,17 +213,17 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
 
 def clean_documents(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose score is under the threshold."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
+    """The rows of docs, with all their columns, whose score is under the threshold.
+
+    Only texts go to Python; the rows are filtered where they are, so the names of other columns can't clash.  A null or
+    empty text has the score of the bias; repeated rows share their score; an empty table gives none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
-    place = docs.columns.index(text_col)
 
-    def run(batches):
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         weights, bias = shared.value
         own = Model(weights[:-1], bias)
-        for batch in batches:
-            for first, data, at in chunks(batch.column(place)):
-                yield batch.slice(first, len(at) - 1).filter(pa.array(own.scores(data, at) < threshold))
+        return pa.array(np.concatenate([own.scores(data, at) for _, data, at in chunks(texts)] or [np.zeros(0)]))
 
-    renamed = docs.toDF(*names)
-    return renamed.mapInArrow(run, renamed.schema).toDF(*docs.columns)
+    return docs.where(score(F.col(text_col)) < threshold)

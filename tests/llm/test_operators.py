@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -191,18 +192,64 @@ def test_embeddings(spark, sf):
     assert embedding_dedup.embedding_near_duplicates(df.limit(0)).count() == 0
 
 
+def deduped(rows, unit, min_words):
+    """Brute force: (id, text) after removal, by the definition, unit by unit."""
+    split = {"line": lambda t: re.finditer(r"[^\n]+", t), "sentence": lambda t: re.finditer(r"[^\n]*?[.!?]+(?=[ \t\r\f\v])|[^\n]+", t)}[unit]
+    seen, out = set(), []
+    for i, t in sorted(rows):
+        found = [(m.span(), " ".join(m.group().lower().split())) for m in split(t or "")]
+        found = [x for x in found if x[1]]
+        again, mine = [], set()
+        for _, s in found:
+            again.append(s in seen or s in mine)
+            mine.add(s)
+        seen |= mine
+        keep, k = t, len(found) - 1
+        while k >= 0:
+            if again[k]:
+                j = k
+                while j > 0 and again[j - 1]:
+                    j -= 1
+                if sum(len(s.split()) for _, s in found[j : k + 1]) >= min_words:
+                    keep = keep[: found[j][0][0]] + keep[found[k][0][1] :]
+                k = j
+            k -= 1
+        out.append((i, keep))
+    return out
+
+
+@pytest.mark.parametrize("unit, min_words", [("line", 1), ("sentence", 30)])
+def test_substrings_brute_force(spark, unit, min_words):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = deduped([(r.doc_id, r.text) for r in docs.collect()], unit, min_words)
+    got = line_dedup.dedup_substrings(docs, unit, min_words).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == want
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in got:  # the original offsets lead to the same text
+        t = text[r.doc_id]
+        for s in reversed(r.removed):
+            t = t[: s.start] + t[s.end :]
+        assert t == r.text
+
+
 def test_substrings(spark):
     passage = " ".join(f"word{i}" for i in range(60)) + "."
-    docs = spark.createDataFrame([(1, f"Intro one.\n{passage}\nEnd one."), (2, f"Other start.\n{passage.upper()}\nOther end."), (3, f"Inline here. {passage} Then more."), (4, "Intro one.\nOnly this."), (5, None), (6, ""), (2, f"Other start.\n{passage.upper()}\nOther end.")], "doc_id long, text string")
-    docs = docs.withColumn("removed", F.lit(1)).withColumn("words", F.lit("w"))
-    got = line_dedup.dedup_substrings(docs).collect()
+    docs = spark.createDataFrame([(1, f"Intro one.\n{passage}\nEnd one."), (2, f"Other start.\n{passage.upper()}\nOther end."), (3, f"Inline here. {passage} Then more."), (4, "Intro one.\nOnly this."), (5, None), (6, ""), (2, f"Other start.\n{passage.upper()}\nOther end."), (None, "Only this."), (7, "x. " * 40000)], "doc_id long, text string")
+    for c in ("removed", "doc", "key", "spans", "_doc", "_key", "_spans", "digest"):
+        docs = docs.withColumn(c, F.lit(c))
+    got = line_dedup.dedup_substrings(docs, "sentence", 30).collect()
     text = {r.doc_id: r.text for r in got}
-    assert len(got) == 7 and text[1].count("word59") == 1 and "WORD59" not in text[2] and "word59" not in text[3]
+    assert len(got) == 9 and text[1].count("word59") == 1 and "WORD59" not in text[2] and "word59" not in text[3] and len(text[7]) < 10
     assert text[4] == "Intro one.\nOnly this." and text[5] is None and text[6] == "" and text[3].startswith("Inline here.") and text[3].endswith("Then more.")
     r = next(r for r in got if r.doc_id == 2)
     s = r.removed[0]
-    assert f"Other start.\n{passage.upper()}\nOther end."[s.start : s.end] == passage.upper() and r.words == "w"
+    assert f"Other start.\n{passage.upper()}\nOther end."[s.start : s.end] == passage.upper() and r.doc == "doc" and r._spans == "_spans"
+    every = {r.doc_id: r.text for r in line_dedup.dedup_substrings(docs).collect()}
+    assert every[4] == "\nOnly this." and every[None] == "" and every[2] == "Other start.\n\nOther end." and passage in every[3]
     assert line_dedup.dedup_substrings(docs.limit(0)).count() == 0
+    began = time.time()
+    assert len(line_dedup.units("." * 1_000_000, "sentence")) == 1 and len(line_dedup.units(". " * 300_000, "sentence")) == 300_000 and len(line_dedup.units("\n" * 1_000_000, "paragraph")) == 0
+    assert len(line_dedup.units("a\nb\n \n\nc", "paragraph")) == 2 and time.time() - began < 3
 
 
 def test_html(spark):
