@@ -9,7 +9,7 @@ from drafthaus.llm.common import table, written
 from drafthaus.llm.line_dedup import dedup_substrings
 from drafthaus.llm.mixing import mixed_documents
 from drafthaus.llm.ngram_join import one_of_each
-from drafthaus.llm.queries import held_out, tokenizer_path
+from drafthaus.llm.queries import PASSAGES, held_out, tokenizer_path
 from drafthaus.llm.sentencepiece_bpe import sentencepiece_round_trip
 from drafthaus.llm.toxicity import clean_documents, train
 
@@ -26,7 +26,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that stand in an earlier document are cut out; n_chars follows the text."""
-    return dedup_substrings(docs).drop("removed").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return dedup_substrings(docs, **PASSAGES).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
