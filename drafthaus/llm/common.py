@@ -72,6 +72,18 @@ def _drop(spark: SparkSession, root: str) -> None:
         pass
 
 
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, of whose rows an Arrow batch for Python holds 4 MB, or one row that is longer.
+
+    Spark's own default, 64 MB, counts several times for each task, in the JVM and in Python.  The setting is of the session;
+    one that differs from the default is left alone.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) in ("67108864b", "64MB", "67108864"):
+        conf.set(key, "4194304b")
+    return df
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores in front as it takes to be no column of df."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -17,18 +17,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template"}
+RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "noscript", "template"}
 #: Elements inside a block; all others are blocks.
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-#: Never text.
-HIDDEN = {"head", "script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template", "svg", "math", "object", "canvas", "select", "button", "datalist", "audio", "video", "map"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "math", "mi", "mn", "mo", "mrow", "msup", "msub", "mfrac", "msqrt", "mtext", "svg", "g", "text", "tspan", "path"}
+#: Never text: scripts, styles, markup for other readers, and the controls of forms.
+HIDDEN = {"head", "script", "style", "title", "iframe", "noembed", "noframes", "noscript", "template", "textarea", "select", "button", "datalist"}
+#: Loose text right below these is a node of its own, "#text", as an article and what surrounds it can both stand there.
+LOOSE = {"#page", "html", "body"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 #: Block elements that leave a paragraph open.
 IN_P = INLINE | VOID - {"hr"} | {"button", "svg", "object", "math", "canvas", "audio", "video", "map", "script", "style", "template", "noscript", "iframe", "select", "textarea"}
-TAGS = ["p", "div", "section", "article", "main", "nav", "header", "footer", "aside", "ul", "ol", "li", "form", "table", "td", "h1", "h2", "h3", "blockquote", "pre", "figure", "body", "html", "dl"]
-TAG_NO = {t: i for i, t in enumerate(TAGS)} | {"menu": 9, "th": 14, "tr": 13, "tbody": 13, "thead": 13, "h4": 17, "h5": 17, "h6": 17, "fieldset": 12}
+TAGS = ["p", "div", "section", "article", "main", "nav", "header", "footer", "aside", "ul", "ol", "li", "form", "table", "td", "h1", "h2", "h3", "blockquote", "pre", "figure", "body", "html", "#text"]
+TAG_NO = {t: i for i, t in enumerate(TAGS)} | {"menu": 9, "dl": 9, "th": 14, "tr": 13, "tbody": 13, "thead": 13, "h4": 17, "h5": 17, "h6": 17, "fieldset": 12}
 TOKEN = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*+>?|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -37,34 +41,71 @@ SPACE = re.compile(r"[^\S\xa0]+|\xa0+")
 
 
 class Page:
-    """The block elements of a page, parents first, and its text in pieces (node, text)."""
+    """The block elements of a page in order, parents first, and its text in pieces (node, text).
+
+    A subtree is the range of nodes from its root to before its end.  The time is linear in the page: the open elements
+    are known by name, so that nothing looks through all of them.
+    """
 
-    __slots__ = ("tag", "parent", "depth", "tokens", "pieces", "links", "place")
+    __slots__ = ("tag", "parent", "depth", "tokens", "pieces", "links", "place", "end")
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.depth, self.tokens, self.place = ["#page"], [-1], [0], [()], [0]
+        self.tag, self.parent, self.depth, self.tokens, self.place, self.end = ["#page"], [-1], [0], [()], [0], [0]
         self.pieces: list[tuple[int, str]] = []
         self.links: list[int] = []  # characters of links, by piece
         stack: list[tuple[str, int]] = [("#page", 0)]
+        where: dict[str, list[int]] = {}  # places of the open elements in the stack, by name
+        blocks = [0]  # places of the open blocks
         children = [0]
+        loose = -1  # the node of the loose text that goes on here
         at, n = 0, len(source)
-        in_link = 0
+
+        def piece(node, text, link=0):
+            self.pieces.append((node, text))
+            self.links.append(link)
+
+        def node(name, own, tokens=()):
+            self.place.append(children[own])
+            children[own] += 1
+            children.append(0)
+            self.tag.append(name)
+            self.parent.append(own)
+            self.depth.append(self.depth[own] + 1)
+            self.tokens.append(tokens)
+            self.end.append(len(self.tag))
+            return len(self.tag) - 1
 
         def text(a, b):
-            if a < b:
-                self.pieces.append((stack[-1][1], source[a:b]))
-                self.links.append(b - a if in_link else 0)
+            nonlocal loose
+            if a >= b:
+                return
+            raw, own = source[a:b], stack[-1][1]
+            if self.tag[own] in LOOSE:
+                if loose < 0 and not raw.isspace():
+                    loose = node("#text", own)
+                if loose >= 0:
+                    own = loose
+            piece(own, html.unescape(raw) if "&" in raw else raw, b - a if where.get("a") else 0)
 
         def pop_to(k):
-            nonlocal in_link
-            for t, _ in stack[k:]:
-                if t == "a":
-                    in_link -= 1
-            if any(t not in INLINE for t, _ in stack[k:]):
-                self.pieces.append((stack[k - 1][1], " "))
-                self.links.append(0)
-            del stack[k:]
-
+            nonlocal loose
+            block = False
+            while len(stack) > k:
+                name, own = stack.pop()
+                where[name].pop()
+                if name not in INLINE:
+                    blocks.pop()
+                    self.end[own] = len(self.tag)
+                    block = True
+            if block:
+                piece(stack[-1][1], " ")
+                loose = -1
+
+        def push(name, own):
+            where.setdefault(name, []).append(len(stack))
+            stack.append((name, own))
+
+        last = lambda names: max((where[t][-1] for t in names if where.get(t)), default=0)
         while at < n:
             found = TOKEN.search(source, at)
             if not found:
@@ -78,67 +119,45 @@ class Page:
             name = name.lower()
             closing = (found.group(1) if found.group(2) else found.group(4)) == "/"
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        pop_to(k)
-                        break
-                    if name in INLINE and stack[k][0] not in INLINE:
-                        break  # an inline end tag closes nothing outside its block
+                k = where[name][-1] if where.get(name) else 0
+                if k and (name not in INLINE or k > blocks[-1]):  # an inline end tag closes nothing outside its block
+                    pop_to(k)
                 continue
-            if name not in IN_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        pop_to(k)
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
-            if name in CLOSES:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in CLOSES[name]:
-                        pop_to(k)
-                        break
-                    if stack[k][0] in STOPS[name]:
-                        break
+            if name not in IN_P and stack[blocks[-1]][0] == "p":
+                pop_to(blocks[-1])
+            if name in CLOSES and (k := last(CLOSES[name])) > last(STOPS[name]):
+                pop_to(k)
             if name in VOID:
                 if name in ("br", "hr", "img"):
-                    self.pieces.append((stack[-1][1], " " if name != "img" else ""))
-                    self.links.append(0)
+                    piece(loose if loose >= 0 else stack[-1][1], " " if name != "img" else "")
                 continue
             if name in RAW:
                 end = RAW_END[name].search(source, at)
                 at = end.end() if end else n
-                self.pieces.append((stack[-1][1], "" if name in ("script", "style", "template", "noscript") else " "))
-                self.links.append(0)
+                piece(stack[-1][1], "" if name in ("script", "style", "template", "noscript") else " ")
                 continue
             if name in INLINE:
-                if name == "a":
-                    in_link += 1
-                stack.append((name, stack[-1][1]))
+                push(name, stack[-1][1])
                 continue
             own = stack[-1][1]
-            self.pieces.append((own, " "))
-            self.links.append(0)
+            piece(own, " ")
+            loose = -1
             attributes = found.group(3) if found.group(2) else found.group(6)
             tokens: tuple = ()
             if attributes and not attributes.isspace():
                 tokens = tuple(dict.fromkeys(p.lower() for a in ATTRIBUTE.findall(attributes) for p in PART.findall(a)))
-            self.place.append(children[own])
-            children[own] += 1
-            children.append(0)
-            self.tag.append(name)
-            self.parent.append(own)
-            self.depth.append(self.depth[own] + 1)
-            self.tokens.append(tokens)
-            stack.append((name, len(self.tag) - 1))
+            blocks.append(len(stack))
+            push(name, node(name, own, tokens))
+        pop_to(1)
+        self.end[0] = len(self.tag)
 
     def text(self, keep) -> str:
-        """The kept nodes' text: references decoded, white space of each block one space, blocks joined by one."""
-        kept = "".join([t if keep[k] else " " for k, t in self.pieces])
-        return " ".join(html.unescape(kept).split())
+        """The kept nodes' text: white space of each block one space, blocks joined by one."""
+        return " ".join("".join([t if keep[k] else " " for k, t in self.pieces]).split())
 
 
-def features(pages: list[Page], vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(features, parent, depth, first node of each page) of the nodes of all pages."""
+def features(pages: list[Page], vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, parents, first node of each page) of the nodes of all pages."""
     sizes = np.array([len(p.tag) for p in pages])
     base = np.concatenate([[0], np.cumsum(sizes)])
     n = int(base[-1])
@@ -146,6 +165,7 @@ def features(pages: list[Page], vocabulary: dict[str, int]) -> tuple[np.ndarray,
     parent = np.concatenate([np.array(p.parent) for p in pages]) + offset
     roots = base[:-1]
     parent[roots] = roots
+    end = np.concatenate([np.array(p.end) for p in pages]) + offset
     depth = np.concatenate([np.array(p.depth) for p in pages])
     place = np.concatenate([np.array(p.place) for p in pages])
     tag = np.array([TAG_NO.get(t, len(TAGS)) for p in pages for t in p.tag])
@@ -158,9 +178,8 @@ def features(pages: list[Page], vocabulary: dict[str, int]) -> tuple[np.ndarray,
         sums[:, k] = np.bincount(owner, weights=x, minlength=n) if len(owner) else 0
     own_chars = sums[:, 0].copy()
     sums[:, 3], sums[:, 4], sums[:, 5] = 1, tag == 0, tag == 11
-    for d in range(int(depth.max(initial=0)), 0, -1):
-        at = np.flatnonzero(depth == d)
-        np.add.at(sums, parent[at], sums[at])
+    total = np.concatenate([np.zeros((1, 6)), np.cumsum(sums, axis=0)])
+    sums = total[end] - total[:-1]  # of the subtrees, whose nodes follow each other
     chars, linked, stop, elements, paragraphs, items = sums.T
     whole = chars[np.repeat(roots, sizes)] + 1
     siblings = np.bincount(parent, minlength=n)
@@ -185,35 +204,30 @@ def features(pages: list[Page], vocabulary: dict[str, int]) -> tuple[np.ndarray,
     own[:, 15] = paragraphs / elements
     own_tag = np.zeros((n, len(TAGS) + 1), np.float32)
     own_tag[np.arange(n), tag] = 1
-    above = np.zeros((n, len(TAGS) + 1 + len(vocabulary)), np.float32)  # of the node or an ancestor
-    above[np.arange(n), tag] = 1
     shift = len(TAGS) + 1
-    for p, b in zip(pages, base):
-        for k, tokens in enumerate(p.tokens):
-            for t in tokens:
-                j = vocabulary.get(t)
-                if j is not None:
-                    above[b + k, shift + j] = 1
-    for d in range(1, int(depth.max(initial=0)) + 1):
-        at = np.flatnonzero(depth == d)
-        above[at] = np.maximum(above[at], above[parent[at]])
-    return np.hstack([own.astype(np.float32), own_tag, above]), parent, depth, roots
+    known = [(b + k, shift + vocabulary[t]) for p, b in zip(pages, base) for k, tokens in enumerate(p.tokens) for t in tokens if t in vocabulary]
+    at, column = np.array([*((i, t) for i, t in enumerate(tag.tolist())), *known], np.int64).reshape(-1, 2).T
+    above = np.zeros((n + 1, shift + len(vocabulary)), np.int32)  # of the node or how many ancestors
+    np.add.at(above, (at, column), 1)
+    np.add.at(above, (end[at], column), -1)
+    above = (np.cumsum(above, axis=0)[:-1] > 0).astype(np.float32)
+    return np.hstack([own.astype(np.float32), own_tag, above]), parent, roots
 
 
 class Boosted:
-    """Gradient-boosted regression trees for log odds, on quantile bins."""
+    """Gradient-boosted regression trees for log odds: numbers on quantile bins, indicators by matrix products."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 30, levels: int = 4, rate: float = 0.35, bins: int = 16, ridge: float = 1.0):
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 60, levels: int = 5, rate: float = 0.2, bins: int = 32, ridge: float = 1.0):
         used = np.flatnonzero((x != x[:1]).sum(axis=0) >= 40)  # the others say nothing about more than a few nodes
-        x = x[:, used]
-        n, m = x.shape
+        flags = np.array([j for j in used if np.isin(x[:, j], (0, 1)).all()], int)
+        numbers = np.setdiff1d(used, flags)
+        n, m = len(x), len(numbers)
         self.levels, self.base = levels, float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
-        cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(m)]
-        binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], axis=1)
-        width = bins
-        flat = binned + np.arange(m) * width
+        cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in numbers]
+        binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in zip(numbers, cuts)], axis=1)
+        flat, on = binned + np.arange(m) * bins, np.ascontiguousarray(x[:, flags].T)
         self.feature, self.cut, self.leaf = [], [], []
-        f = np.full(n, self.base)
+        f, rows = np.full(n, self.base), np.arange(n)
         for _ in range(trees):
             p = 1 / (1 + np.exp(-f))
             g, h = y - p, np.maximum(p * (1 - p), 1e-6)
@@ -221,20 +235,30 @@ class Boosted:
             feature, cut = np.zeros(2**levels - 1, int), np.full(2**levels - 1, np.inf)
             for level in range(levels):
                 first, count = 2**level - 1, 2**level
-                slot = (node * (m * width))[:, None] + flat
-                gs = np.bincount(slot.ravel(), weights=np.repeat(g, m), minlength=count * m * width).reshape(count, m, width)
-                hs = np.bincount(slot.ravel(), weights=np.repeat(h, m), minlength=count * m * width).reshape(count, m, width)
-                gl, hl = gs.cumsum(2), hs.cumsum(2)
-                gt, ht = gl[:, :, -1:], hl[:, :, -1:]
-                gain = gl**2 / (hl + ridge) + (gt - gl) ** 2 / (ht - hl + ridge) - gt**2 / (ht + ridge)
-                gain[:, :, -1] = 0
-                best = gain.reshape(count, -1).argmax(1)
+                slot = ((node * (m * bins))[:, None] + flat).ravel()
+                dealt = np.zeros((2, n, count), np.float32)
+                dealt[0, rows, node], dealt[1, rows, node] = g, h
+                left, whole = [], dealt.sum(axis=1, dtype=float)
+                for k, v in enumerate((g, h)):
+                    of_numbers = np.bincount(slot, weights=np.repeat(v, m), minlength=count * m * bins).reshape(count, m, bins).cumsum(2)
+                    of_flags = whole[k][:, None] - (on @ dealt[k]).T
+                    left.append(np.concatenate([of_numbers.reshape(count, m * bins), of_flags], axis=1))
+                (gl, hl), (gt, ht) = left, whole[:, :, None]
+                gain = gl**2 / (hl + ridge) + (gt - gl) ** 2 / (np.maximum(ht - hl, 0) + ridge) - gt**2 / (ht + ridge)
+                gain[:, bins - 1 : m * bins : bins] = 0
+                best = gain.argmax(1)
                 right = np.zeros(n, bool)
                 for k in range(count):
-                    j, b = divmod(int(best[k]), width)
-                    if gain[k, j, b] > 1e-6 and b < len(cuts[j]):
-                        feature[first + k], cut[first + k] = used[j], cuts[j][b]
-                        here = node == k
+                    j, b = divmod(int(best[k]), bins)
+                    if gain[k, best[k]] <= 1e-6 or (j < m and b >= len(cuts[j])):
+                        continue
+                    here = node == k
+                    if best[k] >= m * bins:
+                        j = int(best[k]) - m * bins
+                        feature[first + k], cut[first + k] = flags[j], 0.5
+                        right[here] = on[j, here] > 0.5
+                    else:
+                        feature[first + k], cut[first + k] = numbers[j], cuts[j][b]
                         right[here] = binned[here, j] > b
                 node = node * 2 + right
             leaves = np.bincount(node, weights=g, minlength=2**levels) / (np.bincount(node, weights=h, minlength=2**levels) + ridge) * rate
@@ -253,18 +277,18 @@ class Boosted:
         return out
 
 
-def decode(odds: np.ndarray, parent: np.ndarray, depth: np.ndarray, roots: np.ndarray) -> np.ndarray:
+def decode(odds: np.ndarray, parent: np.ndarray, roots: np.ndarray) -> np.ndarray:
     """Kept nodes: the best sum of log odds among labels that keep nothing below a dropped node."""
-    keep, drop = odds.copy(), -odds
-    order = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)]
-    for at in reversed(order[1:]):
-        np.add.at(keep, parent[at], np.maximum(keep[at], drop[at]))
-        np.add.at(drop, parent[at], drop[at])
-    out = np.zeros(len(odds), bool)
-    out[roots] = True  # the page itself is no node to drop
-    for at in order[1:]:
-        out[at] = out[parent[at]] & (keep[at] > drop[at])
-    return out
+    keep, drop, up = odds.tolist(), (-odds).tolist(), parent.tolist()
+    root = np.zeros(len(odds), bool)
+    root[roots] = True  # the page itself is no node to drop
+    for i in np.flatnonzero(~root)[::-1].tolist():  # children come after their parents
+        keep[up[i]] += max(keep[i], drop[i])
+        drop[up[i]] += drop[i]
+    out = root.tolist()
+    for i in np.flatnonzero(~root).tolist():
+        out[i] = out[up[i]] and keep[i] > drop[i]
+    return np.array(out, bool)
 
 
 # --- generated pages, whose main text is known ---
@@ -359,11 +383,13 @@ def _generated(rng: np.random.Generator) -> tuple[str, str]:
             return f"<div>{M}{inline(prose(0))}</div>"
         if r < 0.96:
             return f"<pre>{M}{prose()}</pre>"
-        if r < 0.98:
+        if r < 0.97:
+            return f"{M}{inline(prose())}" if rng.random() < 0.5 else f"<p>{M}{prose(0)}</p>{M}{sentence()}"
+        if r < 0.985:
             return f"<figure><img src='/i.png'><figcaption>{M}{sentence(6)}</figcaption></figure>"
         return "<table>" + "".join(f"<tr><td>{M}{word()}</td><td>{M}{sentence(4)}</td></tr>" for _ in range(3)) + "</table>"
 
-    count = int(rng.choice([1, 2, 4, 8, 16, 30], p=[0.15, 0.15, 0.25, 0.25, 0.15, 0.05]))
+    count = int(rng.choice([1, 2, 4, 8, 16, 30], p=[0.25, 0.15, 0.2, 0.2, 0.15, 0.05]))
     blocks = ([f"<h1>{M}{sentence(5)}</h1>"] if rng.random() < 0.8 else []) + [block() for _ in range(count)]
     for kind in ("ad", "share", "aside", "form", "notice", "comments"):
         if rng.random() < 0.12:
@@ -373,13 +399,20 @@ def _generated(rng: np.random.Generator) -> tuple[str, str]:
         core = f"<article{attributes(GOOD, .3)}>{''.join(blocks)}</article>"
     elif r < 0.7:
         core = f"<main{attributes(GOOD, .3)}>{''.join(blocks)}</main>"
-    else:
+    elif r < 0.94:
         core = f"<{(t := pick(['div', 'div', 'section']))}{attributes(GOOD, 0.95)}>{''.join(blocks)}</{t}>"
+    else:  # no container
+        core = (f"{M}{prose(0)}" if rng.random() < 0.5 else "") + "".join(blocks)
+    if rng.random() < 0.12:  # a page of little more than its article
+        bare = core if rng.random() < 0.6 else f"{M}{prose(0)}<p>{M}{sentence()}</p>" if rng.random() < 0.5 else f"<{(t := pick(['p', 'div', 'article', 'article', 'section']))}>{M}{inline(pick([prose(0), sentence(), sentence(3)]))}</{t}>"
+        return bare if rng.random() < 0.6 else f"<html><head><title>{sentence()}</title></head><body>{bare}</body></html>"
     if rng.random() < 0.3:
         core = f"<{(t := pick(['main', 'div', 'section']))}{attributes(GOOD + ['wrapper', 'container', 'layout'], .6)}>{core}</{t}>"
     chance = {"header": 0.4, "nav": 0.85, "notice": 0.25, "ad": 0.5}
     before = [junk(k) for k, c in chance.items() if rng.random() < c]
     after = [junk(k) for k, c in {"comments": 0.3, "aside": 0.4, "ad": 0.2, "share": 0.2, "form": 0.25, "notice": 0.1, "footer": 0.85}.items() if rng.random() < c]
+    before += [f"{sentence(4)} " for _ in range(1) if rng.random() < 0.06]  # loose text that is no article
+    after += [f"&copy; {sentence(3)}" for _ in range(1) if rng.random() < 0.12]
     rng.shuffle(before)
     middle = "".join(before[: len(before)]) + core + "".join(after)
     if rng.random() < 0.25:
@@ -388,7 +421,7 @@ def _generated(rng: np.random.Generator) -> tuple[str, str]:
 
 
 @lru_cache(maxsize=1)
-def trained(pages: int = 500, seed: int = 1) -> tuple[dict[str, int], Boosted]:
+def trained(pages: int = 1500, seed: int = 1) -> tuple[dict[str, int], Boosted]:
     """The vocabulary of attribute words and the trees, from generated pages; a few seconds on the driver."""
     rng = np.random.default_rng(seed)
     made = [Page(_generated(rng)) for _ in range(pages)]
@@ -408,28 +441,38 @@ def trained(pages: int = 500, seed: int = 1) -> tuple[dict[str, int], Boosted]:
                     k = p.parent[k]
         truth.append(own)
         p.pieces = [(k, t.replace("\x02", "")) for k, t in p.pieces]
-    x, _, _, roots = features(made, vocabulary)
+    x, _, roots = features(made, vocabulary)
     y = np.concatenate(truth).astype(float)
     inner = np.ones(len(y), bool)
     inner[roots] = False
     return vocabulary, Boosted(x[inner], y[inner])
 
 
+#: Pages whose nodes are classified together: so many, or so many characters.
+PAGES, CHARACTERS = 200, 1_000_000
+
+
 def main_texts(sources: list[str | None], model=None) -> list[str]:
     vocabulary, trees = model or trained()
     out: list[str] = []
-    for a in range(0, len(sources), 200):
-        pages = [Page(s or "") for s in sources[a : a + 200]]
-        x, parent, depth, roots = features(pages, vocabulary)
-        keep = decode(trees.log_odds(x), parent, depth, roots)
+    first = 0
+    while first < len(sources):
+        last, size = first, 0
+        while last < len(sources) and (last == first or (last - first < PAGES and size + len(sources[last] or "") <= CHARACTERS)):
+            size += len(sources[last] or "")
+            last += 1
+        pages = [Page(s or "") for s in sources[first:last]]
+        first = last
+        x, parent, roots = features(pages, vocabulary)
+        keep = decode(trees.log_odds(x), parent, roots)
         ends = [*roots.tolist(), len(keep)]
         for p, i, j in zip(pages, ends[:-1], ends[1:]):
             own = keep[i:j].copy()
-            own |= False
+            if len(p.tag) == 2 and p.tag[1] == "#text":
+                own[1] = True  # a text without markup is the article
             for k, t in enumerate(p.tag):
                 if t in HIDDEN or (k and not own[p.parent[k]]):
                     own[k] = False
-            own[0] = len(p.tag) == 1  # loose text is main only if the page has no elements
             out.append(p.text(own))
     return out
 
@@ -440,12 +483,13 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", html_col: str =
     Character references are decoded, white space inside a block is one space, blocks are joined by one space in page
     order.  Every column of pages is kept but html_col; a column named text is replaced.  A null or empty page has the
     text ''; text without any element is main text.  Null ids are kept, repeated rows come back as often, an empty
-    table gives none.  Whole pages are read; a page is handled by one task.
+    table gives none.  Whole pages are read; a page is handled by one task, in time linear in its length however deep
+    its elements are nested.
     """
     model = trained()
     shared = pages.sparkSession.sparkContext.broadcast(model)  # a few hundred kB
     columns = [c for c in pages.columns if c not in (html_col, "text")]
-    source = pages.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.col(f"`{html_col}`").alias("html"))
+    source = in_batches(pages).select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.col(f"`{html_col}`").alias("html"))
 
     def run(batches):
         for batch in batches:

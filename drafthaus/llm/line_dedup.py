@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free, small, written
+from .common import free, in_batches, small, written
 
 #: Where a unit ends, by its kind.  Each pattern reads a text once, whatever stands in it.
 ENDS = {
@@ -82,7 +82,7 @@ def repeated_spans(docs: DataFrame, unit: str = "line", min_words: int = 1, id_c
     if unit not in ENDS:
         raise ValueError(f"unit: {', '.join(ENDS)}")
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    found = base.mapInArrow(_units(unit), "doc long, key long, no int, start int, end int, words int, d1 long, d2 long")
+    found = in_batches(base).mapInArrow(_units(unit), "doc long, key long, no int, start int, end int, words int, d1 long, d2 long")
     place = F.struct("doc", "key", "no")
     first = written(found.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first"))
     again = found.join(first, ["d1", "d2"]).where(place != F.col("first")).select("doc", "key", "no", "start", "end", "words").distinct()  # of rows that are alike, one stands for all

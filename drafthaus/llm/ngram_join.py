@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, connected_components, free, mixed, shingles, small, written
+from .common import chunks, connected_components, free, in_batches, mixed, shingles, small, written
 
 #: Rows of ids that may be broadcast (16 bytes each); beyond that the texts are shuffled to them.
 BROADCAST_ROWS = 4_000_000
@@ -143,7 +143,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     misses = F.floor(F.col("n") * (100 - percent) / 100)  # n * (100 - percent) is exact; so is the floor for n < 2**45
     i = F.coalesce("doc_id", F.lit(LAST))
 
-    rows = written(base.mapInArrow(_sets(words, percent), "doc_id long, key long, n long, d long, lim long, hs array<long>"))
+    rows = written(in_batches(base).mapInArrow(_sets(words, percent), "doc_id long, key long, n long, d long, lim long, hs array<long>"))
     sets = written(rows.where("n > 0").groupBy("d", "n").agg(F.min(F.struct(i.alias("i"), "key")).alias("first")))
     sent = rows.select("d", "lim", F.explode("hs").alias("h")).select("h", "d", (F.shiftrightunsigned("h", 32) < F.col("lim")).alias("tested"))
     alone = sent.groupBy("h").agg(F.min("d").alias("d"), F.max("d").alias("other"), F.max("tested").alias("tested")).where("d = other and tested").groupBy("d").agg(F.count("*").alias("alone"))

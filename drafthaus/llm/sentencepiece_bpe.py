@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Cuts up to this length are kept, so many at a time (about 40 MB, as much again for the pairs).
@@ -283,7 +285,7 @@ def sentencepiece_round_trip(docs: DataFrame, model: str, outputs=("ids", "decod
                 kept = [batch.column(i).slice(first, ROWS) for i in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays(kept + [pa.array(c, _TYPES[o][1]) for o, c in zip(wanted, columns)], names=names)
 
-    source = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("_text"))
+    source = in_batches(docs).select(*[F.col(c) for c in keep], F.col(text_col).alias("_text"))
     schema = source.drop("_text").schema
     names = [f"k{i}" for i in range(len(keep))] + wanted
     out = source.mapInArrow(run, ", ".join([*(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(schema)), *(f"{o} {_TYPES[o][0]}" for o in wanted)]))

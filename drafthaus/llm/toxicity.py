@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, BYTE_LOWER, CHUNK, Words, chunks, mixed, pieces, written
+from .common import BYTE, BYTE_LOWER, CHUNK, Words, chunks, in_batches, mixed, pieces, written
 
 #: Features are hashed to so many bits.
 BITS = 20
@@ -142,7 +142,7 @@ def _counts(among: np.ndarray | None):
 
 def _document_frequencies(texts: DataFrame, among: np.ndarray | None = None) -> np.ndarray:
     """How many of the texts have each feature; added up by feature, so at most a row for each comes to the driver."""
-    found = texts.mapInArrow(_counts(among), "feature int, docs long").groupBy("feature").agg(F.sum("docs").alias("docs")).toArrow()
+    found = in_batches(texts).mapInArrow(_counts(among), "feature int, docs long").groupBy("feature").agg(F.sum("docs").alias("docs")).toArrow()
     out = np.zeros(1 << BITS, np.int64)
     out[found["feature"].to_numpy()] = found["docs"].to_numpy()
     return out
@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, confirmed: int = 4000, unlabelled:
     used = telling_features(df_p, n_p, df_u, n_u)
     mask = np.zeros(1 << BITS, bool)
     mask[used] = True
-    rows = sample.mapInArrow(_sample_features(mask), "confirmed boolean, feats binary").toArrow()
+    rows = in_batches(sample).mapInArrow(_sample_features(mask), "confirmed boolean, feats binary").toArrow()
     rows = sorted(zip(rows["confirmed"].to_pylist(), rows["feats"].to_pylist()))  # in an order that reruns share
     clean = np.maximum((df_u[used] / max(1, n_u) - prior * df_p[used] / max(1, n_p)) / max(1e-9, 1 - prior), 0.5 / max(1, n_u))  # share among the rest
     start = 0.25 * np.log(np.maximum(df_p[used] / max(1, n_p) / clean, 1.0))  # a quarter, as prefixes of a word come together
@@ -208,7 +208,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
             for first, data, at in chunks(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(at) - 1), pa.array(own.scores(data, at))], names=["id", "score"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double")
+    out = in_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -226,4 +226,4 @@ def clean_documents(docs: DataFrame, model: Model, threshold: float = 0.5, text_
         own = Model(weights[:-1], bias)
         return pa.array(np.concatenate([own.scores(data, at) for _, data, at in chunks(texts)] or [np.zeros(0)]))
 
-    return docs.where(score(F.col(text_col)) < threshold)
+    return in_batches(docs).where(score(F.col(text_col)) < threshold)

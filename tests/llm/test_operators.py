@@ -2,6 +2,7 @@ import math
 import random
 import re
 import time
+from html import unescape
 
 import numpy as np
 import pytest
@@ -258,11 +259,23 @@ def test_html(spark):
     got = {r.page_id: r.text for r in html_extract.extract_main_text(df).collect()}
     assert got[1] == "The title First & bold paragraph, which is long enough. It goes on. Second one here, with more text in it. And more."
     assert got[2] == got[3] == "" and got[4] == "just text" and html_extract.extract_main_text(df).count() == 5
-    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    one = "One sentence stands here, and no more than that."
+    known = {
+        f"<article><p>A &amp; <b>B. </b>{one}</p></article>": f"A & B. {one}", f"Lead text here. <p>{one}</p>": f"Lead text here. {one}", f"<article>{one}</article>": one, f"<p>{one}": one,
+        f"<article><h1>T</h1><p>{one} <math><mi>x</mi></math> is.</p></article>": f"T {one} x is.", "&lt;b&gt; &am<b>p;": "<b> &amp;", "<p> </p>": "",
+    }
+    assert html_extract.main_texts(list(known)) == list(known.values())
+    # all pages of the table, whose article is marked
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect()
+    marked = [re.sub(r"</?b>", "", re.sub(r"</?(p|h1|br|ul|li)>", " ", p.html[p.html.index("<article>") + 9 : p.html.index("</article>")])) for p in pages]
     texts = html_extract.main_texts([p.html for p in pages])
-    assert np.mean([len(t) > 0 for t in texts]) > 0.99
+    assert np.mean([" ".join(unescape(m).split()) == t for m, t in zip(marked, texts)]) > 0.99
+    began = time.time()
+    for deep in ("<div>" * 100_000 + "text", "<b>" * 100_000 + "x", ("<div>" * 1000 + "</i>" * 1000) * 20, "<ul>" * 20_000 + "<li>a</li>" * 20_000, "<div>" * 20_000 + "<dd>a</dd>" * 20_000, "<p>" * 100_000):
+        html_extract.main_texts([deep])
+    assert time.time() - began < 30
     rng = np.random.default_rng(77)
-    made = [html_extract._generated(rng) for _ in range(60)]
+    made = [html_extract._generated(rng) for _ in range(100)]
     right = 0
     for m in made:
         page = html_extract.Page(m)
@@ -270,7 +283,9 @@ def test_html(spark):
         for k, t in page.pieces:
             main[k] |= "\x02" in t
         right += page.text(main).replace("\x02", "") == html_extract.main_texts([m.replace("\x02", "")])[0]
-    assert right >= 40
+    assert right >= 75
+    clash = df.select("*", F.lit(1).alias("text"), F.lit(2).alias("c0"))
+    assert html_extract.extract_main_text(clash).where("c0 = 2 and text = 'just text'").count() == 1 and html_extract.extract_main_text(df.limit(0)).count() == 0
 
 
 def test_mixing(spark):
