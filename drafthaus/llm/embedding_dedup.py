@@ -1,16 +1,16 @@
 """Near-duplicate vectors by collision counting on one-dimensional projections.
 
-All vectors are made unit vectors and turned by a random orthonormal basis; its axes are the projections.  Two unit
-vectors with cosine c differ by sqrt(2 - 2c) =: d in all, so by more than w on at most floor(d^2 / w^2) of the D axes:
-a pair must collide, within a window of half-width w around the query, on D - floor(d^2 / w^2) axes or more.  With
-w = 0.75 d / sqrt(10) and D = 64 that is 47 of 64 while unrelated pairs collide on about a third.  Pairs that pass
-the count are verified in double precision, so the result is exact but for the blocks that follow.
+All vectors are made unit vectors and turned by a random orthonormal basis; its axes are the projections.  Members are
+sorted on each projection, and a query's window there is the range of ranks within w of its own value.  A pair's
+collisions are the windows that the member falls into.  Two unit vectors with cosine c differ by sqrt(2 - 2c) =: d in
+all, so those at the limit collide on D - floor(d^2 / w^2) axes for certain, and nearly always on more: the count that
+a pair must reach is calibrated by simulation so that (1 - recall) / 2 of the pairs right at the limit stay under
+it; closer pairs collide more.  Pairs that reach it are verified in double precision.
 
 So that not all pairs are counted, rows are blocked by the signs of the first K projections, K growing with the
 logarithm of the rows: a query looks into the blocks that its window crosses into, that is those whose signs differ
-from its own on axes F with sum over F of x_k^2 within a budget.  The budget is calibrated by simulation so that of
-pairs right at the limit all but 1 - recall (0.0001) are seen from one of the two sides; closer pairs are seen more
-surely.
+from its own on axes F with sum over F of x_k^2 within a budget.  The budget is calibrated by simulation, too, so that of
+pairs right at the limit all but (1 - recall) / 2 are seen from one of the two sides.
 """
 
 from __future__ import annotations
@@ -60,56 +60,65 @@ def _cost(x: np.ndarray) -> np.ndarray:
     return np.floor(x * x * (1 << 44)).astype(np.int64)
 
 
-def _codes(x: np.ndarray, budget: int) -> list[int]:
-    """The blocks that a query looks into: its own first, then those within the budget."""
-    own = sum(1 << k for k in range(len(x)) if x[k] >= 0)
-    out = [own]
+def _codes(x: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, block) of the blocks that each query looks into, its own and those within the budget; and each one's own."""
+    n, axes = x.shape
+    bit = np.int64(1) << np.arange(axes, dtype=np.int64)
+    own = ((x >= 0) * bit).sum(axis=1).astype(np.int64)
     cost = _cost(x)
-    order = np.argsort(cost, kind="stable").tolist()
-    cost = cost.tolist()
-    stack = [(0, own, 0)]
-    while stack:
-        at, code, spent = stack.pop()
-        for j in range(at, len(order)):
-            k = order[j]
-            if spent + cost[k] > budget:
-                break
-            out.append(code ^ (1 << k))
-            stack.append((j + 1, code ^ (1 << k), spent + cost[k]))
-    return out
+    order = np.argsort(cost, axis=1, kind="stable")
+    row, code, spent = np.arange(n), own.copy(), np.zeros(n, np.int64)
+    for j in range(axes):  # with or without the axis that is j-th in cost
+        more = spent + cost[row, order[row, j]]
+        fits = more <= budget
+        row, code, spent = np.concatenate([row, row[fits]]), np.concatenate([code, code[fits] ^ bit[order[row[fits], j]]]), np.concatenate([spent, more[fits]])
+    return row, code, own
+
+
+def _needed(size: int, cosine: float, w: float, recall: float, pairs: int = 100_000) -> int:
+    """Collisions that all but (1 - recall) / 2 of the pairs at the limit reach; never under what is certain."""
+    rng = np.random.default_rng(10)
+    squared, counts, step = 2 - 2 * cosine, [], max(1, 2_000_000 // size)
+    for first in range(0, pairs, step):
+        z = rng.standard_normal((min(step, pairs - first), size))
+        z *= np.sqrt(squared) / np.maximum(np.linalg.norm(z, axis=1), 1e-300)[:, None]
+        counts.append((np.abs(z) <= w).sum(axis=1))
+    certain = max(1, size - int(squared / (w * w) + 1e-9))
+    return max(certain, int(np.quantile(np.concatenate(counts), (1 - recall) / 2, method="lower")) - 1)
 
 
 def _collisions(p: np.ndarray, q: np.ndarray, w: float, need: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of p, row of q) that collide on at least `need` projections, counted axis by axis."""
-    order = np.argsort(q[:, 0], kind="stable")
-    lo, hi = np.searchsorted(q[order, 0], p[:, 0] - w, "left"), np.searchsorted(q[order, 0], p[:, 0] + w, "right")
+    """Pairs (row of p, row of q) that collide on at least `need` projections.
+
+    The members q are sorted on every projection; a query's window is a range of ranks, found by bisection.
+    """
     size = p.shape[1]
+    rank = np.empty((size, len(q)), np.uint16)  # PART is under 65536
+    low, wide = np.empty((size, len(p)), np.uint16), np.empty((size, len(p)), np.uint16)
+    for k in range(size):
+        order = np.argsort(q[:, k], kind="stable")
+        rank[k, order] = np.arange(len(q), dtype=np.uint16)
+        begin, end = np.searchsorted(q[order, k], p[:, k] - w, "left"), np.searchsorted(q[order, k], p[:, k] + w, "right")
+        low[k], wide[k] = begin, end - begin
     found_a, found_b = [], []
     allowed = size - need
+    dense = min(size, 10)
     for i0 in range(0, len(p), 64):
-        rows = slice(i0, min(len(p), i0 + 64))
-        # the windows on the first axis decide which may miss it; misses are counted on groups of axes
-        missed = np.zeros((rows.stop - i0, len(q)), np.uint8)
-        place = np.arange(len(q))
-        missed[:, order] = (place < lo[rows, None]) | (place >= hi[rows, None])
-        live_a, live_b = None, None
-        for a in range(1, size, 8):
-            axes = slice(a, min(size, a + 8))
-            if live_a is None:
-                for k in range(axes.start, axes.stop):
-                    missed += np.abs(p[rows, None, k] - q[None, :, k]) > w
-                live_a, live_b = np.nonzero(missed <= allowed)
-                left = missed[live_a, live_b].astype(np.int32)
-            else:
-                left += (np.abs(p[i0 + live_a, axes] - q[live_b, axes]) > w).sum(axis=1)
-                ok = left <= allowed
-                live_a, live_b, left = live_a[ok], live_b[ok], left[ok]
-            if not len(live_a):
+        i1 = min(len(p), i0 + 64)
+        missed = np.zeros((i1 - i0, len(q)), np.uint8)
+        for k in range(dense):
+            missed += (rank[k][None, :] - low[k, i0:i1, None]) >= wide[k, i0:i1, None]  # below the window wraps round
+        a, b = np.nonzero(missed <= allowed)
+        left = missed[a, b].astype(np.int32)
+        for first in range(dense, size, 9):
+            axes = slice(first, min(size, first + 9))
+            left += ((rank[axes, b] - low[axes, i0 + a]) >= wide[axes, i0 + a]).sum(axis=0)
+            ok = left <= allowed
+            a, b, left = a[ok], b[ok], left[ok]
+            if not len(a):
                 break
-        if live_a is None:
-            live_a, live_b = np.nonzero(missed <= allowed)
-        found_a.append(i0 + live_a)
-        found_b.append(live_b)
+        found_a.append(i0 + a)
+        found_b.append(b)
     return np.concatenate(found_a or [np.zeros(0, int)]), np.concatenate(found_b or [np.zeros(0, int)])
 
 
@@ -208,9 +217,9 @@ def _links(distinct: DataFrame, size: int, count: int, cosine: float, recall: fl
     it is linked with)."""
     squared = 2 - 2 * cosine
     w = 0.75 * np.sqrt(squared / 10) * np.sqrt(64 / size)
-    need = max(1, size - int(squared / (w * w) + 1e-9))
+    need = _needed(size, cosine, w, recall)
     axes = int(min(size, 20, max(0, np.ceil(np.log2(max(1, count) / FILL)))))
-    budget = int(_probe_budget(size, axes, cosine, recall) * (1 << 44)) if axes else 0
+    budget = int(_probe_budget(size, axes, cosine, (1 + recall) / 2) * (1 << 44)) if axes else 0
     kind = np.float32 if dict(distinct.dtypes)["v"] == "array<float>" else np.float64
 
     def place(batches):
@@ -222,11 +231,8 @@ def _links(distinct: DataFrame, size: int, count: int, cosine: float, recall: fl
                 blobs = [r.tobytes() for r in flat]
                 x = _unit(blobs, kind) @ q
                 vec, rows = batch.column("vec").to_numpy(), batch.column("rows").to_numpy()
-                codes = [_codes(r[:axes], budget) for r in x]
-                n = np.array([len(c) for c in codes])
-                at = np.repeat(np.arange(len(n)), n)
-                block = np.array([c for cs in codes for c in cs], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(vec[at]), pa.array(rows[at]), pa.array(np.array([c[0] for c in codes], np.int64)[at]), pa.array(block), pa.array([blobs[i] for i in at], pa.binary())], names=["vec", "rows", "home", "block", "x"])
+                at, block, own = _codes(x[:, :axes], budget)
+                yield pa.RecordBatch.from_arrays([pa.array(vec[at]), pa.array(rows[at]), pa.array(own[at]), pa.array(block), pa.array([blobs[i] for i in at], pa.binary())], names=["vec", "rows", "home", "block", "x"])
 
     placed = written(distinct.select("vec", "rows", "v").mapInArrow(place, "vec long, rows long, home long, block long, x binary"))
     # parts: blocks with many members or queries are cut, and each part of queries meets each part of members

@@ -1,10 +1,13 @@
 """Exact top-k search by inner product with a Voronoi join.
 
-Pivots cut the candidates into cells, and large cells into parts.  A summary of each part holds its number of vectors
-and, of their differences to the pivot, the largest norm.  For a query q, a part's vectors score between
-q.p - |q| r and q.p + |q| r.  The k-th score is at least the k-th largest lower bound, counting each part's vectors; a
-first solution in the parts with the best upper bounds raises that, and a query is then sent only to parts whose
-upper bound reaches it.  Each part is solved by a matrix product of integers (exact in doubles), in blocks.
+Pivots cut queries and data into cells.  Of each cell of queries a summary holds their number, their largest distance
+u from the pivot and their largest norm; the data of a cell are cut into rings by distance, and of each ring a summary
+holds its number and largest distance r.  A query of cell i and a vector of a ring of cell j score between m - s and m + s, with
+m = p_i . p_j and s = u_i |p_j| + |q| r_j.  So the k-th score of a cell's queries is at least the k-th largest lower bound,
+counting each ring's vectors; solving the ring with the best upper bound first raises that.  Neighbouring cells of
+queries form groups, and a ring is replicated only to groups with a cell whose k-th score its upper bound reaches.
+Large groups and rings are cut into parts, so a task solves a bounded number of queries against a bounded number of
+vectors, by a matrix product of integers (exact in doubles).
 """
 
 from __future__ import annotations
@@ -18,8 +21,10 @@ from .common import written
 
 #: Vectors that the pivots are taken from, and how many pivots there are at most.
 PIVOT_SAMPLE, PIVOTS = 4_096, 256
-#: Vectors in a part, and queries that meet them at a time.
+#: Vectors of a ring and queries of a group that meet in a task; larger ones are cut.
 PART, QUERIES = 8_000, 1_000
+#: A cell has a ring for each so many vectors, RINGS at most.
+RING, RINGS = 2_000, 4
 
 
 def quantised(column, factor: int = 256):
@@ -118,57 +123,46 @@ def _top_k(spark, asked: DataFrame, told: DataFrame, k: int) -> DataFrame:
                 x = _matrix(batch.column("x").to_pylist()).astype(np.float64)
                 cell = (x @ pivots.T - half).argmax(axis=1)
                 r = np.sqrt(((x - pivots[cell]) ** 2).sum(axis=1))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("x"), pa.array(cell.astype(np.int32)), pa.array(r)], names=["id", "x", "cell", "r"])
-
-    placed = written(told.select("id", "x").mapInArrow(cells, "id long, x binary, cell int, r double"))
-    rows = placed.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.ceil(F.col("n") / PART).alias("parts"))
-    parted = placed.join(F.broadcast(rows), "cell").select("cell", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).alias("part"), "id", "x", "r")  # at most PIVOTS rows
-    summary = parted.groupBy("cell", "part").agg(F.count("*").alias("n"), F.max("r").alias("r"))
-    # a row for each PART vectors: it goes to the tasks that hold the queries, in blocks
-    blocks = written(summary.groupBy("cell").agg(F.sum("n").alias("n"), F.max("r").alias("r"), F.max("part").alias("last")))
-    cells_ = sorted(tuple(r) for r in blocks.collect())  # at most PIVOTS rows
-    c_id, c_n, c_r, c_last = (np.array([x[i] for x in cells_]) for i in range(4)) if cells_ else (np.zeros(0),) * 4
-
-    def bounds(q):
-        norm = np.sqrt((q**2).sum(axis=1))[:, None] * (1 + 1e-12)
-        middle = q @ pivots[c_id.astype(int)].T
-        return middle - norm * c_r - 1e-6, middle + norm * c_r + 1e-6
-
-    def kth(values, weights, need):
-        """For each row the largest value that at least `need` of the weights reach; -inf if there are fewer."""
-        order = np.argsort(-values, axis=1)
-        enough = np.cumsum(weights[order], axis=1) >= need
-        at = enough.argmax(axis=1)
-        return np.where(enough.any(axis=1), values[np.arange(len(values)), order[np.arange(len(values)), at]], -np.inf)
-
-    def send(first: bool):
-        def run(batches):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                q = _matrix(batch.column("x").to_pylist()).astype(np.float64)
-                low, high = bounds(q)
-                floor = kth(low, c_n, k + 1)  # the query itself may be one of them
-                if first:
-                    order = np.argsort(-high, axis=1)
-                    before = np.cumsum(c_n[order], axis=1) - c_n[order]
-                    near = np.zeros(high.shape, bool)
-                    np.put_along_axis(near, order, before < k + 1, axis=1)
-                    wanted = near
-                else:
-                    floor = np.maximum(floor, batch.column("floor").to_numpy(zero_copy_only=False).astype(float))
-                    done = np.zeros(high.shape, bool)
-                    order = np.argsort(-high, axis=1)
-                    before = np.cumsum(c_n[order], axis=1) - c_n[order]
-                    np.put_along_axis(done, order, before < k + 1, axis=1)
-                    wanted = (high >= floor[:, None]) & ~done
-                i, c = np.nonzero(wanted)
-                parts = c_last[c].astype(np.int64) + 1
-                i, c = np.repeat(i, parts), np.repeat(c, parts)
-                part = np.arange(len(i)) - np.repeat(np.cumsum(parts) - parts, parts)
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(i)), batch.column("x").take(pa.array(i)), pa.array(c_id[c].astype(np.int32)), pa.array(part.astype(np.int64))], names=["id", "x", "cell", "part"])
-
-        return run
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("x"), pa.array(cell.astype(np.int32)), pa.array(r), pa.array(np.sqrt((x**2).sum(axis=1)))], names=["id", "x", "cell", "r", "norm"])
+
+    placed, asking = (written(df.select("id", "x").mapInArrow(cells, "id long, x binary, cell int, r double, norm double")) for df in (told, asked))
+    # all that comes to the driver from here on has a row per cell or ring at most, that is PIVOTS * RINGS
+    steps = F.array(*(F.lit((i + 1) / RINGS) for i in range(RINGS - 1)))
+    cuts = placed.groupBy("cell").agg(F.when(F.count("*") >= RING * RINGS, F.percentile_approx("r", steps, F.lit(1000))).otherwise(F.array().cast("array<double>")).alias("cuts"))
+    cuts = written(cuts)
+    ringed = placed.join(F.broadcast(cuts), "cell").withColumn("ring", F.size(F.filter("cuts", lambda c: c < F.col("r")))).drop("cuts", "norm")
+    rings = sorted(tuple(r) for r in ringed.groupBy("cell", "ring").agg(F.count("*"), F.max("r")).collect())
+    about = sorted(tuple(r) for r in asking.groupBy("cell").agg(F.count("*"), F.max("r"), F.max("norm")).collect())
+    if not rings or not about:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    d_cell, d_ring, d_n, d_r = (np.array([x[i] for x in rings]) for i in range(4))
+    q_cell, q_n, q_u, q_norm = (np.array([x[i] for x in about]) for i in range(4))
+    norm = np.sqrt((pivots[d_cell] ** 2).sum(axis=1))
+    middle, slack = pivots[q_cell] @ pivots[d_cell].T, (q_u[:, None] * norm + q_norm[:, None] * d_r) * (1 + 1e-12) + 1e-6
+    low, high = middle - slack, middle + slack
+    order = np.argsort(-low, axis=1)
+    enough = np.cumsum(d_n[order], axis=1) >= k + 1  # the query itself may be one of them
+    bound = np.where(enough.any(axis=1), np.take_along_axis(low, np.take_along_axis(order, enough.argmax(axis=1)[:, None], 1), 1)[:, 0], -np.inf)
+
+    # groups of neighbouring cells: each next one is the nearest that is left
+    chain, left = [0], set(range(1, len(q_cell)))
+    while left:
+        near = min(left, key=lambda c: (float(((pivots[q_cell[c]] - pivots[q_cell[chain[-1]]]) ** 2).sum()), c))
+        chain.append(near)
+        left.remove(near)
+    group, sizes = np.zeros(len(q_cell), int), [0]
+    for c in chain:
+        if sizes[-1] and sizes[-1] + q_n[c] > QUERIES:
+            sizes.append(0)
+        group[c] = len(sizes) - 1
+        sizes[-1] += int(q_n[c])
+    groups = spark.createDataFrame([(int(c), int(g), -(-sizes[g] // QUERIES)) for c, g in zip(q_cell, group)], "cell int, grp int, grp_parts int")
+    askers = asking.join(F.broadcast(groups), "cell").select("grp", F.pmod(F.xxhash64("id", F.lit(4)), F.col("grp_parts")).alias("grp_part"), "id", "x")
+
+    def per_group(wanted: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(sizes), len(d_cell)), bool)
+        np.logical_or.at(out, group, wanted)
+        return out
 
     def solve(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
@@ -187,14 +181,27 @@ def _top_k(spark, asked: DataFrame, told: DataFrame, k: int) -> DataFrame:
         join = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
         return pa.table({"query_id": pa.array(join(out_q)), "vec_id": pa.array(join(out_v)), "score": pa.array(join(out_s))})
 
-    def solved(sent: DataFrame) -> DataFrame:
-        keyed = sent.groupBy("cell", "part").cogroup(parted.select("cell", "part", "id", "x").groupBy("cell", "part"))
-        return keyed.applyInArrow(solve, "query_id long, vec_id long, score long")
-
-    sent = "id long, x binary, cell int, part long"
-    first = written(solved(asked.select("id", "x").mapInArrow(send(True), sent)))
+    keys = ["grp", "grp_part", "cell", "ring", "part"]
+
+    def solved(routes: np.ndarray) -> DataFrame:
+        """Rings replicated to the groups that want them (grp, ring: True), solved task by task."""
+        pairs = [(int(g), -(-sizes[g] // QUERIES), int(d_cell[j]), int(d_ring[j]), int(-(-d_n[j] // PART))) for g, j in zip(*np.nonzero(routes))]
+        route = F.broadcast(spark.createDataFrame(pairs, "grp int, grp_parts int, cell int, ring int, parts int"))  # at most PIVOTS * PIVOTS * RINGS rows
+        to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+        queries = askers.join(route, "grp").select("id", "x", "grp", "grp_part", "cell", "ring", to("parts").alias("part"))
+        data = ringed.join(route, ["cell", "ring"]).select("id", "x", "grp", to("grp_parts").alias("grp_part"), "cell", "ring", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).alias("part"))
+        return queries.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(solve, "query_id long, vec_id long, score long")
+
+    order = np.argsort(-high, axis=1)
+    seeds = np.zeros(high.shape, bool)
+    np.put_along_axis(seeds, order, np.cumsum(d_n[order], axis=1) - d_n[order] < k + 1, axis=1)
+    seeds = per_group(seeds)
+    first = written(solved(seeds))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    floors = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
-    rest = solved(asked.select("id", "x").join(floors, "id", "left").select("id", "x", F.coalesce("floor", F.lit(float("-inf"))).alias("floor")).mapInArrow(send(False), sent))
-    every = first.unionByName(rest)
+    kth = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), "score")
+    floors = asking.select("id", "cell").join(kth, "id", "left").groupBy("cell").agg(F.min(F.coalesce("score", F.lit(-(2**63))))).collect()
+    floor = dict(tuple(r) for r in floors)
+    bound = np.maximum(bound, [float(floor[c]) for c in q_cell.tolist()])
+    rest = per_group(high >= bound[:, None]) & ~seeds
+    every = first.unionByName(solved(rest)) if rest.any() else first
     return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
