@@ -1,7 +1,7 @@
 """Near-duplicate vectors by collision counting on one-dimensional projections.
 
 All vectors are made unit vectors and turned by a random orthonormal basis; its axes are the projections.  Members are
-sorted on each projection, and a query's window there is the range of ranks within w of its own value.  A pair's
+sorted on projection after projection, and a query's window there is the range of ranks within w of its own value.  A pair's
 collisions are the windows that the member falls into.  Two unit vectors with cosine c differ by sqrt(2 - 2c) =: d in
 all, so those at the limit collide on D - floor(d^2 / w^2) axes for certain, and nearly always on more: the count that
 a pair must reach is calibrated by simulation so that (1 - recall) / 2 of the pairs right at the limit stay under
@@ -25,9 +25,11 @@ from .common import connected_components, written
 #: Rows of a block that meet in one task; larger blocks are cut into parts that meet in pairs.
 PART = 4_000
 #: Rows on average in a block.
-FILL = 128
+FILL = 256
 #: Rows that are dealt to their blocks at a time.
 ROWS = 500
+#: Projections on which a block is sorted.
+SORTED = 12
 
 
 def basis(size: int, seed: int = 3) -> np.ndarray:
@@ -90,19 +92,20 @@ def _needed(size: int, cosine: float, w: float, recall: float, pairs: int = 100_
 def _collisions(p: np.ndarray, q: np.ndarray, w: float, need: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (row of p, row of q) that collide on at least `need` projections.
 
-    The members q are sorted on every projection; a query's window is a range of ranks, found by bisection.
+    The members q are sorted on the first SORTED projections, where a query's window is a range of ranks found by
+    bisection and all pairs are counted; on the others only those that can still reach the count, by their values.
     """
     size = p.shape[1]
-    rank = np.empty((size, len(q)), np.uint16)  # PART is under 65536
-    low, wide = np.empty((size, len(p)), np.uint16), np.empty((size, len(p)), np.uint16)
-    for k in range(size):
+    dense = min(size, SORTED)
+    rank = np.empty((dense, len(q)), np.uint16)  # PART is under 65536
+    low, wide = np.empty((dense, len(p)), np.uint16), np.empty((dense, len(p)), np.uint16)
+    for k in range(dense):
         order = np.argsort(q[:, k], kind="stable")
         rank[k, order] = np.arange(len(q), dtype=np.uint16)
         begin, end = np.searchsorted(q[order, k], p[:, k] - w, "left"), np.searchsorted(q[order, k], p[:, k] + w, "right")
         low[k], wide[k] = begin, end - begin
     found_a, found_b = [], []
     allowed = size - need
-    dense = min(size, 10)
     for i0 in range(0, len(p), 64):
         i1 = min(len(p), i0 + 64)
         missed = np.zeros((i1 - i0, len(q)), np.uint8)
@@ -112,7 +115,7 @@ def _collisions(p: np.ndarray, q: np.ndarray, w: float, need: int) -> tuple[np.n
         left = missed[a, b].astype(np.int32)
         for first in range(dense, size, 9):
             axes = slice(first, min(size, first + 9))
-            left += ((rank[axes, b] - low[axes, i0 + a]) >= wide[axes, i0 + a]).sum(axis=0)
+            left += (np.abs(p[i0 + a, axes] - q[b, axes]) > w).sum(axis=1)
             ok = left <= allowed
             a, b, left = a[ok], b[ok], left[ok]
             if not len(a):
@@ -216,7 +219,7 @@ def _links(distinct: DataFrame, size: int, count: int, cosine: float, recall: fl
     """kind, a, b: 'edge' (two vectors; enough of the links to join the components), 'degree' (a vector and the rows
     it is linked with)."""
     squared = 2 - 2 * cosine
-    w = 0.75 * np.sqrt(squared / 10) * np.sqrt(64 / size)
+    w = 3 * np.sqrt(squared / size)  # three times the deviation of a pair at the limit
     need = _needed(size, cosine, w, recall)
     axes = int(min(size, 20, max(0, np.ceil(np.log2(max(1, count) / FILL)))))
     budget = int(_probe_budget(size, axes, cosine, (1 + recall) / 2) * (1 << 44)) if axes else 0
