@@ -25,6 +25,8 @@ TEMPLATES = [
     ("gpl-copy", "gpl-3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", False),
     ("bsd-copy", "bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", False),
 ]
+#: K-grams of templates that may be broadcast, some 100 bytes each.
+TEMPLATE_ROWS = 1_000_000
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -33,13 +35,18 @@ def _words(text: str) -> list[str]:
 
 
 def template_positions(spark: SparkSession, templates, k: int) -> DataFrame:
-    """A row for each k-gram of each template; the templates are a list in the program, so this is broadcast."""
+    """A row for each k-gram of each template (a list in the program), at most TEMPLATE_ROWS, as it is broadcast.
+
+    An empty list gives no rows; a template of fewer than k words raises ValueError.
+    """
     rows = []
     for name, label, text, exact in templates:
         words = _words(text)
         if len(words) < k:
             raise ValueError(f"{name} has fewer than {k} words")
         rows += [(name, label, exact, len(words), i, *words[i : i + k]) for i in range(len(words) - k + 1)]
+    if len(rows) > TEMPLATE_ROWS:
+        raise ValueError(f"templates of more than {TEMPLATE_ROWS} k-grams")
     grams = [f"t{j}" for j in range(k)]
     df = spark.createDataFrame(rows, "template string, label string, exact boolean, size int, at int, " + ", ".join(f"{g} string" for g in grams))
     return df.withColumn("gram", F.xxhash64(*grams))

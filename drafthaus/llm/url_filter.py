@@ -43,28 +43,34 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     Repeated rows come back as often.  Other columns of pages are not read.  Empty tables work: no rules means the
     default for all.
 
-    A url has an expression for each shape (labels of the host, characters of the path) that the rules have, so that
-    every fitting rule is found; a popular url or host is grouped before anything is shuffled.
+    A url has an expression for each suffix of its host.  Those that meet a rule's host are expanded by the path prefixes
+    of the lengths that this host's rules have, and these meet the rules, so every fitting rule is found.  Both joins
+    are on short hashes, confirmed by the full digest.  Equal rows are grouped before anything is shuffled.
     """
     if default not in ("allow", "block"):
         raise ValueError("default: allow or block")
     rules = rules.where("host is not null").select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
-    shape = F.struct(F.size(F.split("host", r"\.", -1)).alias("labels"), F.length("path").alias("chars"))
-    shapes = rules.agg(F.collect_set(shape).alias("shapes"))  # one row; as long as the rules are various, not many
+    most = rules.agg(F.max(F.size(F.split("host", r"\.", -1)))).first()[0] or 0
     lookup = rules.select(
         _digest(F.col("host"), F.col("path")).alias("full"), F.substring(_digest(F.col("host"), F.col("path")), 1, SHORT).alias("short"),
         F.struct(F.length(F.concat("host", "path")).alias("size"), F.length("host").alias("host_size"), (F.col("verdict") == "block").alias("block"), F.concat("host", "path").alias("rule")).alias("found"),
     )
+    nothing = F.lit("")
+    hosts = rules.groupBy(F.col("host").alias("rule_host")).agg(F.collect_set(F.length("path")).alias("sizes"))  # at most the longest rule's length
+    hosts = hosts.select(_digest(F.col("rule_host"), nothing).alias("host_full"), F.substring(_digest(F.col("rule_host"), nothing), 1, SHORT).alias("host_short"), "sizes")
 
     urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).groupBy("id", "url").agg(F.count("*").alias("rows"))
-    parsed = urls.withColumns({"host": url_host(F.col("url")), "path": url_path(F.col("url"))}).crossJoin(F.broadcast(shapes))
+    parsed = urls.withColumns({"host": url_host(F.col("url")), "path": url_path(F.col("url"))})
     labels = F.split("host", r"\.", -1)
-    fits = F.filter("shapes", lambda s: (s["labels"] <= F.size(labels)) & (s["chars"] <= F.length("path")))
-    parsed = parsed.withColumn("shape", F.explode_outer(fits)).drop("shapes")
-    suffix = F.array_join(F.slice(labels, F.size(labels) - F.col("shape.labels") + 1, F.col("shape.labels")), ".")
-    expression = parsed.withColumn("full", F.when(F.col("shape").isNotNull(), _digest(suffix, F.substring(F.col("path"), F.lit(1), F.col("shape.chars"))))).drop("shape")
-    expression = expression.withColumn("short", F.substring("full", 1, SHORT)).withColumnRenamed("full", "whole")
-    joined = expression.join(small(lookup, BROADCAST_RULES), "short", "left")
+    counts = F.slice(F.sequence(F.lit(1), F.size(labels)), 1, most)
+    parsed = parsed.withColumn("labels", F.explode_outer(counts))
+    parsed = parsed.withColumn("suffix", F.array_join(F.slice(labels, F.size(labels) - F.col("labels") + 1, F.col("labels")), ".")).drop("labels")
+    parsed = parsed.withColumn("whole_host", _digest(F.col("suffix"), nothing)).withColumn("host_short", F.substring("whole_host", 1, SHORT))
+    known = parsed.join(small(hosts, BROADCAST_RULES), "host_short", "left")
+    lengths = F.when(F.col("whole_host") == F.col("host_full"), F.filter("sizes", lambda n: n <= F.length("path")))
+    expanded = known.withColumn("chars", F.explode_outer(lengths))
+    expression = expanded.withColumn("whole", F.when(F.col("chars").isNotNull(), _digest(F.col("suffix"), F.substring(F.col("path"), F.lit(1), F.col("chars"))))).withColumn("short", F.substring("whole", 1, SHORT))
+    joined = expression.select("id", "url", "rows", "host", "path", "whole", "short").join(small(lookup, BROADCAST_RULES), "short", "left")
     confirmed = F.when(F.col("whole") == F.col("full"), F.col("found"))
     best = joined.groupBy("id", "url", "rows", "host", "path").agg(F.max(confirmed).alias("best"))
     out = best.select(

@@ -103,8 +103,28 @@ def test_ngram_join_odd(spark):
     assert len(got) == len(ODD)
     assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (None, 5), (6, 6), (7, 7 if len(shingles(ODD[8][1]) & shingles(ODD[7][1])) * 100 < 80 * len(shingles(ODD[8][1]) | shingles(ODD[7][1])) else 6), (8, 8)}
     assert ngram_join.ngram_jaccard_join(odd_docs(spark).limit(0)).count() == 0
-    kept = [r.doc_id for r in ngram_join.one_of_each(odd_docs(spark)).collect()]
+    clash = odd_docs(spark)
+    for c in ("_i", "_key", "i", "key", "d", "n"):
+        clash = clash.withColumn(c, F.lit(c))
+    once = ngram_join.one_of_each(clash)
+    assert once.columns == clash.columns and once.where("_i = '_i' and key = 'key'").count() == once.count()
+    kept = [r.doc_id for r in once.collect()]
     assert sorted(x for x in kept if x in (1, 2, 3, 4, 5, 8)) == [1, 2, 3, 4, 5, 8] and None not in kept
+    assert ngram_join.one_of_each(clash.limit(0)).count() == 0
+
+
+def test_ngram_join_short_pairs(spark):
+    """Texts of 1 to 40 words and their prolongations, all links against brute force; and one far beyond a chunk."""
+    rnd = random.Random(11)
+    docs = []
+    for n in (8, 12, 16, 20, 40):
+        for _ in range(40):
+            w = [f"w{rnd.randrange(10**9)}" for _ in range(n + (n - 4) // 4)]
+            docs += [" ".join(w[:n]), " ".join(w)]
+    docs += [" ".join(f"w{rnd.randrange(4)}" for _ in range(rnd.randrange(1, 41))) for _ in range(700)]
+    long = " ".join(f"w{i}" for i in range(80_000))
+    assert len(long) > 400_000
+    assert len(joined_as_brute_force(spark, [*docs, long, long + " more words at the end", long.upper()])) > 202
 
 
 def test_licenses(spark):
@@ -127,6 +147,50 @@ def test_licenses(spark):
         assert r.base_labels == ",".join(sorted({x for _, x in hits})) and 0 <= r.score <= 1
 
 
+def test_licenses_brute_force(spark):
+    """All columns of the query, votes on diagonals counted the plain way."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.op2_license_scans(spark, SF).collect():
+        w = licenses._words(texts[r.doc_id] or "")
+        at = {}
+        for i in range(len(w) - 2):
+            at.setdefault(tuple(w[i : i + 3]), []).append(i)
+        labels, score = set(), 0.0
+        for _, label, text, exact in licenses.TEMPLATES:
+            t = licenses._words(text)
+            votes = {}
+            for j in range(len(t) - 2):
+                for i in at.get(tuple(t[j : j + 3]), []):
+                    votes.setdefault(i - j, set()).add(j)
+            islands, last = [], None
+            for d in sorted(votes):
+                if last is None or exact or d - last > 2:
+                    islands.append(set())
+                islands[-1] |= votes[d]
+                last = d
+            for x in islands:
+                share = len(x) / (len(t) - 2)
+                if share >= (1.0 if exact else 0.7):
+                    labels.add(label)
+                    score = max(score, share)
+        assert r.labels == ",".join(sorted(labels)) and abs(r.score - score) < 1e-12
+    assert licenses.template_positions(spark, [], 3).count() == 0
+
+
+def test_sentencepiece_query(spark):
+    import hashlib
+
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path())
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries.op3_sentencepiece(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = lib.encode(texts[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest())
+
+
 def test_sentencepiece(spark):
     import sentencepiece
 
@@ -153,7 +217,12 @@ def test_toxicity(spark):
     assert (s[s.toxic == 1].score >= 0.5).mean() > 0.7 and (s[s.toxic == 0].score >= 0.5).mean() < 0.02
     got = toxicity.score_toxicity(odd_docs(spark), model).collect()
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
-    assert toxicity.clean_documents(odd_docs(spark), model).columns == odd_docs(spark).columns
+    clash = odd_docs(spark).withColumn("score", F.lit("s")).withColumn("c0", F.lit("c"))
+    assert toxicity.clean_documents(clash, model).columns == clash.columns and toxicity.clean_documents(clash, model).where("score = 's' and c0 = 'c'").count() > 5
+    assert toxicity.clean_documents(clash.limit(0), model).count() == 0 and toxicity.score_toxicity(clash.limit(0), model).count() == 0
+    data = np.frombuffer(("idiot pathetic und Ärger " * 30_000).encode(), np.uint8)
+    whole, short = (sorted(toxicity.word_features(d, np.array([0, len(d)]))[1][:, 0].tolist()) for d in (data, data[:26]))
+    assert whole == short  # a long text in pieces has the same distinct words
     empty = toxicity.train(docs.limit(0), labels.limit(0))
     assert toxicity.score_toxicity(odd_docs(spark), empty).count() == len(ODD)
 
@@ -164,6 +233,10 @@ def test_urls(spark):
     got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.url_filter(spark.createDataFrame(urls, "page_id long, url string"), rules).collect() if r.rule or r.page_id < 3 or r.page_id == 5 or r.page_id == 7 or r.page_id == 8)
     assert [(g[0], g[3], g[4]) for g in got if g[3]] == [(3, "example.net/en/", "allow"), (4, "net/", "block"), (6, "example.com/de/", "block"), (8, "org/fr/", "allow")]
     assert len(got) == len(urls) and (5, "net", "", None, "allow") in got
+    many = [("", "/a", "block"), ("a.b.c.d.e", "", "allow"), ("c.d.e", "/x", "block"), ("C.D.E", "/x", "allow"), (None, "/", "block"), ("e", None, "block")]
+    odd = [(1, "http:///ab"), (2, "http://a.b.c.d.e/x"), (3, "http://c.d.E/xyz"), (4, "http://" + "q." * 20000 + "e/" + "p" * 50000), (5, "http://e?x")]
+    found = {r.page_id: (r.rule, r.verdict) for r in url_filter.url_filter(spark.createDataFrame([(*o, "x") for o in odd], "page_id long, url string, short string"), spark.createDataFrame(many, "host string, path string, verdict string")).collect()}
+    assert found == {1: ("/a", "block"), 2: ("a.b.c.d.e", "allow"), 3: ("c.d.e/x", "block"), 4: ("e", "block"), 5: ("e", "block")}
     assert url_filter.url_filter(spark.createDataFrame(urls, "page_id long, url string"), rules.limit(0)).where("verdict = 'allow'").count() == len(urls)
 
 
@@ -300,7 +373,38 @@ def test_mixing(spark):
     odd = mixing.mix_sources(odd_docs(spark)).collect()
     assert len(odd) == len(ODD) and {r.source for r in odd} == {None, "s"}
     assert mixing.mix_sources(odd_docs(spark).limit(0)).count() == 0
-    assert mixing.mixed_documents(odd_docs(spark)).count() == sum(r.copies for r in odd)
+    clash = odd_docs(spark)
+    for c in ("copies", "rows", "nth", "_copy", "_mix_key", "key", "_t", "id"):
+        clash = clash.withColumn(c, F.lit(c))
+    mix = mixing.mixed_documents(clash)
+    assert mix.columns == clash.columns and mix.where("copies = 'copies' and _mix_key = '_mix_key' and id = 'id'").count() == sum(r.copies for r in odd)
+
+
+def test_mixing_targets_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    size, n = {}, {}
+    for r in docs:
+        n[r.doc_id] = len(WORD.findall(r.text or ""))
+        size[r.source] = size.get(r.source, 0) + n[r.doc_id]
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    full = set()
+    while True:
+        level = (1.5 * sum(size.values()) - 2 * sum(size[s] for s in full)) / max(1, sum(weight[s] for s in order if s not in full))
+        more = {s for s in order if s not in full and weight[s] * level > 2 * size[s]}
+        if not more:
+            break
+        full |= more
+    want = {s: 2.0 * size[s] if s in full else weight[s] * level for s in order}
+    rows = queries.op9_mixing(spark, SF).collect()
+    source = {r.doc_id: r.source for r in docs}
+    assert len(rows) == len(docs)
+    taken = dict.fromkeys(order, 0)
+    for r in rows:
+        s = source[r.doc_id]
+        assert r.size == n[r.doc_id] and r.source_size == size[s] and abs(r.target - want[s]) < 1e-6 * want[s] + 1e-9 and r.taken <= 2 * r.size
+        taken[s] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 0.1 * want[s] for s in order)  # whole copies of some 50 documents a source
 
 
 def test_top_k(spark):
