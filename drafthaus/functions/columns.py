@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..operators.lineage import listed
 
 
 def lookup(table: dict[str, str], key: Column) -> Column:
@@ -17,6 +18,11 @@ def group(text: Column, pattern: str, n: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, n), F.lit(""))
 
 
+def strip(text: Column) -> Column:
+    """text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 # --- classes ---
 
 
@@ -24,7 +30,7 @@ def classify_symbol(name: Column) -> Column:
     """Category of a class name by its first keyword in order; 'other' for none, null and ''."""
     lowered, out = F.lower(name), None
     for category, words in dims.KEYWORDS.items():
-        for word in words.split(", "):
+        for word in words:
             hit = F.contains(lowered, F.lit(word))
             out = F.when(hit, category) if out is None else out.when(hit, category)
     return out.otherwise(dims.OTHER)
@@ -35,24 +41,31 @@ def with_category(df: DataFrame, name: str, taxonomy: DataFrame | None = None, o
     case, else by keyword.  taxonomy is a list of classes, a few hundred rows."""
     if taxonomy is None:
         return df.withColumn(out, classify_symbol(F.col(name)))
-    key = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    exact = taxonomy.groupBy(F.col("name").alias("_name")).agg(F.min("category").alias("_exact"))
-    loose = taxonomy.groupBy(key(F.col("name")).alias("_key")).agg(F.min("category").alias("_loose"))
-    joined = df.join(F.broadcast(exact), F.col(name) == F.col("_name"), "left").join(F.broadcast(loose), key(F.col(name)) == F.col("_key"), "left")
+    exact = listed(taxonomy.groupBy(F.col("name").alias("_name")).agg(F.min("category").alias("_exact")))
+    loose = listed(taxonomy.groupBy(class_key(F.col("name")).alias("_key")).agg(F.min("category").alias("_loose")))
+    joined = df.join(exact, F.col(name) == F.col("_name"), "left").join(loose, class_key(F.col(name)) == F.col("_key"), "left")
     return joined.withColumn(out, F.coalesce("_exact", "_loose", classify_symbol(F.col(name)))).drop("_name", "_key", "_exact", "_loose")
 
 
+def class_key(name: Column) -> Column:
+    """Letters and digits of a class name in lower case."""
+    return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
+
+
 def entity_type(category: Column) -> Column:
     return F.coalesce(lookup(dims.ENTITY_TYPES, category), F.lit("unknown"))
 
 
 # --- tags ---
 
+# What is put right in a tag, in order.
+MISREAD = [(r"(?<=\d)O(?=\d|$)", "0"), (r"(?<=\d)I(?=\d|$)", "1"), (r"(?<=\d)l(?=\d|$)", "1"), (r"^[+\-./]+([A-Z])", "$1"), (r"([A-Z])\s+(\d)", "$1-$2")]
+
 
 def normalised_tag(text: Column) -> Column:
     """Typical misreadings put right: O, I and l among digits, stray leading marks, spaces before a number."""
-    t = F.trim(text)
-    for pattern, new in ((r"(?<=\d)O(?=\d|$)", "0"), (r"(?<=\d)I(?=\d|$)", "1"), (r"(?<=\d)l(?=\d|$)", "1"), (r"^[+\-./]+([A-Z])", "$1"), (r"([A-Z])\s+(\d)", "$1-$2")):
+    t = strip(text)
+    for pattern, new in MISREAD:
         t = F.regexp_replace(t, pattern, new)
     return t
 
@@ -65,6 +78,7 @@ INSTRUMENT = r"^([A-Z]{2,4})[- ]?(\d{1,5})([A-Z])?(?:\s*/\s*(\d{1,5}))?$"
 LETTERS = r"^([A-Z]{2,4})$"
 SINGLE = r"^([A-Z])([- ]?)(\d{1,5})$"
 SIZE = r'^(\d{1,2}(?:/\d{1,2})?)\s*["”]$'
+# The fields of a tag.
 TAG_FIELDS = ["raw_text", "tag_type", "tag_id", "primary_variable", "function", "loop_number", "suffix", "equipment_type", "pipe_size", "pipe_spec", "service_code", "parsed_description"]
 
 
@@ -117,7 +131,7 @@ NOISE = r"(?i)^[^a-zA-Z0-9]+$|^[oe]{1,3}$|^[ry]{1,2}$|^[&%@|><.]+$|^[\u0080-
 
 
 def valid_text(text: Column) -> Column:
-    t = F.trim(F.coalesce(text, F.lit("")))
+    t = strip(F.coalesce(text, F.lit("")))
     n = F.length(t)
     useful = F.length(F.regexp_replace(t, r"[^\p{L}\p{N}\-_./() ]", ""))
     return F.when(n == 0, False).when((n <= 2) & F.rlike(t, F.lit(r"^\d+$")), True).when(n == 1, False).when(F.rlike(t, F.lit(NOISE)), False).when(~F.rlike(t, F.lit(r"[\p{L}\p{N}]")), False).otherwise(useful * 2 >= n)
@@ -163,6 +177,27 @@ def shape_class(w: Column, h: Column, sheet_width: float = 650.0) -> Column:
     return out
 
 
+def ocr_scale(width: Column, height: Column, scale: float = 3.0, longest: float = 6000.0) -> Column:
+    """How much a sheet is enlarged for OCR: so that its longer side stays within the limit, but never shrunk."""
+    side = F.greatest(width, height)
+    return F.when(side <= 0, F.lit(scale)).otherwise(F.least(F.lit(scale), F.greatest(F.lit(1.0), F.lit(longest) / side)))
+
+
+def display_scale(width: Column, height: Column, most: float = 1920.0) -> Column:
+    """How much a sheet is shrunk to be shown."""
+    return F.least(F.lit(1.0), F.lit(most) / F.greatest(width, height))
+
+
+def debug_scale(width: Column, least: float = 1920.0) -> Column:
+    """How much a narrow sheet is widened before its text is examined."""
+    return F.greatest(F.lit(1.0), F.lit(least) / width)
+
+
+def circle_class(w: Column, h: Column, ink: Column) -> Column:
+    """Class of a circle by the share of ink in its box; null if the box is too small or large."""
+    return F.when(w.between(11, 28) & h.between(11, 28), F.when(ink > 0.35, "Tank").otherwise("Centrifugal Pump"))
+
+
 def axis_starts(extent: Column, tile: int = 1312, overlap: int = 128) -> Column:
     """Where tiles begin along an axis: as few as cover it, spaced evenly, halves rounded to even."""
     if not 0 <= overlap < tile:
@@ -186,7 +221,7 @@ def cell_text(value: Column) -> Column:
 
 
 def slug(value: Column, size: int = 60) -> Column:
-    s = F.regexp_replace(F.trim(F.coalesce(value, F.lit(""))), r"[^A-Za-z0-9._-]+", "_")
+    s = F.regexp_replace(strip(F.coalesce(value, F.lit(""))), r"[^A-Za-z0-9._-]+", "_")
     s = F.substring(F.regexp_replace(s, r"^[._-]+|[._-]+$", ""), 1, size)
     return F.when(s == "", "untitled").otherwise(s)
 
@@ -195,6 +230,18 @@ def pretty_type(category: Column) -> Column:
     return F.when(category == "valves", "Valve").when(category == "instruments", "Instrument").when(category == "piping", "Piping").otherwise(F.initcap(F.replace(category, F.lit("_"), F.lit(" "))))
 
 
+def upload_name(name: Column) -> Column:
+    """A client's file name for display: its last part, plain characters, 120 at most; 'upload' for nothing."""
+    base = F.regexp_extract(F.regexp_replace(F.replace(F.coalesce(name, F.lit("")), F.lit("\\"), F.lit("/")), "/+$", ""), "[^/]*$", 0)
+    base = F.regexp_replace(F.regexp_replace(base, "[^A-Za-z0-9._ -]+", "_"), r"^[ .]+|[ .]+$", "")
+    return F.when(base == "", "upload").otherwise(F.substring(base, 1, 120))
+
+
+def may_call(configured: Column, given: Column) -> Column:
+    """Whether a caller's key is accepted: any if none is configured, else that one."""
+    return F.when(F.coalesce(configured, F.lit("")) == "", True).otherwise(F.coalesce(given == configured, F.lit(False)))
+
+
 # How issues of a report begin, and where they tell their severity.
 ISSUE = r"^\s*(?:[*_#>\s]*)?(\d+)[.)]\s+(.*)$"
 SEVERITY = r"(?i)severity\s*[:=]\s*\**\s*(error|warning|info)\b"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators.lineage import cut
 from ..operators.spatial import sequential_reject
+from ..sources import sinks
 from ..sources.bridge import CLASSES, views
 from . import curation as K
 from . import drawing as D
@@ -57,9 +58,9 @@ def _tiles(v):
 
 def _merged_tiles(v, spark):
     t = _tiles(v)
-    i = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")
-    d = t.select("sheet", "row", "col", "tile_width", "tile_height", i).select(
-        "sheet", "row", "col", F.col("i").alias("det_ord"), (F.col("i") * 433.0 - 3).alias("x1"), (F.col("i") * 217.0).alias("y1"), (F.col("i") * 433.0 + 60).alias("x2"), (F.col("i") * 217.0 + 40).alias("y2"))
+    i = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i")
+    d = t.select("sheet", "row", "col", i).withColumn("a", F.when(F.col("i") < 4, F.col("i") * 433 - 3).otherwise(F.col("i") * 3 - 11).cast("double"))  # the last four around the tolerance
+    d = d.select("sheet", "row", "col", F.col("i").alias("det_ord"), F.col("a").alias("x1"), (F.col("i") * 217.0).alias("y1"), (F.col("a") + 63).alias("x2"), (F.col("i") * 217.0 + 40).alias("y2"))
     return D.merge_tiles(d, t, ["sheet", "row", "col"])
 
 
@@ -79,7 +80,40 @@ def _f1(v, spark):
 
 def _coverage(v, spark):
     c = _classes(spark, CLASSES + OLD_CLASSES).withColumn("category", C.classify_symbol(F.col("name")))
-    return c.groupBy("category").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("category") == "other", F.col("name")))), ",").alias("unmapped"))
+    other = F.count(F.when(F.col("category") == "other", 1))
+    g = c.groupBy("category").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("category") == "other", F.col("name")))), ",").alias("unmapped"))
+    whole = c.agg(F.count("*").alias("total"), F.bround((F.count("*") - other) / F.count("*") * 100, 1).alias("coverage"))  # one row
+    return g.crossJoin(F.broadcast(whole))
+
+
+TAXONOMY = [("Gate Valve", "equipment"), ("ball valve", "instruments"), ("Panel Note", "piping"), ("UNKNOWN-THING", "valves"), ("Tee", "other")]
+
+
+def _class_map(v, spark):
+    names = _classes(spark, CLASSES + OLD_CLASSES).select("name").distinct()
+    return C.with_category(names, "name", spark.createDataFrame(TAXONOMY, "name string, category string")).withColumn("key", C.class_key(F.col("name")))
+
+
+def _strengthened(v, spark):
+    """In the order of resolving: the graph is built before lines are known, so a shared line halves a weight once."""
+    nodes = _lined(v)
+    ed = D.strengthen_lines(D.edges(_entities(v)), nodes).where("line_number is not null")
+    return ed.select("doc_id", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "weight", "line_number")
+
+
+def _labelled(v, spark):
+    images = spark.range(60).select(F.col("id").alias("image"))
+    return K.labelled_images(images, v["label_lines"], 18).select("image", F.size("rows").cast("long").alias("n"), F.aggregate("rows", F.lit(0).cast("long"), lambda a, r: a + r["cid"]).alias("ids"))
+
+
+def _ranked(v, spark):
+    m = v["boxes"].where("cid < 15").groupBy(F.col("cid").alias("id")).agg((F.count(F.when(F.col("ord") % 4 != 0, 1)) / F.count("*")).alias("precision"))
+    return K.ranked_classes(m, _classes(spark, OLD_CLASSES), 3).withColumn("rank", F.col("rank").cast("long"))
+
+
+def _nms_order(v, spark):
+    d = v["dense"].withColumn("class_name", F.concat(F.lit("c"), (F.col("det_ord") % 3).cast("string")))
+    return D.class_order(D.suppress(d)).select("doc_id", "page", "det_ord", F.col("place").cast("long").alias("place"))
 
 
 def _table(df, *names):
@@ -107,18 +141,18 @@ QUERIES = {
     "entities": _q(lambda v, s: _entities(v).select("doc_id", "page", "entity_id", "tag_id", "entity_type", "category", "description", "size", "specification", "confidence", "needs_review")),
     "entity_table": _q(lambda v, s: D.entity_table(_entities(v))),
     "entity_json": _q(lambda v, s: D.entity_json(_entities(v))),
-    "confidence_stats": _q(lambda v, s: D.confidence_stats(_entities(v)).withColumn("avg_confidence", F.round("avg_confidence", 6))),
+    "confidence_stats": _q(lambda v, s: D.confidence_stats(_entities(v))),
     "edges": _q(lambda v, s: _graph(v)[1].select("doc_id", "page", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "distance", "weight", "connection_type")),
     "degree": _q(lambda v, s: D.degrees(*_graph(v)).select("doc_id", "entity_id", "degree")),
     "neighbors": _q(lambda v, s: D.neighbours(_graph(v)[1]).groupBy("doc_id", F.col("node").cast("long").alias("node")).agg(F.count("*").alias("n"), F.min("other").cast("long").alias("first"))),
     "two_hops": _q(lambda v, s: D.two_hops(_graph(v)[1]).groupBy("doc_id", F.col("node").cast("long").alias("node")).agg(F.count("*").alias("n"))),
     "line_assignment": _q(lambda v, s: _lined(v).select("doc_id", F.col("node_ord").cast("long").alias("node_ord"), "line_number")),
     "flow_order": _q(lambda v, s: D.flow_order(_lined(v)).select("doc_id", F.col("node_ord").cast("long").alias("node_ord"), "line_number", F.col("flow_order").cast("long").alias("flow_order"))),
-    "line_strengthen": _q(lambda v, s: (lambda n: D.strengthen_lines(D.edges(n), n).where("line_number is not null").select("doc_id", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "weight", "line_number"))(_lined(v))),
+    "line_strengthen": _q(_strengthened),
     "instrument_loops": _q(lambda v, s: D.instrument_loops(_entities(v)).select("doc_id", "loop", F.col("node_ord").cast("long").alias("node_ord"), F.col("place").cast("long").alias("place"))),
     "loop_edges": _q(lambda v, s: D.loop_edges(*_graph(v)).select("doc_id", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "weight")),
-    "components": _q(lambda v, s: D.graph_components(*_graph(v)).select("doc_id", F.col("node").cast("long").alias("node"), F.col("component").cast("long").alias("component"))),
-    "graph_summary": _q(lambda v, s: D.graph_summary(*_graph(v))),
+    "components": _q(lambda v, s: (lambda e, g: D.graph_components(e, D.resolved(e, g)))(*_graph(v)).select("doc_id", F.col("node").cast("long").alias("node"), F.col("component").cast("long").alias("component"))),
+    "graph_summary": _q(lambda v, s: (lambda e, g: D.graph_summary(e, D.resolved(e, g)))(*_graph(v))),
     "rule_issues": _q(lambda v, s: D.issues(*_graph(v))),
     "rule_summary": _q(lambda v, s: (lambda e, g: D.rule_summary(e, D.issues(e, g)))(*_graph(v))),
     "mto_rows": _q(lambda v, s: D.mto_rows(_entities(v))),
@@ -141,4 +175,32 @@ QUERIES = {
     "issue_lines": _q(lambda v, s: K.report_issues(v["reports"]).select("id", F.col("issue").cast("long").alias("issue"), "text", "error")),
     "issue_verdict": _q(lambda v, s: K.report_passed(v["reports"])),
     "jobs_expired": _q(lambda v, s: K.expired_jobs(v["jobs"], NOW).select("id", "status")),
+    "class_map": _q(_class_map),
+    "sheet_scales": _q(lambda v, s: v["sheets"].select("sheet", C.ocr_scale(F.col("width"), F.col("height")).alias("ocr"), C.display_scale(F.col("width"), F.col("height")).alias("display"), C.debug_scale(F.col("width")).alias("debug"))),
+    "ocr_rescale": _q(lambda v, s: D.rescaled_words(v["words"], F.lit(2.0)).select("doc_id", "page", "text_ord", "x1", "y1", "x2", "y2", "cx", "cy")),
+    "entity_filters": _q(lambda v, s: D.entities_of(_entities(v), "instrument", "instruments").select("doc_id", F.col("node_ord").cast("long").alias("node_ord"))),
+    "annotator_components": _q(lambda v, s: D.annotator_components(v["blobs"]).select("doc_id", "page", "blob_ord")),
+    "tall_symbols": _q(lambda v, s: D.tall_symbols(v["blobs"].withColumn("h", F.col("h") * 3)).select("doc_id", "page", "blob_ord")),
+    "circle_class": _q(lambda v, s: v["blobs"].select("doc_id", "page", "blob_ord", C.circle_class(F.col("w"), F.col("h"), F.col("area") / (F.col("w") * F.col("h"))).alias("class"))),
+    "confident_detections": _q(lambda v, s: D.confident(v["words"]).select("doc_id", "page", "text_ord")),
+    "box_properties": _q(lambda v, s: D.box_properties(v["symbols"]).select("doc_id", "page", "det_ord", "width", "height", "area")),
+    "best_reading": _q(lambda v, s: D.best_reading(v["words"].select("doc_id", "page", F.floor(F.col("text_ord") / 3).alias("crop"), F.col("text_ord").alias("ord"), "text", "confidence"), ["doc_id", "page", "crop"])),
+    "page_counts": _q(lambda v, s: D.page_counts(v["symbols"], v["texts"], _entities(v))),
+    "run_summary": _q(lambda v, s: (lambda e, g: D.run_summary(D.page_counts(v["symbols"], v["texts"], e), e, g))(*_graph(v))),
+    "mean_confidence": _q(lambda v, s: D.mean_confidence(_entities(v)).select("doc_id", "entity_id", F.round("mean_confidence", 6).alias("mean_confidence"))),
+    "loop_functions": _q(lambda v, s: D.loop_functions(_entities(v))),
+    "node_loops": _q(lambda v, s: D.node_loops(_entities(v)).select("doc_id", F.col("node_ord").cast("long").alias("node_ord"), "instrument_loop")),
+    "highlighted_nodes": _q(lambda v, s: D.highlighted(_graph(v)[1], F.col("connection_type") == "signal").select("doc_id", F.col("node").cast("long").alias("node"))),
+    "fallback_report": _q(lambda v, s: (lambda e, g: K.fallback_report(e, D.issues(e, g)))(*_graph(v)).select("doc_id", "errors", "warnings", "total", "passed")),
+    "prompt_issues": _q(lambda v, s: K.prompt_issues(D.issues(*_graph(v)))),
+    "prompt_summary": _q(lambda v, s: K.prompt_summary(_entities(v))),
+    "ranked_classes": _q(_ranked),
+    "extra_repeat": _q(lambda v, s: K.repeated_extra(v["images"], 3).select("image", F.col("rep").cast("long").alias("rep"), "name")),
+    "labelled_images": _q(_labelled),
+    "upload_names": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", C.upload_name(F.col("url")).alias("name")),
+    "upload_check": _q(lambda v, s: v["uploads"].select("doc_id", C.upload_problem(F.concat(F.lit("f."), "kind"), F.col("content").cast("binary"), 4000).alias("problem"))),
+    "shape_scaled": _q(lambda v, s: v["symbols"].select("doc_id", "page", "det_ord", C.shape_class(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), 1300.0).alias("shape"))),
+    "graph_view": _q(lambda v, s: sinks.graph_view(_entities(v))),
+    "graph_json": _q(lambda v, s: sinks.graph_json(*_graph(v))),
+    "nms_order": _q(_nms_order),
 }

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.columns import ISSUE, is_error, lookup
+from ..functions.columns import ISSUE, is_error, lookup, strip
+from ..operators.lineage import listed
 
 
 def dedup_content(images: DataFrame, splits=("train", "valid", "test")) -> DataFrame:
@@ -49,7 +50,7 @@ def canonical_classes(classes: DataFrame) -> DataFrame:
     name = F.coalesce(lookup(same, F.col("name")), F.col("name"))
     c = classes.withColumn("canonical", F.coalesce(lookup(dims.MISSPELT, name), name))
     first = c.groupBy("canonical").agg(F.min("id").alias("_first")).withColumn("new_id", F.row_number().over(Window.orderBy("_first")) - 1)  # a list of classes
-    return c.join(F.broadcast(first.drop("_first")), "canonical")
+    return c.join(listed(first.drop("_first")), "canonical")
 
 
 def merged_classes(base: DataFrame, extra: DataFrame, drop: list[str] = ()) -> DataFrame:
@@ -62,7 +63,7 @@ def merged_classes(base: DataFrame, extra: DataFrame, drop: list[str] = ()) -> D
 def remap_labels(labels: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """Class ids by name; labels whose class is gone are dropped."""
     m = old.select(F.col("id").alias("cid"), "name").join(new.select("name", "new_id"), "name").select("cid", "new_id")
-    return labels.join(F.broadcast(m), "cid").drop("cid").withColumnRenamed("new_id", "cid")
+    return labels.join(listed(m), "cid").drop("cid").withColumnRenamed("new_id", "cid")
 
 
 def class_compatibility(model: DataFrame, data: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def class_compatibility(model: DataFrame, data: DataFrame) -> DataFrame:
 
 def class_instances(labels: DataFrame, classes: DataFrame) -> DataFrame:
     """Label rows per class; ids outside the list count under ''."""
-    return labels.join(F.broadcast(classes.select(F.col("id").alias("cid"), "name")), "cid", "left").groupBy(F.coalesce("name", F.lit("")).alias("name")).agg(F.count("*").alias("instances"))
+    return labels.join(listed(classes.select(F.col("id").alias("cid"), "name")), "cid", "left").groupBy(F.coalesce("name", F.lit("")).alias("name")).agg(F.count("*").alias("instances"))
 
 
 def f1(metrics: DataFrame) -> DataFrame:
@@ -86,14 +87,14 @@ def f1(metrics: DataFrame) -> DataFrame:
 
 def label_rows(lines: DataFrame, classes: int) -> DataFrame:
     """lines: image, value.  Rows of five tokens whose class is in the list."""
-    t = lines.withColumn("t", F.split(F.trim("value"), r"\s+")).where(F.size("t") == 5)
+    t = lines.withColumn("t", F.split(strip(F.col("value")), r"\s+")).where(F.size("t") == 5)
     v = t.select("image", F.col("t")[0].try_cast("int").alias("cid"), *[F.col("t")[i + 1].try_cast("double").alias(c) for i, c in enumerate(("cx", "cy", "w", "h"))])
     return v.where((F.col("cid") >= 0) & (F.col("cid") < classes))
 
 
 def report_issues(reports: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Issues of numbered reports: a numbered line begins one, other lines go on, text before the first is one."""
-    lines = reports.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("at", "line")).withColumn("line", F.trim("line")).where("line != ''")
+    lines = reports.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("at", "line")).withColumn("line", strip(F.col("line"))).where("line != ''")
     w = Window.partitionBy(id_col).orderBy("at")
     n = lines.withColumn("issue", F.sum(F.when(F.rlike("line", F.lit(ISSUE)) | (F.row_number().over(w) == 1), 1).otherwise(0)).over(w))
     out = n.groupBy(id_col, "issue").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), " ").alias("text"))
@@ -113,3 +114,78 @@ def first_per_type(e: DataFrame, n: int = 10) -> DataFrame:
     """The first n entities of each type for a prompt, and how many more there are."""
     w = Window.partitionBy("doc_id", "entity_type")
     return e.withColumns({"place": F.row_number().over(w.orderBy("node_ord")), "more": F.greatest(F.lit(0), F.count("*").over(w) - n)}).where(F.col("place") <= n)
+
+
+def labelled_images(images: DataFrame, lines: DataFrame, classes: int) -> DataFrame:
+    """images: image (one row each).  Adds rows, its label rows as an array; an image without a label file has none."""
+    rows = label_rows(lines, classes).groupBy("image").agg(F.array_sort(F.collect_list(F.struct("cid", "cx", "cy", "w", "h"))).alias("rows"))  # of one image
+    return images.join(rows, "image", "left").withColumn("rows", F.coalesce("rows", F.array().cast("array<struct<cid:int,cx:double,cy:double,w:double,h:double>>")))
+
+
+def repeated_extra(images: DataFrame, times: int) -> DataFrame:
+    """images (split, name) of an extra set, each `times` times, once at least, under a new name."""
+    rep = F.explode(F.sequence(F.lit(0), F.lit(max(1, times) - 1)))
+    return images.withColumn("rep", rep).withColumn("name", F.concat(F.lit("target"), F.col("rep").cast("string"), F.lit("_split"), "split", F.lit("_"), "name"))
+
+
+def ranked_classes(metrics: DataFrame, names: DataFrame, n: int = 15) -> DataFrame:
+    """metrics: id, precision; names: id, name.  status: 'worst' and 'best' (n each, by rank), 'zero', 'never'."""
+    m = metrics.join(listed(names), "id", "left")
+    rank = lambda *o: F.row_number().over(Window.orderBy(*o))  # noqa: E731  a list of classes
+    worst = m.withColumn("rank", rank("precision", "id")).where(F.col("rank") <= n).select(F.lit("worst").alias("status"), "rank", "id", "name")
+    best = m.withColumn("rank", rank(F.desc("precision"), F.desc("id"))).where(F.col("rank") <= n).select(F.lit("best"), "rank", "id", "name")
+    none = F.lit(None).cast("int")
+    zero = m.where("precision = 0").select(F.lit("zero"), none, "id", "name")
+    never = names.join(metrics.select("id"), "id", "left_anti").select(F.lit("never"), none, "id", "name")
+    return worst.union(best).union(zero).union(never)
+
+
+def prompt_summary(e: DataFrame, n: int = 10) -> DataFrame:
+    """The entities of a document as text for a prompt: types in order of first occurrence, n lines each."""
+    first = first_per_type(e, n).withColumn("begun", F.min("node_ord").over(Window.partitionBy("doc_id", "entity_type")))
+    line = F.format_string("  - %s: %s (confidence: %.2f)", F.coalesce("tag_id", F.lit("None")), "description", "confidence")
+    kept = first.groupBy("doc_id", "entity_type", "begun", "more").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("l")))), lambda x: x["l"]), "\n").alias("lines"), F.count("*").alias("n"))
+    head = F.format_string("\n### %s (%d items)\n", F.initcap(F.replace("entity_type", F.lit("_"), F.lit("_"))), F.col("n") + F.col("more"))
+    tail = F.when(F.col("more") > 0, F.format_string("\n  ... and %d more", "more")).otherwise("")
+    part = F.struct("begun", F.concat(head, "lines", tail).alias("t"))
+    return kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n").alias("text"))
+
+
+def prompt_issues(found: DataFrame, n: int = 15) -> DataFrame:
+    """The first n findings of a document as numbered lines."""
+    w = Window.partitionBy("doc_id")
+    k = found.withColumns({"k": F.row_number().over(w.orderBy("rule_id", "entity_id", "message")), "all": F.count("*").over(w)}).where(F.col("k") <= n)
+    line = F.concat(F.col("k").cast("string"), F.lit(". ["), F.upper("severity"), F.lit("] "), "message")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("l")))), lambda x: x["l"]), "\n")
+    more = F.max("all") - n
+    return k.groupBy("doc_id").agg(F.concat(text, F.when(more > 0, F.concat(F.lit("\n... and "), more.cast("string"), F.lit(" more issues"))).otherwise("")).alias("text"))
+
+
+# The report of a run without a language model.
+FALLBACK = """# {title}
+
+## Overall Assessment
+**LLM validation did not run** — showing rule-based results only.{reason}
+
+## Rule-Based Findings
+- **Errors:** {errors}
+- **Warnings:** {warnings}
+- **Total issues:** {total}
+
+## Recommendations
+1. Review entities flagged with low confidence scores
+2. Verify duplicate tags and orphan nodes manually
+3. Check the LLM validation configuration if AI validation was expected
+
+*This report contains deterministic rule findings only. The LLM review did not run.*
+"""
+
+
+def fallback_report(documents: DataFrame, found: DataFrame, reason: str = "", title: str = "Validation Report") -> DataFrame:
+    """documents: doc_id.  The report of each from rule findings alone: errors, warnings, total, passed, degraded, text."""
+    n = found.groupBy("doc_id").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"), F.count("*").alias("total"))
+    j = documents.select("doc_id").distinct().join(n, "doc_id", "left").fillna(0, ["errors", "warnings", "total"])
+    text = F.lit(FALLBACK.replace("{title}", title).replace("{reason}", f"\n\n**Reason:** {reason}" if reason else ""))
+    for c in ("errors", "warnings", "total"):
+        text = F.replace(text, F.lit("{" + c + "}"), F.col(c).cast("string"))
+    return j.select("doc_id", "errors", "warnings", "total", (F.col("errors") == 0).alias("passed"), F.lit(True).alias("degraded"), text.alias("text"))

@@ -46,8 +46,44 @@ def suppress(detections: DataFrame, keys=PAGE, ordinal: str = "det_ord", thresho
 
 
 def detection_summary(detections: DataFrame) -> DataFrame:
-    g = detections.groupBy("class_name").agg(F.count("*").alias("n"), F.avg("confidence").alias("avg_confidence"), F.min(F.struct(*[c for c in ("doc_id", "page", "det_ord") if c in detections.columns])).alias("first"))
-    return g.orderBy(F.desc("n"), "first").drop("first")
+    """Per class how many and how sure, the most frequent first (rank), ties in order of first occurrence."""
+    g = detections.groupBy("class_name").agg(F.count("*").alias("n"), F.bround(F.avg("confidence"), 4).alias("avg_confidence"), F.min(F.struct(*[c for c in ("doc_id", "page", "det_ord") if c in detections.columns])).alias("first"))
+    return g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "first"))).drop("first")  # a list of classes
+
+
+def confident(detections: DataFrame, least: float = SETTINGS.detection_confidence) -> DataFrame:
+    return detections.where(F.col("confidence") >= least)
+
+
+def box_properties(boxes: DataFrame) -> DataFrame:
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    return boxes.withColumns({"width": w, "height": h, "area": w * h, "cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2})
+
+
+def class_order(kept: DataFrame, keys=PAGE) -> DataFrame:
+    """Suppressed boxes (rank) in the order of the class-aware pass: by confidence, ties by the class that comes first."""
+    first = F.min("rank").over(Window.partitionBy(*keys, "class_name"))
+    return kept.withColumn("_f", first).withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("confidence"), "_f", "rank"))).drop("_f")
+
+
+def annotator_components(blobs: DataFrame) -> DataFrame:
+    """blobs: w, h, area.  Those that can be symbols: no runs of pipe, no text."""
+    return blobs.where("w >= 8 and h >= 8 and area >= 30 and h / w between 0.12 and 9 and not (h < 12 and w > 22)")
+
+
+def tall_symbols(blobs: DataFrame) -> DataFrame:
+    return blobs.where("h >= 60 and w <= 60 and area >= 200 and h / greatest(1, w) >= 2")
+
+
+def best_reading(readings: DataFrame, keys) -> DataFrame:
+    """Of several readings of one crop (ord, text, confidence) the surest, ties to the first."""
+    return readings.groupBy(*keys).agg(F.max(F.struct("confidence", -F.col("ord"), "text"))["text"].alias("text"), F.max("confidence").alias("confidence"))
+
+
+def rescaled_words(words: DataFrame, scale: Column) -> DataFrame:
+    """Words of an enlarged sheet in the sheet's own coordinates, with their centres."""
+    w = words.withColumns({c: F.col(c) / scale for c in ("x1", "y1", "x2", "y2")})
+    return w.withColumns({"cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2})
 
 
 # --- recognised text ---
@@ -77,17 +113,23 @@ def merge_fragments(texts: DataFrame, keys=PAGE, ordinal: str = "text_ord") -> D
     return g.agg(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"), F.avg("confidence").alias("confidence"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
 
 
-def covered_words(words: DataFrame, boxes: DataFrame, keys=PAGE, word: str = "text_ord", share: float = 25 / 255) -> DataFrame:
+def covered_words(words: DataFrame, boxes: DataFrame, keys=PAGE, word: str = "text_ord", share: float = 25 / 255, cell: int = 64) -> DataFrame:
     """Words of which the union of the boxes covers the share: boxes cut to the word, the union summed by strips.
 
-    Integer coordinates.  Each word has the strips between the box edges that cross it; a strip's cover is the length
+    Integer coordinates; words meet boxes in the cells of a grid.  Each word has the strips between the box edges that cross it; a strip's cover is the length
     of merged intervals."""
-    w = words.select(*keys, word, *[F.col(c).alias(f"w{c}") for c in ("x1", "y1", "x2", "y2")])
-    cut = w.join(boxes.select(*keys, "x1", "y1", "x2", "y2"), keys).where("x1 < wx2 and wx1 < x2 and y1 < wy2 and wy1 < y2")
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor((F.col(hi) - 1) / cell)))
+    w = words.select(*keys, word, *[F.col(c).alias(f"w{c}") for c in ("x1", "y1", "x2", "y2")]).withColumn("i", cells("wx1", "wx2")).withColumn("j", cells("wy1", "wy2"))
+    b = boxes.select(*keys, "x1", "y1", "x2", "y2").where("x2 > x1 and y2 > y1").withColumn("i", cells("x1", "x2")).withColumn("j", cells("y1", "y2"))
+    meet = w.join(b, [*keys, "i", "j"]).where("x1 < wx2 and wx1 < x2 and y1 < wy2 and wy1 < y2")
+    cut = meet.where((F.col("i") == F.floor(F.greatest("x1", "wx1") / cell)) & (F.col("j") == F.floor(F.greatest("y1", "wy1") / cell)))  # in the first cell that both are in
     cut = cut.select(*keys, word, "wx1", "wy1", "wx2", "wy2", F.greatest("x1", "wx1").alias("a"), F.least("x2", "wx2").alias("b"), F.greatest("y1", "wy1").alias("c"), F.least("y2", "wy2").alias("d"))
-    rows = cut.select("*", F.explode(F.sequence("c", F.col("d") - 1)).alias("line"))
-    per = Window.partitionBy(*keys, word, "line").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("reach", F.max("b").over(per)).withColumn("add", F.greatest(F.lit(0), F.col("b") - F.greatest("a", F.coalesce("reach", "a"))))
+    # strips between the edges that cross a word; in each, the boxes that span it are merged
+    edges_ = cut.select(*keys, word, F.explode(F.array("c", "d")).alias("from")).distinct()
+    strips = edges_.withColumn("to", F.lead("from").over(Window.partitionBy(*keys, word).orderBy("from"))).where("to is not null")
+    rows = cut.join(strips, [*keys, word]).where("c <= from and to <= d")
+    per = Window.partitionBy(*keys, word, "from").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("reach", F.max("b").over(per)).withColumn("add", F.greatest(F.lit(0), F.col("b") - F.greatest("a", F.coalesce("reach", "a"))) * (F.col("to") - F.col("from")))
     cover = rows.groupBy(*keys, word, "wx1", "wy1", "wx2", "wy2").agg(F.sum("add").alias("cover"))
     return cover.where(F.col("cover") >= share * (F.col("wx2") - F.col("wx1")) * (F.col("wy2") - F.col("wy1"))).select(*keys, word, "cover")
 
@@ -185,7 +227,7 @@ def edges(e: DataFrame, radius: float = SETTINGS.edge_distance, per_page: bool =
     weight = F.col("dist") / align * F.when(F.coalesce(same, F.lit(False)), 0.5).otherwise(1.0)
     right = F.col("x") <= F.col("b_x")
     line = F.when(same, F.col("line_number")) if "line_number" in e.columns else F.lit(None).cast("string")
-    return p.select(*keys, F.when(right, F.col("node_ord")).otherwise(F.col("b_node_ord")).alias("src"), F.when(right, F.col("b_node_ord")).otherwise(F.col("node_ord")).alias("dst"), F.col("dist").alias("distance"), weight.alias("weight"), F.when(signal, "signal").otherwise("piping").alias("connection_type"), line.alias("line_number"))
+    return p.select(*keys, F.when(right, F.col("node_ord")).otherwise(F.col("b_node_ord")).alias("src"), F.when(right, F.col("b_node_ord")).otherwise(F.col("node_ord")).alias("dst"), F.bround("dist", 2).alias("distance"), F.bround(weight, 2).alias("weight"), F.when(signal, "signal").otherwise("piping").alias("connection_type"), line.alias("line_number"))
 
 
 def degrees(e: DataFrame, ed: DataFrame) -> DataFrame:
@@ -257,7 +299,13 @@ def graph_components(e: DataFrame, ed: DataFrame) -> DataFrame:
     return components(e.select("doc_id", F.col("node_ord").alias("node")), ed.select("doc_id", "src", "dst"), ["doc_id"])
 
 
+def resolved(e: DataFrame, ed: DataFrame) -> DataFrame:
+    """src, dst of all edges of the graph: by proximity and along loops."""
+    return ed.select("doc_id", "src", "dst").union(loop_edges(e, ed).select("doc_id", "src", "dst"))
+
+
 def graph_summary(e: DataFrame, ed: DataFrame) -> DataFrame:
+    """Of the resolved graph: nodes, edges, nodes by category, weak components."""
     c = graph_components(e, ed).groupBy("doc_id").agg(F.countDistinct("component").alias("components"))
     n = e.groupBy("doc_id").agg(F.count("*").alias("nodes"), *[F.count(F.when(F.col("category") == k, 1)).alias(k) for k in dims.CATEGORY_ORDER])
     d = ed.groupBy("doc_id").agg(F.count("*").alias("edges"))
@@ -269,7 +317,55 @@ def graph_summary(e: DataFrame, ed: DataFrame) -> DataFrame:
 
 def confidence_stats(e: DataFrame) -> DataFrame:
     c = F.col("confidence")
-    return e.groupBy("doc_id").agg(F.count("*").alias("total"), F.avg(c).alias("avg_confidence"), F.min(c).alias("min_confidence"), F.max(c).alias("max_confidence"), F.count_if(c < 0.6).alias("needs_review"), F.count_if(c >= 0.8).alias("high"), F.count_if((c >= 0.6) & (c < 0.8)).alias("medium"))
+    return e.groupBy("doc_id").agg(F.count("*").alias("total"), F.bround(F.avg(c), 3).alias("avg_confidence"), F.bround(F.min(c), 3).alias("min_confidence"), F.bround(F.max(c), 3).alias("max_confidence"), F.count_if(c < 0.6).alias("needs_review"), F.count_if(c >= 0.8).alias("high"), F.count_if((c >= 0.6) & (c < 0.8)).alias("medium"), F.count_if(c < 0.6).alias("low"))
+
+
+def mean_confidence(e: DataFrame) -> DataFrame:
+    """The mean of what is there of detection, text and tag (0.9)."""
+    parts = F.filter(F.array("det_confidence", "ocr_confidence", F.when(F.col("tag_id").isNotNull(), 0.9)), lambda x: x.isNotNull())
+    return e.withColumn("mean_confidence", F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / F.size(parts)).otherwise(0.0))
+
+
+def with_confidence(nodes: DataFrame, scores: DataFrame) -> DataFrame:
+    """nodes with the confidence of scores (doc_id, node_ord, confidence) where there is one, as when scores are computed
+    after the graph."""
+    s = scores.select("doc_id", "node_ord", F.col("confidence").alias("_new"))
+    return nodes.join(s, ["doc_id", "node_ord"], "left").withColumn("confidence", F.coalesce("_new", "confidence")).drop("_new")
+
+
+def entities_of(e: DataFrame, entity_type: str | None = None, category: str | None = None, line: str | None = None) -> DataFrame:
+    """Entities of one type, category or line, or of several of these at once."""
+    for column, value in (("entity_type", entity_type), ("category", category), ("line_number", line)):
+        e = e if value is None else e.where(F.col(column) == value)
+    return e
+
+
+def highlighted(ed: DataFrame, condition: Column) -> DataFrame:
+    """doc_id, node: the ends of the edges that meet a condition."""
+    kept = ed.where(condition)
+    return kept.select("doc_id", F.col("src").alias("node")).union(kept.select("doc_id", "dst")).distinct()
+
+
+def page_counts(symbols: DataFrame, texts: DataFrame, e: DataFrame) -> DataFrame:
+    """Detections, texts and entities of each page that has any."""
+    n = lambda df, name: df.groupBy(*PAGE).agg(F.count("*").alias(name))
+    j = n(symbols, "detections").join(n(texts, "text_regions"), PAGE, "full").join(n(e, "entities"), PAGE, "full")
+    return j.fillna(0, ["detections", "text_regions", "entities"])
+
+
+def run_summary(pages: DataFrame, e: DataFrame, ed: DataFrame) -> DataFrame:
+    """A row per document: what page_counts counts, the graph and the mean confidence."""
+    n = pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum("detections").alias("total_detections"), F.sum("text_regions").alias("total_text_regions"))
+    c = confidence_stats(e).select("doc_id", F.col("total").alias("total_entities"), "avg_confidence")
+    g = resolved(e, ed).groupBy("doc_id").agg(F.count("*").alias("total_edges"))
+    return n.join(c, "doc_id", "left").join(g, "doc_id", "left").fillna(0, ["total_entities", "total_edges"])
+
+
+def loop_functions(e: DataFrame) -> DataFrame:
+    """The different functions of the instruments of a loop."""
+    t = e.where("entity_type = 'instrument'").select("doc_id", F.explode("tags").alias("t")).where("t.loop_number is not null")
+    f = t.select("doc_id", F.col("t.loop_number").alias("loop"), F.explode(F.split("t.function", "/")).alias("f"))
+    return f.groupBy("doc_id", "loop").agg(F.array_join(F.array_sort(F.collect_set("f")), ",").alias("functions"))
 
 
 def _issue(rule: str, severity: str, message: Column, who: str = "entity_id") -> list[Column]:
@@ -282,8 +378,7 @@ def _place() -> Column:
 
 def issues(e: DataFrame, ed: DataFrame) -> DataFrame:
     """Findings of rules R001 to R006.  The degree counts proximity and loop edges."""
-    whole = ed.select("doc_id", "src", "dst").union(loop_edges(e, ed).select("doc_id", "src", "dst"))
-    d = degrees(e, whole)
+    d = degrees(e, resolved(e, ed))
     r1 = e.where("entity_type in ('instrument', 'equipment', 'valve') and tag_id is null").select(*_issue("R001", "warning", F.concat(F.initcap("entity_type"), F.lit(" at position "), _place(), F.lit(" has no tag identifier."))))
     ids = F.array_sort(F.collect_list(F.struct("node_ord", "entity_id")))
     dup = e.where("tag_id is not null").groupBy("doc_id", "tag_id").agg(ids.alias("ids")).where(F.size("ids") > 1)
@@ -305,7 +400,7 @@ def rule_summary(e: DataFrame, found: DataFrame) -> DataFrame:
     f = found.groupBy("doc_id").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"), F.countDistinct(F.when(F.col("severity") == "error", F.col("entity_id"))).alias("bad"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     j = n.join(f, "doc_id", "left")
-    return j.select("doc_id", "entities", "tagged", zero("errors").alias("errors"), zero("warnings").alias("warnings"), ((F.col("entities") - zero("bad")) / F.col("entities") * 100).alias("pass_rate"))
+    return j.select("doc_id", "entities", "tagged", zero("errors").alias("errors"), zero("warnings").alias("warnings"), F.bround((F.col("entities") - zero("bad")) / F.col("entities") * 100, 1).alias("pass_rate"))
 
 
 # --- bill of quantities ---

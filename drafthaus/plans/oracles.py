@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from .. import dims
-from ..functions.columns import ISSUE, SHAPES
+import json
+from pathlib import Path
+from types import SimpleNamespace
+
 from ..sources.bridge import CLASSES, VIEWS
 
+# The values are written out here and in the file, apart from those of the library, so that a wrong one shows.
+_VALUES = json.loads((Path(__file__).parent / "oracle_values.json").read_text(encoding="utf-8"))
+dims = SimpleNamespace(ENTITY_TYPES=_VALUES["entity_types"], CATEGORY_ORDER=_VALUES["category_order"], VARIABLES=_VALUES["variables"], FUNCTIONS=_VALUES["functions"], EQUIPMENT_LETTERS=_VALUES["equipment_letters"], SERVICES=_VALUES["services"], SAME_CLASS=_VALUES["same_class"], MISSPELT=_VALUES["misspelt"])
+ISSUE = r"^\s*(?:[*_#>\s]*)?(\d+)[.)]\s+(.*)$"
+SHAPES = {"Centrifugal Pump": (14, 26, 14, 26, 0.75, 1.35), "Heat Exchanger": (30, 62, 20, 40, 0.85, 2.60), "Mixing Reactor": (52, 100, 22, 48, 1.20, 3.40), "Vertical Vessel": (95, 170, 20, 42, 2.40, 7.00), "Horizontal Vessel": (12, 42, 26, 85, 0.15, 1.10), "Gate_Valve": (12, 30, 9, 22, 0.80, 2.40), "Tank": (12, 28, 12, 28, 0.80, 1.30)}
+
 
 def _case(value: str, table: dict[str, str], other: str = "NULL") -> str:
     return f"CASE {value} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE {other} END"
 
 
 def _category(name: str) -> str:
-    return "CASE " + " ".join(f"WHEN contains(lower({name}), '{w}') THEN '{c}'" for c, ws in dims.KEYWORDS.items() for w in ws.split(", ")) + " ELSE 'other' END"
+    return "CASE " + " ".join(f"WHEN contains(lower({name}), '{w}') THEN '{c}'" for c, w in _VALUES["keywords"]) + " ELSE 'other' END"
 
 
 _TYPE = lambda c: _case(c, dims.ENTITY_TYPES, "'unknown'")
@@ -54,7 +62,7 @@ CHAIN = {
     "ents": f"""SELECT *, {_TYPE('category')} AS entity_type, row_number() OVER (PARTITION BY doc_id ORDER BY page, kind, ord) AS node_ord,
         CASE WHEN det IS NOT NULL AND ocr IS NOT NULL THEN det * 0.4::DOUBLE + ocr * 0.35::DOUBLE + (CASE WHEN tag_id IS NOT NULL THEN 0.9::DOUBLE ELSE 0.3::DOUBLE END) * 0.25::DOUBLE WHEN det IS NOT NULL THEN det * 0.6::DOUBLE ELSE ocr * 0.5::DOUBLE + (CASE WHEN tag_id IS NOT NULL THEN 0.9::DOUBLE ELSE 0.3::DOUBLE END) * 0.2::DOUBLE END AS confidence FROM every""",
     "near": "SELECT a.doc_id, a.page, a.node_ord AS i, b.node_ord AS j, a.x AS ax, b.x AS bx, a.y AS ay, b.y AS bty, a.entity_type AS ta, b.entity_type AS tb, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM ents a JOIN ents b ON a.page = b.page AND a.node_ord < b.node_ord",
-    "graph": """SELECT doc_id, page, CASE WHEN ax <= bx THEN i ELSE j END AS src, CASE WHEN ax <= bx THEN j ELSE i END AS dst, dist AS distance, dist / (CASE WHEN abs(ay - bty) < 30 THEN 1.5::DOUBLE WHEN abs(ax - bx) < 30 THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END) * 1.0::DOUBLE AS weight,
+    "graph": """SELECT doc_id, page, CASE WHEN ax <= bx THEN i ELSE j END AS src, CASE WHEN ax <= bx THEN j ELSE i END AS dst, round_even(dist, 2) AS distance, round_even(dist / (CASE WHEN abs(ay - bty) < 30 THEN 1.5::DOUBLE WHEN abs(ax - bx) < 30 THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END), 2) AS weight,
         CASE WHEN (ta = 'instrument' OR tb = 'instrument') AND dist < 80 THEN 'signal' ELSE 'piping' END AS connection_type FROM near WHERE dist <= 200""",
     "ends": "SELECT doc_id, src AS node, dst AS other FROM graph UNION ALL SELECT doc_id, dst, src FROM graph",
     "loop_members": "SELECT DISTINCT e.doc_id, e.node_ord, t.loop_number AS loop FROM ents e JOIN tagged t ON t.page = e.page AND t.kind = e.kind AND t.ord = e.ord WHERE e.entity_type = 'instrument' AND t.loop_number IS NOT NULL",
@@ -74,6 +82,8 @@ CHAIN |= {
         UNION ALL SELECT doc_id, 'R004', 'warning', entity_id, 'Low confidence (' || format('{{:.2f}}', confidence) || ') for entity ''' || coalesce(tag_id, description) || ''' at (' || x || ', ' || y || ').' FROM deg WHERE confidence < 0.5
         UNION ALL SELECT doc_id, 'R005', 'info', entity_id, 'Orphan ' || entity_type || ' ''' || coalesce(tag_id, 'None') || ''' has no connections.' FROM deg WHERE degree = 0 AND entity_type NOT IN ('line', 'unknown')
         UNION ALL SELECT doc_id, 'R006', 'warning', entity_id, 'Valve ''' || coalesce(tag_id, entity_id) || ''' has only ' || degree || ' connection(s). Valves typically have 2 (inlet + outlet).' FROM deg WHERE entity_type = 'valve' AND degree < 2""",
+    "whole": "SELECT doc_id, src, dst FROM graph UNION ALL SELECT doc_id, src, dst FROM new_edges",
+    "whole_ends": "SELECT doc_id, src AS node, dst AS other FROM whole UNION ALL SELECT doc_id, dst, src FROM whole",
     "pipes": "SELECT a.doc_id, a.page, a.det_ord AS run, a.cx AS px, a.cy AS py, b.cx AS qx, b.cy AS qy FROM symbols a JOIN symbols b ON a.page = b.page AND b.det_ord = a.det_ord + 1",
 }
 _OLD = "(VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(["Back Pressure Regulator", "BackPressure Regulator", "bolier", "Boiler", "Gate_Valve", "Gate Valve", "Level Trasmitter", "Reformer", "reformer", "Ball_valve", "Ball Valve", "Pump", "Tee", "Elbow", "Cap", "Drum", "Fan", "Motor"])) + ") o(id, name)"
@@ -88,7 +98,7 @@ FINAL = {
     "ocr_text_valid": r"""SELECT doc_id, page, text_ord, CASE WHEN length(trim(text)) = 0 THEN false WHEN length(trim(text)) <= 2 AND regexp_matches(trim(text), '^\d+$') THEN true WHEN length(trim(text)) = 1 THEN false WHEN regexp_matches(trim(text), '^[^a-zA-Z0-9]+$|^[oe]{1,3}$|^[ry]{1,2}$', 'i') THEN false
         ELSE length(regexp_replace(trim(text), '[^a-zA-Z0-9\-_./() ]', '', 'g')) * 2 >= length(trim(text)) END AS valid FROM texts""",
     "symbol_classify": f"SELECT class_name, {_category('class_name')} AS category, {_TYPE(_category('class_name'))} AS entity_type FROM (SELECT DISTINCT class_name FROM symbols) s",
-    "class_coverage": f"SELECT category, count(*) AS n, coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE category = 'other'), '') AS unmapped FROM (SELECT name, {_category('name')} AS category FROM (SELECT name FROM {_OLD} UNION ALL SELECT name FROM {_NEW}) n) k GROUP BY 1",
+    "class_coverage": f"SELECT category, count(*) AS n, coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE category = 'other'), '') AS unmapped, (sum(count(*)) OVER ())::BIGINT AS total, round_even((sum(count(*)) OVER () - sum(count(*) FILTER (WHERE category = 'other')) OVER ()) / sum(count(*)) OVER () * 100, 1) AS coverage FROM (SELECT name, {_category('name')} AS category FROM (SELECT name FROM {_OLD} UNION ALL SELECT name FROM {_NEW}) n) k GROUP BY 1",
     "blob_filter": "SELECT doc_id, page, blob_ord FROM blobs WHERE h BETWEEN 12 AND 130 AND w BETWEEN 5 AND 700 AND area >= 30 AND w / h BETWEEN 0.15 AND 12 AND area / (w * h) BETWEEN 0.08 AND 0.90",
     "word_groups": """SELECT doc_id, page, isl AS island, count(*) AS blobs, greatest(0, min(x) - 4) AS x, greatest(0, min(y) - 4) AS y, max(x + w) - min(x) + 8 AS w, max(y + h) - min(y) + 8 AS h FROM (SELECT *, sum(f) OVER (PARTITION BY page ORDER BY x, blob_ord)::BIGINT - 1 AS isl FROM (
         SELECT *, CASE WHEN x - (lag(x) OVER p + lag(w) OVER p) <= (h + lag(h) OVER p) / 2 * 1.8 AND least(y + h, lag(y) OVER p + lag(h) OVER p) - greatest(y, lag(y) OVER p) >= least(h, lag(h) OVER p) * 0.4 THEN 0 ELSE 1 END AS f
@@ -99,12 +109,12 @@ FINAL = {
     "nms": """SELECT doc_id, page, k.o AS det_ord, k.n AS rank FROM (SELECT doc_id, page, unnest(list_transform(m, lambda e, i: {'o': e.o, 'n': i - 1})) AS k FROM (SELECT doc_id, page, list_reduce(list_transform(c, lambda e: [e]), lambda m, e: CASE WHEN len(list_filter(m, lambda k: (CASE WHEN least(k.x2, e[1].x2) > greatest(k.x1, e[1].x1) AND least(k.y2, e[1].y2) > greatest(k.y1, e[1].y1)
         THEN (least(k.x2, e[1].x2) - greatest(k.x1, e[1].x1)) * (least(k.y2, e[1].y2) - greatest(k.y1, e[1].y1)) / ((k.x2 - k.x1) * (k.y2 - k.y1) + (e[1].x2 - e[1].x1) * (e[1].y2 - e[1].y1) - (least(k.x2, e[1].x2) - greatest(k.x1, e[1].x1)) * (least(k.y2, e[1].y2) - greatest(k.y1, e[1].y1))) ELSE 0 END) > 0.45)) > 0 THEN m ELSE list_concat(m, e) END) AS m
         FROM (SELECT doc_id, page, list({'o': det_ord, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2} ORDER BY confidence DESC, det_ord) AS c FROM dense GROUP BY doc_id, page) a) b) d""",
-    "detection_summary": "SELECT class_name, count(*) AS n, avg(confidence) AS avg_confidence FROM symbols GROUP BY 1",
+    "detection_summary": "SELECT class_name, n, avg_confidence, row_number() OVER (ORDER BY n DESC, f) AS rank FROM (SELECT class_name, count(*) AS n, round_even(avg(confidence), 4) AS avg_confidence, min(doc_id * 1000000000 + page * 10000 + det_ord) AS f FROM symbols GROUP BY 1) s",
     "label_candidates": "SELECT doc_id, page, count(*) AS n, max(dist) AS far FROM cand GROUP BY 1, 2",
     "label_assignment": "SELECT doc_id, page, det_ord, text_ord, dist, place FROM given",
     "unassigned_text": "SELECT t.doc_id, t.page, t.text_ord FROM texts t ANTI JOIN given g ON t.page = g.page AND t.text_ord = g.text_ord",
     "entities": f"SELECT doc_id, page, {_ID} AS entity_id, tag_id, entity_type, category, description, size, specification, confidence, confidence < 0.6 AS needs_review FROM ents",
-    "confidence_stats": "SELECT doc_id, count(*) AS total, round(avg(confidence), 6) AS avg_confidence, min(confidence) AS min_confidence, max(confidence) AS max_confidence, count(*) FILTER (WHERE confidence < 0.6) AS needs_review, count(*) FILTER (WHERE confidence >= 0.8) AS high, count(*) FILTER (WHERE confidence >= 0.6 AND confidence < 0.8) AS medium FROM ents GROUP BY 1",
+    "confidence_stats": "SELECT doc_id, count(*) AS total, round_even(avg(confidence), 3) AS avg_confidence, round_even(min(confidence), 3) AS min_confidence, round_even(max(confidence), 3) AS max_confidence, count(*) FILTER (WHERE confidence < 0.6) AS low, count(*) FILTER (WHERE confidence < 0.6) AS needs_review, count(*) FILTER (WHERE confidence >= 0.8) AS high, count(*) FILTER (WHERE confidence >= 0.6 AND confidence < 0.8) AS medium FROM ents GROUP BY 1",
     "edges": "SELECT * FROM graph",
     "degree": f"SELECT e.doc_id, {_ID} AS entity_id, count(d.n) AS degree FROM ents e LEFT JOIN (SELECT doc_id, node, 1 AS n FROM ends) d ON e.doc_id = d.doc_id AND e.node_ord = d.node GROUP BY 1, 2",
     "neighbors": "SELECT doc_id, node, count(*) AS n, min(other) AS first FROM ends GROUP BY 1, 2",
@@ -134,16 +144,62 @@ FINAL = {
     "line_assignment": "SELECT doc_id, node_ord, line_number FROM lined",
     "tile_grid": "SELECT s.sheet, r.k AS row, c.k AS col, c.v AS x, r.v AS y, c.v > 0 AS cut_left, r.v > 0 AS cut_top, c.v + least(1312, s.width - c.v) < s.width AS cut_right, r.v + least(1312, s.height - r.v) < s.height AS cut_bottom FROM sheets s JOIN (SELECT sheet, i AS k, CASE WHEN height <= 1312 THEN 0 ELSE round_even(i * ((height - 1312) / (n - 1)), 0) END::BIGINT AS v FROM (SELECT sheet, height, n, unnest(range(0, n)) AS i FROM (SELECT sheet, height, CASE WHEN height <= 1312 THEN 1 ELSE greatest(2, ceil((height - 1312) / 1184.0::DOUBLE) + 1) END::BIGINT AS n FROM sheets) a) b) r ON r.sheet = s.sheet JOIN (SELECT sheet, i AS k, CASE WHEN width <= 1312 THEN 0 ELSE round_even(i * ((width - 1312) / (n - 1)), 0) END::BIGINT AS v FROM (SELECT sheet, width, n, unnest(range(0, n)) AS i FROM (SELECT sheet, width, CASE WHEN width <= 1312 THEN 1 ELSE greatest(2, ceil((width - 1312) / 1184.0::DOUBLE) + 1) END::BIGINT AS n FROM sheets) a) b) c ON c.sheet = s.sheet",
     "flow_order": "SELECT doc_id, node_ord, line_number, row_number() OVER (PARTITION BY doc_id, line_number ORDER BY x, node_ord) - 1 AS flow_order FROM lined WHERE line_number IS NOT NULL",
-    "line_strengthen": "SELECT g.doc_id, g.src, g.dst, g.weight * 0.25::DOUBLE AS weight, a.line_number FROM graph g JOIN lined a ON a.doc_id = g.doc_id AND a.node_ord = g.src JOIN lined b ON b.doc_id = g.doc_id AND b.node_ord = g.dst WHERE a.line_number = b.line_number",
-    "graph_summary": "SELECT n.*, coalesce(d.edges, 0) AS edges, c.components, c.components = 1 AS connected FROM (SELECT doc_id, count(*) AS nodes, " + ", ".join(f"count(*) FILTER (WHERE category = '{k}') AS {k}" for k in dims.CATEGORY_ORDER) + " FROM ents GROUP BY 1) n LEFT JOIN (SELECT doc_id, count(*) AS edges FROM graph GROUP BY 1) d ON d.doc_id = n.doc_id JOIN (SELECT doc_id, count(DISTINCT component) AS components FROM (SELECT e.doc_id, e.node_ord, min(r.y) AS component FROM ents e JOIN reach r ON r.doc_id = e.doc_id AND r.x = e.node_ord GROUP BY 1, 2) m GROUP BY 1) c ON c.doc_id = n.doc_id",
+    "line_strengthen": "SELECT g.doc_id, g.src, g.dst, g.weight * 0.5::DOUBLE AS weight, a.line_number FROM graph g JOIN lined a ON a.doc_id = g.doc_id AND a.node_ord = g.src JOIN lined b ON b.doc_id = g.doc_id AND b.node_ord = g.dst WHERE a.line_number = b.line_number",
+    "graph_summary": "SELECT n.*, coalesce(d.edges, 0) AS edges, c.components, c.components = 1 AS connected FROM (SELECT doc_id, count(*) AS nodes, " + ", ".join(f"count(*) FILTER (WHERE category = '{k}') AS {k}" for k in dims.CATEGORY_ORDER) + " FROM ents GROUP BY 1) n LEFT JOIN (SELECT doc_id, count(*) AS edges FROM whole GROUP BY 1) d ON d.doc_id = n.doc_id JOIN (SELECT doc_id, count(DISTINCT component) AS components FROM (SELECT e.doc_id, e.node_ord, min(r.y) AS component FROM ents e JOIN reach r ON r.doc_id = e.doc_id AND r.x = e.node_ord GROUP BY 1, 2) m GROUP BY 1) c ON c.doc_id = n.doc_id",
     "rule_issues": "SELECT * FROM found",
-    "rule_summary": "SELECT n.*, coalesce(f.errors, 0) AS errors, coalesce(f.warnings, 0) AS warnings, (entities - coalesce(bad, 0)) / entities * 100 AS pass_rate FROM (SELECT doc_id, count(*) AS entities, count(tag_id) AS tagged FROM ents GROUP BY 1) n LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(DISTINCT entity_id) FILTER (WHERE severity = 'error') AS bad FROM found GROUP BY 1) f ON f.doc_id = n.doc_id",
+    "rule_summary": "SELECT n.*, coalesce(f.errors, 0) AS errors, coalesce(f.warnings, 0) AS warnings, round_even((entities - coalesce(bad, 0)) / entities * 100, 1) AS pass_rate FROM (SELECT doc_id, count(*) AS entities, count(tag_id) AS tagged FROM ents GROUP BY 1) n LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(DISTINCT entity_id) FILTER (WHERE severity = 'error') AS bad FROM found GROUP BY 1) f ON f.doc_id = n.doc_id",
     "class_compat": f"SELECT CASE WHEN a = b THEN 'identical' WHEN list_sort(a) = list_sort(b) THEN 'order' ELSE 'vocabulary' END AS verdict, array_to_string(list_sort(list_distinct(list_filter(a, lambda x: NOT list_contains(b, x))))[1:10], ',') AS only_in_model, array_to_string(list_sort(list_distinct(list_filter(b, lambda x: NOT list_contains(a, x))))[1:10], ',') AS only_in_dataset FROM (SELECT (SELECT list(name ORDER BY id) FROM {_NEW}) AS a, (SELECT list(name ORDER BY id) FROM {_OLD}) AS b) n",
     "pipe_crossings": "SELECT r.doc_id, r.page, r.run FROM pipes r ANTI JOIN symbols o ON o.page = r.page AND o.det_ord <> r.run AND o.det_ord <> r.run + 1 AND ((r.py BETWEEN o.y1 - 2 AND o.y2 + 2 AND greatest(r.px, r.qx) > o.x1 - 2 AND least(r.px, r.qx) < o.x2 + 2) OR (CASE WHEN r.py = r.qy THEN r.py BETWEEN o.y1 - 2 AND o.y2 + 2 AND r.qx > o.x1 - 2 AND r.qx < o.x2 + 2 ELSE r.qx BETWEEN o.x1 - 2 AND o.x2 + 2 AND greatest(r.py, r.qy) > o.y1 - 2 AND least(r.py, r.qy) < o.y2 + 2 END))",
     "jobs_expired": "SELECT id, status FROM jobs WHERE created_at < TIMESTAMP '2024-01-14'",
 }
 FINAL["mto_numbered"] = f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY list_position({dims.CATEGORY_ORDER}, category), description NULLS FIRST, tag_id, size, specification) AS item_no, category, description, size, specification, quantity FROM ({FINAL['mto_rows']}) r"
-_REACH = "reach AS (SELECT doc_id, node_ord AS x, node_ord AS y FROM ents UNION SELECT r.doc_id, r.x, e.other FROM reach r JOIN ends e ON e.doc_id = r.doc_id AND e.node = r.y)"
+_REACH = "reach AS (SELECT doc_id, node_ord AS x, node_ord AS y FROM ents UNION SELECT r.doc_id, r.x, e.other FROM reach r JOIN whole_ends e ON e.doc_id = r.doc_id AND e.node = r.y)"
+
+_TAX = [("Gate Valve", "equipment"), ("ball valve", "instruments"), ("Panel Note", "piping"), ("UNKNOWN-THING", "valves"), ("Tee", "other")]
+_EXACT = "CASE name " + " ".join(f"WHEN '{n}' THEN '{c}'" for n, c in _TAX) + " END"
+_LOOSE = "CASE regexp_replace(lower(name), '[^a-z0-9]', '', 'g') " + " ".join(f"WHEN '{''.join(ch for ch in n.lower() if ch.isalnum())}' THEN '{c}'" for n, c in _TAX) + " END"
+_TILES = FINAL["tile_grid"]
+_CLIP = lambda v, o, most: f"greatest(0.0, least({v} + t.{o}, t.{most}))::DOUBLE"
+_J = lambda k, v: f"CASE WHEN {v} IS NOT NULL THEN '\"{k}\":' || to_json({v})::VARCHAR END"
+_D = "confidence::VARCHAR::DECIMAL(30, 20) * 10000"
+_ROUNDED = f"(CASE WHEN {_D} - floor({_D}) = 0.5 AND floor({_D})::BIGINT % 2 = 0 THEN floor({_D}) ELSE round({_D}) END / 10000)::DOUBLE"  # of the number as written, halves to even
+_BASE = "regexp_extract(regexp_replace(replace(coalesce(url, ''), '\\', '/'), '/+$', ''), '[^/]*$')"
+_MEET = "FROM words w JOIN blobs b ON b.page = w.page AND b.x < w.x2 AND w.x1 < b.x + b.w AND b.y < w.y2 AND w.y1 < b.y + b.h WHERE w.x2 > w.x1 AND w.y2 > w.y1"
+CHAIN |= {
+    "precisions": "SELECT cid AS id, count(*) FILTER (WHERE ord % 4 <> 0) / count(*) AS precision FROM boxes WHERE cid < 15 GROUP BY 1",
+    "old_names": f"SELECT id, name FROM {_OLD}",
+}
+FINAL |= {
+    "tile_merge_clip_cut": f"SELECT sheet, row, col, i AS det_ord, x1, y1, x2, y2 FROM (SELECT t.*, i, {_CLIP('a', 'x', 'width')} AS x1, {_CLIP('i * 217.0', 'y', 'height')} AS y1, {_CLIP('a + 63', 'x', 'width')} AS x2, {_CLIP('i * 217.0 + 40', 'y', 'height')} AS y2 FROM (SELECT g.*, s.width, s.height FROM ({_TILES}) g JOIN sheets s ON s.sheet = g.sheet) t, (SELECT i, CASE WHEN i < 4 THEN i * 433 - 3 ELSE i * 3 - 11 END AS a FROM (SELECT unnest(range(8)) AS i) r) d) t WHERE x2 > x1 AND y2 > y1 AND NOT (cut_left AND x1 - x <= 6) AND NOT (cut_top AND y1 - y <= 6) AND NOT (cut_right AND x + least(1312, width - x) - x2 <= 6) AND NOT (cut_bottom AND y + least(1312, height - y) - y2 <= 6)",
+    "covered_words": f"SELECT doc_id, page, text_ord, count(*) AS cover FROM (SELECT DISTINCT doc_id, page, text_ord, size, px, unnest(range(c, d)) AS py FROM (SELECT w.doc_id, w.page, w.text_ord, (w.x2 - w.x1) * (w.y2 - w.y1) AS size, unnest(range(greatest(b.x, w.x1)::BIGINT, least(b.x + b.w, w.x2)::BIGINT)) AS px, greatest(b.y, w.y1)::BIGINT AS c, least(b.y + b.h, w.y2)::BIGINT AS d {_MEET}) p) q GROUP BY doc_id, page, text_ord, size HAVING count(*) >= 25 / 255.0::DOUBLE * size",
+    "entity_json": f"SELECT doc_id, {_ID} AS entity_id, '{{' || concat_ws(',', {_J('entity_id', _ID)}, {_J('tag_id', 'tag_id')}, {_J('entity_type', 'entity_type')}, {_J('description', 'description')}, {_J('component_category', 'category')}, {_J('size', 'size')}, {_J('specification', 'specification')}, '\"confidence\":' || {_ROUNDED}, '\"text_count\":' || texts) || '}}' AS json FROM ents",
+    "class_map": f"SELECT name, coalesce({_EXACT}, {_LOOSE}, {_category('name')}) AS category, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS key FROM (SELECT DISTINCT name FROM (SELECT name FROM {_OLD} UNION ALL SELECT name FROM {_NEW}) n) k",
+    "sheet_scales": "SELECT sheet, CASE WHEN m <= 0 THEN 3.0 ELSE least(3.0, greatest(1.0, 6000 / m)) END::DOUBLE AS ocr, least(1.0, 1920 / m)::DOUBLE AS display, greatest(1.0, 1920 / width)::DOUBLE AS debug FROM (SELECT *, greatest(width, height)::DOUBLE AS m FROM sheets) s",
+    "ocr_rescale": "SELECT doc_id, page, text_ord, x1 / 2 AS x1, y1 / 2 AS y1, x2 / 2 AS x2, y2 / 2 AS y2, (x1 + x2) / 4 AS cx, (y1 + y2) / 4 AS cy FROM words",
+    "entity_filters": "SELECT doc_id, node_ord FROM ents WHERE entity_type = 'instrument' AND category = 'instruments'",
+    "annotator_components": "SELECT doc_id, page, blob_ord FROM blobs WHERE w >= 8 AND h >= 8 AND area >= 30 AND h / w >= 0.12 AND h / w <= 9 AND NOT (h < 12 AND w > 22)",
+    "tall_symbols": "SELECT doc_id, page, blob_ord FROM (SELECT doc_id, page, blob_ord, h * 3 AS h, w, area FROM blobs) b WHERE h >= 60 AND w <= 60 AND area >= 200 AND h / greatest(1, w) >= 2",
+    "circle_class": "SELECT doc_id, page, blob_ord, CASE WHEN w >= 11 AND w <= 28 AND h >= 11 AND h <= 28 THEN CASE WHEN area / (w * h) > 0.35 THEN 'Tank' ELSE 'Centrifugal Pump' END END AS class FROM blobs",
+    "confident_detections": "SELECT doc_id, page, text_ord FROM words WHERE confidence >= 0.5",
+    "box_properties": "SELECT doc_id, page, det_ord, x2 - x1 AS width, y2 - y1 AS height, (x2 - x1) * (y2 - y1) AS area FROM symbols",
+    "best_reading": "SELECT doc_id, page, crop, arg_min(text, rank) AS text, max(confidence) AS confidence FROM (SELECT doc_id, page, text_ord // 3 AS crop, text, confidence, row_number() OVER (PARTITION BY page, text_ord // 3 ORDER BY confidence DESC, text_ord) AS rank FROM words) w GROUP BY 1, 2, 3",
+    "page_counts": "SELECT doc_id, page, sum(d)::BIGINT AS detections, sum(t)::BIGINT AS text_regions, sum(e)::BIGINT AS entities FROM (SELECT doc_id, page, 1 AS d, 0 AS t, 0 AS e FROM symbols UNION ALL SELECT doc_id, page, 0, 1, 0 FROM texts UNION ALL SELECT doc_id, page, 0, 0, 1 FROM ents) u GROUP BY 1, 2",
+    "run_summary": "SELECT p.doc_id, pages, total_detections, total_text_regions, coalesce(c.n, 0) AS total_entities, c.a AS avg_confidence, coalesce(g.n, 0) AS total_edges FROM (SELECT doc_id, count(DISTINCT page) AS pages, sum(d)::BIGINT AS total_detections, sum(t)::BIGINT AS total_text_regions FROM (SELECT doc_id, page, 1 AS d, 0 AS t FROM symbols UNION ALL SELECT doc_id, page, 0, 1 FROM texts) u GROUP BY 1) p LEFT JOIN (SELECT doc_id, count(*) AS n, round_even(avg(confidence), 3) AS a FROM ents GROUP BY 1) c ON c.doc_id = p.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM whole GROUP BY 1) g ON g.doc_id = p.doc_id",
+    "mean_confidence": f"SELECT doc_id, {_ID} AS entity_id, round((coalesce(det, 0) + coalesce(ocr, 0) + CASE WHEN tag_id IS NOT NULL THEN 0.9::DOUBLE ELSE 0 END) / ((det IS NOT NULL)::INT + (ocr IS NOT NULL)::INT + (tag_id IS NOT NULL)::INT), 6) AS mean_confidence FROM ents",
+    "loop_functions": "SELECT doc_id, loop, string_agg(DISTINCT f, ',' ORDER BY f) AS functions FROM (SELECT e.doc_id, t.loop_number AS loop, unnest(string_split(t.fn, '/')) AS f FROM ents e JOIN (SELECT g.page, 0 AS kind, g.det_ord AS ord, t.loop_number, CASE WHEN t.tag_type = 'instrument_tag' THEN t.fn END AS fn FROM given g JOIN tags t ON g.page = t.page AND g.text_ord = t.text_ord UNION ALL SELECT page, 1, text_ord, loop_number, CASE WHEN tag_type = 'instrument_tag' THEN fn END FROM tags) t ON t.page = e.page AND t.kind = e.kind AND t.ord = e.ord WHERE e.entity_type = 'instrument' AND t.loop_number IS NOT NULL) f GROUP BY 1, 2",
+    "node_loops": "SELECT doc_id, node_ord, 'LOOP-' || arg_max(loop, begun * 1000000 + loop::BIGINT) AS instrument_loop FROM (SELECT *, min(node_ord) OVER (PARTITION BY doc_id, loop) AS begun FROM loops) l GROUP BY 1, 2",
+    "highlighted_nodes": "SELECT DISTINCT doc_id, node FROM (SELECT doc_id, src AS node FROM graph WHERE connection_type = 'signal' UNION ALL SELECT doc_id, dst FROM graph WHERE connection_type = 'signal') g",
+    "fallback_report": "SELECT d.doc_id, coalesce(f.errors, 0) AS errors, coalesce(f.warnings, 0) AS warnings, coalesce(f.total, 0) AS total, coalesce(f.errors, 0) = 0 AS passed FROM (SELECT DISTINCT doc_id FROM ents) d LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) AS total FROM found GROUP BY 1) f ON f.doc_id = d.doc_id",
+    "prompt_issues": "SELECT doc_id, string_agg(k || '. [' || upper(severity) || '] ' || message, chr(10) ORDER BY k) || CASE WHEN max(c) > 15 THEN chr(10) || '... and ' || (max(c) - 15) || ' more issues' ELSE '' END AS text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rule_id, entity_id, message) AS k, count(*) OVER (PARTITION BY doc_id) AS c FROM found) f WHERE k <= 15 GROUP BY doc_id",
+    "ranked_classes": f"SELECT 'worst' AS status, k AS rank, id, name FROM (SELECT m.id, n.name, row_number() OVER (ORDER BY precision, m.id) AS k FROM precisions m LEFT JOIN old_names n ON n.id = m.id) w WHERE k <= 3 UNION ALL SELECT 'best', k, id, name FROM (SELECT m.id, n.name, row_number() OVER (ORDER BY precision DESC, m.id DESC) AS k FROM precisions m LEFT JOIN old_names n ON n.id = m.id) b WHERE k <= 3 UNION ALL SELECT 'zero', NULL, m.id, n.name FROM precisions m LEFT JOIN old_names n ON n.id = m.id WHERE precision = 0 UNION ALL SELECT 'never', NULL, n.id, n.name FROM old_names n ANTI JOIN precisions m ON m.id = n.id",
+    "extra_repeat": "SELECT image, rep, 'target' || rep || '_split' || split || '_' || name AS name FROM images, (SELECT unnest(range(3)) AS rep) r",
+    "labelled_images": "SELECT i.image, count(v.cid) AS n, coalesce(sum(v.cid), 0)::BIGINT AS ids FROM (SELECT unnest(range(60)) AS image) i LEFT JOIN (SELECT image, try_cast(t[1] AS INT) AS cid FROM (SELECT image, string_split_regex(trim(value), '\\s+') AS t FROM label_lines) l WHERE len(t) = 5 AND try_cast(t[1] AS INT) BETWEEN 0 AND 17) v ON v.image = i.image GROUP BY 1",
+    "upload_names": f"SELECT page_id, CASE WHEN b = '' THEN 'upload' ELSE left(b, 120) END AS name FROM (SELECT page_id, regexp_replace(regexp_replace({_BASE}, '[^A-Za-z0-9._ -]+', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') AS b FROM pages) p",
+    "upload_check": "SELECT doc_id, CASE WHEN kind NOT IN ('pdf', 'png', 'jpg', 'bmp') THEN 'suffix' WHEN content = '' THEN 'empty' WHEN octet_length(encode(content)) > 4000 THEN 'size' WHEN NOT ((kind = 'pdf' AND starts_with(content, '%PDF')) OR (kind = 'bmp' AND starts_with(content, 'BM'))) THEN 'content' END AS problem FROM uploads",
+    "shape_scaled": "SELECT doc_id, page, det_ord, " + _SHAPE + " AS shape FROM (SELECT *, (x2 - x1) / 2 AS w, (y2 - y1) / 2 AS h FROM symbols) s",
+    "graph_view": f"SELECT doc_id, {_ID} AS entity_id, coalesce(tag_id, description) AS label, CASE category WHEN 'equipment' THEN '#FF4444' WHEN 'valves' THEN '#44AA44' WHEN 'instruments' THEN '#FF9900' WHEN 'piping' THEN '#4488FF' ELSE '#888888' END AS colour FROM ents",
+    "nms_order": "SELECT doc_id, page, det_ord, row_number() OVER (PARTITION BY doc_id, page ORDER BY confidence DESC, f, rank) AS place FROM (SELECT *, min(rank) OVER (PARTITION BY doc_id, page, class_name) AS f FROM (SELECT n.*, d.confidence, 'c' || (d.det_ord % 3) AS class_name FROM (" + FINAL["nms"] + ") n JOIN dense d ON d.page = n.page AND d.det_ord = n.det_ord) x) y",
+}
 
 
 def _needed(text: str, known: dict[str, str]) -> list[str]:
@@ -166,7 +222,7 @@ def sql() -> dict[str, str]:
     result = {}
     for name, final in FINAL.items():
         reach = " reach " in f" {final} ".replace("\n", " ")
-        parts = [f"{n} AS MATERIALIZED ({known[n]})" for n in _needed(final + (" FROM ents FROM ends" if reach else ""), known)]
+        parts = [f"{n} AS MATERIALIZED ({known[n]})" for n in _needed(final + (" FROM ents FROM whole_ends" if reach else ""), known)]
         if reach:
             parts.append(_REACH)
         result[name] = f"WITH {'RECURSIVE ' if reach else ''}{', '.join(parts)} {final}" if parts else final

@@ -29,6 +29,8 @@ VIEWS = {
     "sheets": "SELECT p_partkey AS sheet, 640 + CAST(p_size AS BIGINT) * 97 AS width, 480 + (p_partkey % 37) * 131 AS height FROM part",
     "images": "SELECT doc_id AS image, CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'valid' ELSE 'test' END AS split, concat('img', CAST(doc_id AS VARCHAR(20)), '.png') AS name, text AS content FROM documents",
     "boxes": "SELECT p_partkey % 50 AS image, p_partkey % 20 AS cid, p_partkey AS ord, (p_partkey % 10) / CAST(16 AS DOUBLE) AS cx FROM part",
+    "label_lines": "SELECT p_partkey % 50 AS image, CASE p_partkey % 7 WHEN 0 THEN 'x 0.5 0.5 0.1 0.1' WHEN 1 THEN '3 0.5 0.5 0.1' WHEN 2 THEN '  4 0.5  0.5 0.1 0.1 ' ELSE concat(CAST(p_partkey % 20 AS VARCHAR(20)), ' 0.5 0.25 0.125 0.0625') END AS value FROM part",
+    "uploads": "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'exe' WHEN 1 THEN 'png' WHEN 2 THEN 'bmp' ELSE 'pdf' END AS kind, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN concat('BM', text) ELSE concat('%PDF-1.4', text) END AS content FROM documents",
     "jobs": "SELECT event_id AS id, event_type AS status, ts AS created_at FROM events",
     "reports": "SELECT conv_id * 1000 + turn AS id, concat('Before.\n', CAST(turn AS VARCHAR(9)), '. Missing tag on pump\n- Severity: ', CASE turn % 3 WHEN 0 THEN 'error' WHEN 1 THEN 'info' ELSE 'warning' END, '\n\n**2) ', role, '**\nseverity = info') AS text FROM conversations",
 }
