@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,3 +92,27 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], node: st
         if not step.where("new < label").limit(1).count():
             return step.select(*keys, F.col("u").alias(node), F.col("new").alias("component"))
         labels = step.select(*keys, "u", F.col("new").alias("label"))
+
+
+def _pieces(group: pa.Table) -> pa.Table:
+    up: dict[int, int] = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for u, v in zip(group.column("u").to_pylist(), group.column("v").to_pylist()):
+        a, b = root(u), root(v)
+        up[max(a, b)] = min(a, b)
+    found = list(up)
+    first = group.slice(0, 1).combine_chunks()
+    keys = {c: pa.concat_arrays([first.column(c).chunk(0)] * len(found)) for c in group.column_names if c not in ("u", "v")}
+    return pa.table(keys | {"u": pa.array(found, pa.int64()), "v": pa.array([root(x) for x in found], pa.int64())})
+
+
+def local_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], node: str = "node", src: str = "src", dst: str = "dst") -> DataFrame:
+    """As components, for edges that never leave a key: each key (a page) is solved by one task, in one pass."""
+    pairs = nodes.select(*keys, F.col(node).cast("long").alias("u"), F.col(node).cast("long").alias("v")).union(edges.select(*keys, F.col(src).cast("long"), F.col(dst).cast("long")))
+    return pairs.groupBy(*keys).applyInArrow(_pieces, pairs.schema).withColumnsRenamed({"u": node, "v": "component"})

@@ -151,8 +151,8 @@ QUERIES = {
     "line_strengthen": _q(_strengthened),
     "instrument_loops": _q(lambda v, s: D.instrument_loops(_entities(v)).select("doc_id", "loop", F.col("node_ord").cast("long").alias("node_ord"), F.col("place").cast("long").alias("place"))),
     "loop_edges": _q(lambda v, s: D.loop_edges(*_graph(v)).select("doc_id", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "weight")),
-    "components": _q(lambda v, s: (lambda e, g: D.graph_components(e, D.resolved(e, g)))(*_graph(v)).select("doc_id", F.col("node").cast("long").alias("node"), F.col("component").cast("long").alias("component"))),
-    "graph_summary": _q(lambda v, s: (lambda e, g: D.graph_summary(e, D.resolved(e, g)))(*_graph(v))),
+    "components": _q(lambda v, s: D.graph_components(*_graph(v)).select("doc_id", F.col("node").cast("long").alias("node"), F.col("component").cast("long").alias("component"))),
+    "graph_summary": _q(lambda v, s: D.graph_summary(*_graph(v))),
     "rule_issues": _q(lambda v, s: D.issues(*_graph(v))),
     "rule_summary": _q(lambda v, s: (lambda e, g: D.rule_summary(e, D.issues(e, g)))(*_graph(v))),
     "mto_rows": _q(lambda v, s: D.mto_rows(_entities(v))),
@@ -203,4 +203,6 @@ QUERIES = {
     "graph_view": _q(lambda v, s: sinks.graph_view(_entities(v))),
     "graph_json": _q(lambda v, s: sinks.graph_json(*_graph(v))),
     "nms_order": _q(_nms_order),
+    "mto_layout": _q(lambda v, s: D.sheet_layout(D.numbered(D.mto_rows(_entities(v)))).select("doc_id", F.col("item_no").cast("long").alias("item_no"), F.col("sheet_row").cast("long").alias("sheet_row"), "fill")),
+    "yolo_lines": _q(lambda v, s: sinks.yolo_lines(v["symbols"].select(F.col("page").alias("image"), F.col("det_ord").alias("ord"), F.lit(7).alias("cid"), "x1", "y1", "x2", "y2"), F.lit(2048.0), F.lit(1024.0))),
 }

@@ -12,7 +12,7 @@ from .. import dims
 from ..config import SETTINGS
 from ..functions.columns import axis_starts, confidence, entity_type, normalised_tag, parse_normalised, pretty_type, valid_text, with_category
 from ..operators.lineage import cut
-from ..operators.spatial import components, gaps_and_islands, greedy_match, greedy_nms, range_join
+from ..operators.spatial import components, gaps_and_islands, greedy_match, greedy_nms, local_components, range_join
 
 PAGE = ["doc_id", "page"]
 TAGGED = ["instrument_tag", "equipment_tag"]
@@ -295,20 +295,31 @@ def loop_edges(e: DataFrame, ed: DataFrame) -> DataFrame:
     return new.select("doc_id", "src", "dst", F.concat(F.lit("LOOP-"), "loop").alias("loop_id"), F.lit(50.0).alias("weight"))
 
 
-def graph_components(e: DataFrame, ed: DataFrame) -> DataFrame:
-    return components(e.select("doc_id", F.col("node_ord").alias("node")), ed.select("doc_id", "src", "dst"), ["doc_id"])
-
-
 def resolved(e: DataFrame, ed: DataFrame) -> DataFrame:
     """src, dst of all edges of the graph: by proximity and along loops."""
     return ed.select("doc_id", "src", "dst").union(loop_edges(e, ed).select("doc_id", "src", "dst"))
 
 
+def graph_components(e: DataFrame, ed: DataFrame) -> DataFrame:
+    """Weak components of the resolved graph: doc_id, node, component (its smallest node).
+
+    Proximity edges stay on their page, so pages are solved first, each in one pass; loop edges then join the pieces."""
+    if "page" not in ed.columns:
+        return components(e.select("doc_id", F.col("node_ord").alias("node")), resolved(e, ed), ["doc_id"])
+    pieces = cut(local_components(e.select(*PAGE, F.col("node_ord").alias("node")), ed, PAGE)).select("doc_id", "node", F.col("component").alias("piece"))
+    of = lambda c: pieces.select("doc_id", F.col("node").cast("int").alias(c), F.col("piece").alias(f"{c}_piece"))
+    joins = loop_edges(e, ed).select("doc_id", "src", "dst").join(of("src"), ["doc_id", "src"]).join(of("dst"), ["doc_id", "dst"]).where("src_piece != dst_piece")
+    joins = joins.select("doc_id", F.col("src_piece").alias("src"), F.col("dst_piece").alias("dst")).distinct()
+    ends = joins.select("doc_id", F.col("src").alias("node")).union(joins.select("doc_id", "dst")).distinct()
+    whole = components(ends, joins, ["doc_id"]).withColumnRenamed("node", "piece")
+    return pieces.join(whole, ["doc_id", "piece"], "left").select("doc_id", "node", F.coalesce("component", "piece").alias("component"))
+
+
 def graph_summary(e: DataFrame, ed: DataFrame) -> DataFrame:
     """Of the resolved graph: nodes, edges, nodes by category, weak components."""
     c = graph_components(e, ed).groupBy("doc_id").agg(F.countDistinct("component").alias("components"))
     n = e.groupBy("doc_id").agg(F.count("*").alias("nodes"), *[F.count(F.when(F.col("category") == k, 1)).alias(k) for k in dims.CATEGORY_ORDER])
-    d = ed.groupBy("doc_id").agg(F.count("*").alias("edges"))
+    d = resolved(e, ed).groupBy("doc_id").agg(F.count("*").alias("edges"))
     return n.join(d, "doc_id", "left").join(c, "doc_id").withColumns({"edges": F.coalesce("edges", F.lit(0)), "connected": F.col("components") == 1})
 
 
@@ -429,5 +440,14 @@ def numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"item_no": F.row_number().over(whole), "shaded": F.row_number().over(part) % 2 == 0})
 
 
+def sheet_layout(rows: DataFrame) -> DataFrame:
+    """Numbered items with the row of the sheet that each is in and its fill: categories have a band above them and an
+    empty row below, items begin under the header in row 5."""
+    rank = F.array_position(F.array(*map(F.lit, dims.CATEGORY_ORDER)), F.col("category"))
+    before = F.dense_rank().over(Window.partitionBy("doc_id").orderBy(rank)) - 1
+    fill = F.when(F.col("confidence") < SETTINGS.review, "low").when(F.col("shaded"), "zebra").otherwise("none")
+    return rows.withColumns({"sheet_row": F.col("item_no") + 6 + 2 * before, "fill": fill})
+
+
 def category_totals(e: DataFrame) -> DataFrame:
     return e.rollup("doc_id", "category").agg(F.count("*").alias("n")).where("doc_id is not null").withColumn("category", F.coalesce("category", F.lit("TOTAL")))

@@ -198,6 +198,8 @@ FINAL |= {
     "upload_check": "SELECT doc_id, CASE WHEN kind NOT IN ('pdf', 'png', 'jpg', 'bmp') THEN 'suffix' WHEN content = '' THEN 'empty' WHEN octet_length(encode(content)) > 4000 THEN 'size' WHEN NOT ((kind = 'pdf' AND starts_with(content, '%PDF')) OR (kind = 'bmp' AND starts_with(content, 'BM'))) THEN 'content' END AS problem FROM uploads",
     "shape_scaled": "SELECT doc_id, page, det_ord, " + _SHAPE + " AS shape FROM (SELECT *, (x2 - x1) / 2 AS w, (y2 - y1) / 2 AS h FROM symbols) s",
     "graph_view": f"SELECT doc_id, {_ID} AS entity_id, coalesce(tag_id, description) AS label, CASE category WHEN 'equipment' THEN '#FF4444' WHEN 'valves' THEN '#44AA44' WHEN 'instruments' THEN '#FF9900' WHEN 'piping' THEN '#4488FF' ELSE '#888888' END AS colour FROM ents",
+    "mto_layout": f"SELECT doc_id, item_no, item_no + 6 + 2 * (dense_rank() OVER (PARTITION BY doc_id ORDER BY c) - 1) AS sheet_row, CASE WHEN confidence < 0.6 THEN 'low' WHEN k % 2 = 0 THEN 'zebra' ELSE 'none' END AS fill FROM (SELECT *, list_position({dims.CATEGORY_ORDER}, category) AS c, row_number() OVER (PARTITION BY doc_id ORDER BY list_position({dims.CATEGORY_ORDER}, category), description NULLS FIRST, tag_id, size, specification) AS item_no, row_number() OVER (PARTITION BY doc_id, category ORDER BY description NULLS FIRST, tag_id, size, specification) AS k FROM ({FINAL['mto_rows']}) r) x",
+    "yolo_lines": "SELECT page AS image, string_agg(format('7 {:.6f} {:.6f} {:.6f} {:.6f}', (x1 + x2) / 4096, (y1 + y2) / 2048, (x2 - x1) / 2048, (y2 - y1) / 1024), chr(10) ORDER BY det_ord) AS text FROM symbols GROUP BY 1",
     "nms_order": "SELECT doc_id, page, det_ord, row_number() OVER (PARTITION BY doc_id, page ORDER BY confidence DESC, f, rank) AS place FROM (SELECT *, min(rank) OVER (PARTITION BY doc_id, page, class_name) AS f FROM (SELECT n.*, d.confidence, 'c' || (d.det_ord % 3) AS class_name FROM (" + FINAL["nms"] + ") n JOIN dense d ON d.page = n.page AND d.det_ord = n.det_ord) x) y",
 }
 

@@ -5,6 +5,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from drafthaus import dims
 from drafthaus.functions import columns as C
 from drafthaus.operators.spatial import components, greedy_match, greedy_nms, range_join
 from drafthaus.plans import catalogue, curation, drawing, oracles
@@ -75,10 +76,105 @@ def test_curation(spark):
 
 
 def test_workbook(spark):
-    rows = spark.createDataFrame([(1, "P-1", "=evil", 2)], "item_no int, tag_id string, description string, quantity int")
-    book = zipfile.ZipFile(io.BytesIO(sinks.workbook(rows, "x", 2)))
-    sheet = book.read("xl/worksheets/sheet1.xml").decode()
-    assert "'=evil" in sheet and 'ref="A5:K6"' in sheet
+    import xml.etree.ElementTree as ET
+
+    schema = "doc_id int, category string, item_no int, tag_id string, description string, size string, specification string, quantity int, confidence double, shaded boolean"
+    rows = drawing.sheet_layout(spark.createDataFrame([(1, "equipment", 1, "P-1", "=evil", "", "", 2, 0.9, False), (1, "equipment", 2, "P-2", "b", "", "", 1, 0.9, True), (1, "valves", 3, "—", "c", "", "", 1, 0.2, False)], schema))
+    assert [(r.sheet_row, r.fill) for r in rows.orderBy("item_no").collect()] == [(7, "none"), (8, "zebra"), (11, "low")]
+    totals = spark.createDataFrame([("valves", 1), ("equipment", 3), ("TOTAL", 4)], "category string, n int")
+    findings = spark.createDataFrame([("R002", "error", "E0001", "=bad")], "rule_id string, severity string, entity_id string, message string")
+    book = zipfile.ZipFile(io.BytesIO(sinks.workbook(rows, "x", 4, totals, findings, {"errors": 1}, "# Title\n=x", degraded=True)))
+    sheets = [book.read(f"xl/worksheets/sheet{i}.xml").decode() for i in (1, 2, 3)]
+    for name in book.namelist():
+        ET.fromstring(book.read(name))
+    assert "'=evil" in sheets[0] and 'ref="A5:K11"' in sheets[0] and "Equipment (3 items)" in sheets[0] and sheets[0].index("EQUIPMENT") < sheets[0].index("VALVES") < sheets[0].index("TOTAL")
+    assert "'=bad" in sheets[1] and "R002" in sheets[1] and "did not run" in sheets[2] and "'=x" in sheets[2]
+    one = spark.createDataFrame([(1, "P-1", "=evil", 2)], "item_no int, tag_id string, description string, quantity int")
+    assert 'ref="A5:K6"' in zipfile.ZipFile(io.BytesIO(sinks.workbook(one, "x", 2))).read("xl/worksheets/sheet1.xml").decode()
+
+
+def test_lookup_values():
+    assert oracles._VALUES["keywords"] == [[c, w] for c, ws in dims.KEYWORDS.items() for w in ws]
+    for name, value in (("entity_types", dims.ENTITY_TYPES), ("variables", dims.VARIABLES), ("functions", dims.FUNCTIONS), ("equipment_letters", dims.EQUIPMENT_LETTERS), ("services", dims.SERVICES), ("misspelt", dims.MISSPELT)):
+        assert oracles._VALUES[name] == value
+
+
+def test_white_space(spark):
+    df = spark.createDataFrame([("\tP-101\u00a0",), ("\u2003E-1001\r\n",)], "text string")
+    assert [r.tag.tag_type for r in drawing.tags(df).collect()] == ["equipment_tag"] * 2
+    crlf = spark.createDataFrame([(1, "1. Missing tag\r\n- Severity: error\r\n2. Other\r\n")], "id int, text string")
+    assert sorted(r.text for r in curation.report_issues(crlf).collect()) == ["1. Missing tag - Severity: error", "2. Other"]
+
+
+def test_small_expressions(spark):
+    names = spark.createDataFrame([("C:\\x\\a b.pdf",), ("../../etc/passwd",), ("..",), (None,), ("n\nl.png",), ("x" * 200,)], "n string").select(C.upload_name(F.col("n")).alias("n"))
+    assert [r.n for r in names.collect()] == ["a b.pdf", "passwd", "upload", "upload", "n_l.png", "x" * 120]
+    keys = spark.createDataFrame([(None, None), ("k", "k"), ("k", None), ("k", "x"), ("", "x")], "c string, g string").select(C.may_call(F.col("c"), F.col("g")).alias("x"))
+    assert [r.x for r in keys.collect()] == [True, True, False, False, True]
+    nodes = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.6)], "doc_id int, node_ord int, confidence double")
+    scores = spark.createDataFrame([(1, 2, 0.9)], "doc_id int, node_ord int, confidence double")
+    assert sorted(r.confidence for r in drawing.with_confidence(nodes, scores).collect()) == [0.5, 0.9]
+
+
+def test_datasets(spark, tmp_path):
+    pytest.importorskip("yaml")
+    from drafthaus.sources import datasets
+
+    for split, images in (("train", ("a.jpg", "b.png", "note.txt")), ("valid", ())):
+        (tmp_path / split / "images").mkdir(parents=True)
+        (tmp_path / split / "labels").mkdir()
+        for name in images:
+            (tmp_path / split / "images" / name).write_bytes(b"x")
+    (tmp_path / "train" / "labels" / "a.txt").write_text("0 .5 .5 .1 .1\n1 .5 .5 .1\n7 .5 .5 .1 .1\nx .5 .5 .1 .1\n 1  .2 .2 .1 .1 \n")
+    (tmp_path / "data.yaml").write_text("train: ../train/images\nval: /abs/valid\nnames:\n  10: Tank\n  2: Pump\nglyphs: []\n")
+    folder = str(tmp_path)
+    assert datasets.read_class_names(folder) == ["Pump", "Tank"] and datasets.find_split(folder, "valid").endswith("valid") and datasets.find_split(folder, "test") is None
+    config, names = datasets.dataset_config(folder)
+    assert config["train"] == str(tmp_path / "train" / "images") and config["val"] == "/abs/valid" and names == ["Pump", "Tank"]
+    got = {r.image: [x.cid for x in r.rows] for r in datasets.load_split(spark, folder, "train").collect()}
+    assert got == {"a": [0, 1], "b": []} and datasets.load_split(spark, folder, "test").count() == 0
+    (tmp_path / "glyphs.yaml").write_text("glyphs:\n- {cls: Tank, tag: T-1, box: [0, 0, 4, 4]}\n- {cls: Tank, box: [3, 0, 3, 4]}\n")
+    assert [r.tag for r in datasets.load_catalogue(spark, str(tmp_path / "glyphs.yaml")).collect()] == ["T-1"]
+
+
+def test_review(spark):
+    from drafthaus.plans import review
+
+    found = spark.createDataFrame([(1, "R002", "error", "E0001", "Duplicate"), (2, "R005", "info", "E0002", "Orphan")], "doc_id long, rule_id string, severity string, entity_id string, message string")
+    told = {"doc_id": 2, "extraction": "x", "graph": "g", "findings": "f"}
+    none = review.review(spark, told | {"doc_id": 1}, found)
+    assert none.degraded and not none.passed and "**Errors:** 1" in none.report and "no language model" in none.report
+    calls = []
+    answers = iter(["fine", "1. Odd tag | Severity: warning\n2. Other | Severity: info", "the report"])
+    good = review.review(spark, told, found, lambda prompt: calls.append(prompt) or next(answers))
+    assert len(calls) == 3 and not good.degraded and good.passed and len(good.issues) == 2 and good.report == "the report"
+
+    def broken(prompt):
+        raise OSError("offline")
+
+    assert review.review(spark, told, found, broken).reason == "offline"
+
+
+def test_streams(spark, tmp_path):
+    from drafthaus.streaming import jobs
+
+    rows = [(1, "queued", "2024-01-01 00:10:00"), (1, "queued", "2024-01-01 00:10:00"), (2, "done", "2024-01-01 00:50:00"), (3, "done", "2024-01-01 01:10:00")]
+    spark.createDataFrame(rows, "id long, status string, created_at string").withColumn("created_at", F.to_timestamp("created_at")).coalesce(1).write.parquet(str(tmp_path / "jobs"))
+
+    def run(make, name, mode="append"):
+        source = spark.readStream.schema("id long, status string, created_at timestamp").parquet(str(tmp_path / "jobs"))
+        query = make(source).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        return spark.table(name).collect()
+
+    assert sorted(r.id for r in run(jobs.once, "once")) == [1, 2, 3]
+    counts = {(r.window.start.hour, r.status): r.n for r in run(jobs.job_counts, "counts", "complete")}
+    assert sorted(counts.values()) == [1, 1, 2]
+    spark.createDataFrame([("P-101",), ("Methanol",)], "text string").write.parquet(str(tmp_path / "texts"))
+    texts = jobs.tagged_stream(spark.readStream.schema("text string").parquet(str(tmp_path / "texts")))
+    query = texts.writeStream.format("memory").queryName("tagged").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert {r.tag.tag_type for r in spark.table("tagged").collect()} == {"equipment_tag", "description"}
 
 
 @pytest.mark.parametrize("name", sorted(oracles.sql()))
@@ -108,8 +204,9 @@ def test_merge_all_tiles(spark):
 
     want, far = set(), 0
     for t in drawing.tile_grid(views(spark, SF)["sheets"]).collect():
-        for i in range(4):
-            x1, x2 = (min(max(t.x + x, 0.0), t.width) for x in (i * 433.0 - 3, i * 433.0 + 60))
+        for i in range(8):
+            left = i * 433.0 - 3 if i < 4 else i * 3.0 - 11
+            x1, x2 = (min(max(t.x + x, 0.0), t.width) for x in (left, left + 63))
             y1, y2 = (min(max(t.y + y, 0.0), t.height) for y in (i * 217.0, i * 217.0 + 40))
             sliced = (t.cut_left and x1 - t.x <= 6.0) or (t.cut_top and y1 - t.y <= 6.0) or (t.cut_right and t.x + t.tile_width - x2 <= 6.0) or (t.cut_bottom and t.y + t.tile_height - y2 <= 6.0)
             if x2 > x1 and y2 > y1 and not sliced:
