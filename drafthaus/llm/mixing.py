@@ -47,40 +47,41 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most
     return numbered.select("source", "source_size", F.when(over, F.col("source_size") * F.lit(most)).otherwise(F.col("weight") * F.lit(level)).alias("target"))
 
 
-def _pivotal(chance: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, int, float]:
-    """Pairs each unit with the one that is still open.  Returns which were taken, and the open one with its chance."""
+def _pivotal(chance: np.ndarray, size: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, int, float]:
+    """Pairs each unit with the one that is still open: words move from one to the other, at random to either side, until
+    one is taken or out.  The odds keep each unit's chance on average, and the words (chance * size) stay the same in
+    every pair.  Returns which were taken, and the open one with its chance."""
     taken = np.zeros(len(chance), np.int8)
-    held, p = -1, 0.0
-    for i, q in enumerate(chance.tolist()):
+    held, p, a = -1, 0.0, 1
+    for i, (q, b) in enumerate(zip(chance.tolist(), np.maximum(size, 1).tolist())):
         if q <= 0.0 or q >= 1.0:
             taken[i] = q >= 1.0
             continue
         if held < 0:
-            held, p = i, q
+            held, p, a = i, q, b
             continue
-        both, u = p + q, draw[i]
-        if both < 1.0:  # one goes out
-            if u * both >= p:
-                held = i
-            p = both
-        else:  # one comes in
-            if u * (2.0 - both) < 1.0 - q:
-                taken[held] = 1
-                held = i
-            else:
-                taken[i] = 1
-            p = both - 1.0
-            if p <= 1e-12:
-                held, p = -1, 0.0
+        gains, loses = min((1.0 - p) * a, q * b), min(p * a, (1.0 - q) * b)  # words that the held unit can get or give
+        if draw[i] * (gains + loses) < loses:
+            full, empty = gains == (1.0 - p) * a, gains == q * b
+            p, q = p + gains / a, q - gains / b
+        else:
+            full, empty = loses == p * a, loses == (1.0 - q) * b
+            p, q = p - loses / a, q + loses / b
+        if full:
+            taken[held] = p > 0.5
+        if empty:
+            taken[i] = q > 0.5
+        if full:
+            held, p, a = (-1, 0.0, 1) if empty else (i, q, b)
     return taken, held, p
 
 
 def _duels(seed: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        # by size from above, so that units of like size meet and a small one is left over
+        # by size from above: what is left open of a large unit is settled by all smaller ones
         rows = rows.sort_values(["size", "row"], ascending=[False, True], kind="stable").reset_index(drop=True)
         draw = np.random.default_rng([seed, int(rows["part"].iat[0]) + 1, len(rows), int(rows["row"].iat[0]) & 0x7FFFFFFF]).random(len(rows))
-        taken, held, p = _pivotal(rows["chance"].to_numpy(), draw)
+        taken, held, p = _pivotal(rows["chance"].to_numpy(), rows["size"].to_numpy(), draw)
         out = rows[["source", "row", "size"]].assign(part=rows["part"], level=rows["level"] + 1, chance=taken.astype(float))
         if held >= 0:
             out.loc[held, "chance"] = p
@@ -94,8 +95,8 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: fl
 
     Returns one row per row of docs: id_col, source, text_key (a hash of the text), size (words of the text), source_size,
     target (its source's, a double) and copies (0, 1, .. ceil(most)).  target / source_size copies are due of each document: the whole part
-    is taken, the fraction is rounded by pivotal sampling: two open documents meet, chance moves from one to the
-    other until one is taken or out.  A source's documents are dealt into parts, and what is left open in each part
+    is taken, the fraction is rounded by pivotal sampling: two open documents meet, words move from one to the other
+    until one is taken or out, so only the last open document keeps a source from its target.  A source's documents are dealt into parts, and what is left open in each part
     (one document) goes through a reduction tree, so no task holds a source.  Draws depend on seed and ids alone.
 
     A null text has size 0; texts of size 0 are taken as any others (they add no words).  A null source is a source,
@@ -126,9 +127,8 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: fl
             break
         parts, level = (parts + FAN - 1) // FAN, level + 1
         open_ = left.withColumn("part", F.pmod(F.xxhash64("row", F.lit(seed + level)), F.lit(parts)))
-    # the last open document of each source
-    draw = F.pmod(F.xxhash64("row", F.lit(seed), F.lit("last")), F.lit(1 << 30)) / (1 << 30)
-    closed.append(left.withColumn("chance", F.when(draw < F.col("chance"), 1.0).otherwise(0.0)))
+    # the last open document of each source goes to the nearer side
+    closed.append(left.withColumn("chance", F.when(F.col("chance") >= 0.5, 1.0).otherwise(0.0)))
     rounded = closed[0]
     for x in closed[1:]:
         rounded = rounded.unionByName(x)

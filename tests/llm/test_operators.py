@@ -368,7 +368,7 @@ def test_mixing(spark):
     assert dict(zip(a.doc_id, a.copies)) == dict(zip(b.doc_id, b.copies))
     a["taken"] = a.copies * a["size"]
     per = a.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), size=("source_size", "first"))
-    assert (abs(per.taken - per.target) <= 0.03 * per.target).all() and (a.copies <= 2).all() and (per.target <= 2 * per["size"] + 1e-6).all()
+    assert (abs(per.taken - per.target) <= 0.01 * per.target).all() and (a.copies <= 2).all() and (per.target <= 2 * per["size"] + 1e-6).all()
     assert abs(per.target.sum() - 1.5 * a["size"].sum()) < 1
     odd = mixing.mix_sources(odd_docs(spark)).collect()
     assert len(odd) == len(ODD) and {r.source for r in odd} == {None, "s"}
@@ -404,7 +404,7 @@ def test_mixing_targets_brute_force(spark):
         s = source[r.doc_id]
         assert r.size == n[r.doc_id] and r.source_size == size[s] and abs(r.target - want[s]) < 1e-6 * want[s] + 1e-9 and r.taken <= 2 * r.size
         taken[s] += r.taken
-    assert all(abs(taken[s] - want[s]) <= 0.1 * want[s] for s in order)  # whole copies of some 50 documents a source
+    assert all(abs(taken[s] - want[s]) <= 0.1 * want[s] for s in order)  # whole copies of some 50 documents a source, one of them large
 
 
 def test_top_k(spark):
