@@ -24,8 +24,8 @@ from .common import in_batches
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Cuts up to this length are kept, so many at a time (about 40 MB, as much again for the pairs).
-KEPT_CHARS, KEPT, PAIRS = 48, 100_000, 400_000
+#: Cuts up to this length are kept, so many at a time (about 120 MB, half of it again for the pairs), until a task ends.
+KEPT_CHARS, KEPT, PAIRS = 48, 400_000, 600_000
 
 
 class _Kept(dict):
@@ -62,6 +62,7 @@ class PieceBPE:
         self.dummy = spec.add_dummy_prefix
         self.pieces = [p.piece for p in model.pieces]
         self.kind = [p.type for p in model.pieces]
+        self.names = [str(i) for i in range(len(self.pieces))]
         normal = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
         if any(SPACE in p.lstrip(SPACE) for p in normal):
             raise ValueError("pieces with a space inside")
@@ -173,12 +174,11 @@ class PieceBPE:
 
     def entry(self, cut: str) -> tuple[str, int, str]:
         """(ids joined by commas, their number, the text decoded from them) of a cut."""
-        ids = self._segment(cut)
-        pieces = self.pieces
-        plain = "".join([pieces[i] for i in ids if self.kind[i] == NORMAL]).replace(SPACE, " ")
-        if len(plain) != len(cut):  # there are byte pieces
-            plain = self._surface(ids)
-        return ",".join([str(i) for i in ids]), len(ids), plain
+        if self.unknown.search(cut):
+            ids = self._segment(cut)
+            return ",".join([str(i) for i in ids]), len(ids), self._surface(ids)
+        ids, pieces, names = self._known(cut), self.pieces, self.names
+        return ",".join([names[i] for i in ids]), len(ids), "".join([pieces[i] for i in ids]).replace(SPACE, " ")
 
     def _surface(self, ids) -> str:
         """Text of ids, with the spaces; bytes that aren't UTF-8 become U+FFFD."""
@@ -284,6 +284,7 @@ def sentencepiece_round_trip(docs: DataFrame, model: str, outputs=("ids", "decod
                         out.append(make[o](*found))
                 kept = [batch.column(i).slice(first, ROWS) for i in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays(kept + [pa.array(c, _TYPES[o][1]) for o, c in zip(wanted, columns)], names=names)
+        bpe.kept.clear()  # the worker goes on to other tasks
 
     source = in_batches(docs).select(*[F.col(c) for c in keep], F.col(text_col).alias("_text"))
     schema = source.drop("_text").schema
