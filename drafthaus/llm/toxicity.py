@@ -74,7 +74,9 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, used: n
     """rows: features (of those in used) of each document; positive: which are confirmed, the others are unlabelled.
 
     Minimises prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]) with the logistic loss; when the second part
-    of a batch is under 0, the step goes against it instead.  The weights of the used features begin at start.
+    of a batch is under 0, the step goes against it instead.  The weights of the used features begin at start.  In the
+    end the bias is set so that the share of unlabelled documents over 0.5 is the prior; a document without any of the
+    features stays under 0.27.
     """
     size = 1 << BITS
     weights = np.zeros(size)
@@ -118,6 +120,10 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, used: n
             c1, c2 = 1 - 0.9**t, 1 - 0.999**t
             w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-8)
             b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
+    # as many unlabelled documents are to be over 0.5 as the prior says, if they have evidence of some weight at all
+    n = np.array([len(rows[i]) for i in unl])
+    z = b + np.bincount(np.repeat(np.arange(len(unl)), n), weights=w[np.concatenate([rows[i] for i in unl])], minlength=len(unl))
+    b -= max(float(np.quantile(z, 1 - prior)), b + 1.0)
     weights[used] = w
     return Model(weights, b)
 
