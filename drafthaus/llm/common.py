@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -84,6 +85,15 @@ def in_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Returns to the system what a task has freed, as Spark keeps its Python workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores in front as it takes to be no column of df."""
     taken, out = {c.lower() for c in df.columns}, []

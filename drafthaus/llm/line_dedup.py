@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free, in_batches, small, written
+from .common import free, give_back, in_batches, small, written
 
 #: Where a unit ends, by its kind.  Each pattern reads a text once, whatever stands in it.
 ENDS = {
@@ -63,6 +63,8 @@ def _units(kind: str):
                     held, count = [], 0
         if held:
             yield sent()
+        held.clear()
+        give_back()
 
     return run
 

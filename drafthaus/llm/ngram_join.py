@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, connected_components, free, in_batches, mixed, shingles, small, written
+from .common import chunks, connected_components, free, give_back, in_batches, mixed, shingles, small, written
 
 #: Rows of ids that may be broadcast (16 bytes each); beyond that the texts are shuffled to them.
 BROADCAST_ROWS = 4_000_000
@@ -77,6 +77,7 @@ def _sets(words: int, percent: int | None = None):
                 low = (value >> np.uint64(32)) < _limit(size * percent // 100, percent)[text]
                 limit = pa.array(_limit(size, percent).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), batch.column(1).slice(first, rows), pa.array(size, pa.int64()), digest, limit, _lists(text[low], value[low], rows)], names=["doc_id", "key", "n", "d", "lim", "hs"])
+        give_back()
 
     return run
 

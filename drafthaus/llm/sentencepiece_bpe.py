@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches
+from .common import give_back, in_batches
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Cuts up to this length are kept, so many at a time (about 120 MB, half of it again for the pairs), until a task ends.
-KEPT_CHARS, KEPT, PAIRS = 48, 400_000, 600_000
+#: Cuts up to this length are kept, so many at a time (about 60 MB, half of it again for the pairs), until a task ends.
+KEPT_CHARS, KEPT, PAIRS = 48, 200_000, 300_000
 
 
 class _Kept(dict):
@@ -285,6 +285,7 @@ def sentencepiece_round_trip(docs: DataFrame, model: str, outputs=("ids", "decod
                 kept = [batch.column(i).slice(first, ROWS) for i in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays(kept + [pa.array(c, _TYPES[o][1]) for o, c in zip(wanted, columns)], names=names)
         bpe.kept.clear()  # the worker goes on to other tasks
+        give_back()
 
     source = in_batches(docs).select(*[F.col(c) for c in keep], F.col(text_col).alias("_text"))
     schema = source.drop("_text").schema

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, BYTE_LOWER, CHUNK, Words, chunks, in_batches, mixed, pieces, written
+from .common import BYTE, BYTE_LOWER, CHUNK, Words, chunks, give_back, in_batches, mixed, pieces, written
 
 #: Features are hashed to so many bits.
 BITS = 20
@@ -142,6 +142,7 @@ def _counts(among: np.ndarray | None):
             counts[~among] = 0
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(counts[found])], names=["feature", "docs"])
+        give_back()
 
     return run
 
