@@ -36,7 +36,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and a digest of the text that they decode to."""
-    return sentencepiece_round_trip(docs, tokenizer_path(), outputs=("n_tokens", "ids", "decoded_sha256"), keep=("doc_id", "lang", "source"))
+    return sentencepiece_round_trip(docs, tokenizer_path(), outputs=("n_tokens", "ids", "decoded_sha256"), keep=("doc_id", "lang", "source"), cache=100_000)  # the workers' memory adds to that of four stages before
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("substrings", substrings), ("mixing", mixing), ("tokens", tokens)]

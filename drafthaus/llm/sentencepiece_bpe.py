@@ -24,7 +24,7 @@ from .common import give_back, in_batches
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Cuts up to this length are kept, so many at a time (about 120 MB, half of it again for the pairs), until a task ends.
+#: Cuts up to this length are kept, so many at a time (about 300 bytes each), until a task ends; and pairs of tokens.
 KEPT_CHARS, KEPT, PAIRS = 48, 400_000, 600_000
 
 
@@ -33,15 +33,15 @@ class _Kept(dict):
 
     def __init__(self, bpe):
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.most = bpe, KEPT
 
     def __missing__(self, cut: str):
+        if len(self.bpe.pairs) > PAIRS:
+            self.bpe.pairs.clear()
         found = self.bpe.entry(cut)
         if len(cut) <= KEPT_CHARS:
-            if len(self) >= KEPT:
+            if len(self) >= self.most:
                 self.clear()
-                if len(self.bpe.pairs) > PAIRS:
-                    self.bpe.pairs.clear()
             self[cut] = found
         return found
 
@@ -251,7 +251,7 @@ _TYPES = {"ids": ("array<int>", pa.list_(pa.int32())), "n_tokens": ("long", pa.i
 ROWS = 200
 
 
-def sentencepiece_round_trip(docs: DataFrame, model: str, outputs=("ids", "decoded"), keep=("doc_id",), text_col: str = "text") -> DataFrame:
+def sentencepiece_round_trip(docs: DataFrame, model: str, outputs=("ids", "decoded"), keep=("doc_id",), text_col: str = "text", cache: int = KEPT) -> DataFrame:
     """Encodes each text with the model file at the path (read on the driver) and decodes the ids again.
 
     Returns one row per row of docs: the columns of docs named in keep and the outputs, of: ids, n_tokens, decoded,
@@ -259,7 +259,8 @@ def sentencepiece_round_trip(docs: DataFrame, model: str, outputs=("ids", "decod
 
     A null or empty text has no ids and decodes to ''.  The decoded text is the text itself, but that the space mark
     U+2581 becomes a space.  Null ids are kept, repeated rows come back as often, other columns aren't read; a kept
-    column with the name of an output raises ValueError.  An empty table gives no rows.
+    column with the name of an output raises ValueError.  An empty table gives no rows.  cache: encodings of short cuts
+    that a task keeps, which costs memory and saves time; results don't depend on it.
     """
     wanted = list(outputs)
     if set(wanted) & set(keep) or set(wanted) - set(_TYPES):
@@ -275,6 +276,7 @@ def sentencepiece_round_trip(docs: DataFrame, model: str, outputs=("ids", "decod
 
     def run(batches):
         bpe = load(shared.value)
+        bpe.kept.most = cache
         for batch in batches:
             for first in range(0, batch.num_rows, ROWS):
                 columns: list[list] = [[] for _ in wanted]
@@ -285,6 +287,7 @@ def sentencepiece_round_trip(docs: DataFrame, model: str, outputs=("ids", "decod
                 kept = [batch.column(i).slice(first, ROWS) for i in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays(kept + [pa.array(c, _TYPES[o][1]) for o, c in zip(wanted, columns)], names=names)
         bpe.kept.clear()  # the worker goes on to other tasks
+        bpe.pairs.clear()
         give_back()
 
     source = in_batches(docs).select(*[F.col(c) for c in keep], F.col(text_col).alias("_text"))
