@@ -12,6 +12,7 @@ from ..operators.lineage import cut
 from ..operators.spatial import sequential_reject
 from ..sources import sinks
 from ..sources.bridge import CLASSES, views
+from ..streaming import jobs
 from . import curation as K
 from . import drawing as D
 
@@ -111,6 +112,18 @@ def _ranked(v, spark):
     return K.ranked_classes(m, _classes(spark, OLD_CLASSES), 3).withColumn("rank", F.col("rank").cast("long"))
 
 
+def _moved(v):
+    """The boxes as truth, and as found with up to 12 px between."""
+    by = (F.col("det_ord") % 7) * 2
+    found = v["dense"].withColumns({"x1": F.col("x1") + by, "x2": F.col("x2") + by})
+    return v["dense"].withColumnRenamed("det_ord", "truth_ord"), found
+
+
+def _scores(v, spark):
+    truth, found = _moved(v)
+    return K.detection_scores(truth, found, K.box_matches(truth, found, D.PAGE), D.PAGE)
+
+
 def _nms_order(v, spark):
     d = v["dense"].withColumn("class_name", F.concat(F.lit("c"), (F.col("det_ord") % 3).cast("string")))
     return D.class_order(D.suppress(d)).select("doc_id", "page", "det_ord", F.col("place").cast("long").alias("place"))
@@ -203,6 +216,9 @@ QUERIES = {
     "graph_view": _q(lambda v, s: sinks.graph_view(_entities(v))),
     "graph_json": _q(lambda v, s: sinks.graph_json(*_graph(v))),
     "nms_order": _q(_nms_order),
+    "box_matches": _q(lambda v, s: K.box_matches(*_moved(v), D.PAGE).select("doc_id", "page", "truth_ord", "det_ord", F.round("iou", 9).alias("iou"))),
+    "detection_scores": _q(_scores),
+    "job_windows": _q(lambda v, s: jobs.job_counts(v["jobs"]).select(F.col("window.start").alias("since"), "status", "n")),
     "mto_layout": _q(lambda v, s: D.sheet_layout(D.numbered(D.mto_rows(_entities(v)))).select("doc_id", F.col("item_no").cast("long").alias("item_no"), F.col("sheet_row").cast("long").alias("sheet_row"), "fill")),
     "yolo_lines": _q(lambda v, s: sinks.yolo_lines(v["symbols"].select(F.col("page").alias("image"), F.col("det_ord").alias("ord"), F.lit(7).alias("cid"), "x1", "y1", "x2", "y2"), F.lit(2048.0), F.lit(1024.0))),
 }

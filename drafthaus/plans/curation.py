@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.columns import ISSUE, is_error, lookup, strip
+from ..functions.columns import ISSUE, iou, is_error, lookup, strip
 from ..operators.lineage import listed
+from ..operators.spatial import greedy_match
 
 
 def dedup_content(images: DataFrame, splits=("train", "valid", "test")) -> DataFrame:
@@ -85,6 +86,34 @@ def f1(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("f1", F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)))
 
 
+def box_matches(truth: DataFrame, found: DataFrame, keys, threshold: float = 0.5, cell: float = 256.0) -> DataFrame:
+    """keys, truth_ord, det_ord, iou: which found box is which true one; the best overlaps first (ties by truth_ord, det_ord),
+    each box once.
+
+    truth has truth_ord, found det_ord, both x1, y1, x2, y2.  From an IoU of 0.5 on, the centre of one box lies in the
+    other, so a true box is given to the cells that it covers, a found one to that of its centre, and a pair meets once.
+    Boxes without area or with a null match nothing; an empty table gives no rows.
+    """
+    if not 0.5 <= threshold <= 1:
+        raise ValueError("threshold: 0.5 to 1")
+    at = lambda x: F.floor(x / cell)
+    box = F.struct("x1", "y1", "x2", "y2")
+    whole = F.col("x1").isNotNull() & F.col("y1").isNotNull() & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
+    left = truth.where(whole).select(*keys, "truth_ord", box.alias("t"), F.explode(F.sequence(at(F.col("x1")), at(F.col("x2")))).alias("cx"))
+    left = left.select("*", F.explode(F.sequence(at(F.col("t.y1")), at(F.col("t.y2")))).alias("cy"))
+    right = found.where(whole).select(*keys, "det_ord", box.alias("d"), at((F.col("x1") + F.col("x2")) / 2).alias("cx"), at((F.col("y1") + F.col("y2")) / 2).alias("cy"))
+    pairs = left.join(right, [*keys, "cx", "cy"]).withColumn("iou", iou(F.col("t"), F.col("d"))).where(F.col("iou") >= threshold)
+    return greedy_match(pairs.withColumn("dist", -F.col("iou")), keys, "truth_ord", "det_ord", most=1).select(*keys, "truth_ord", "det_ord", (-F.col("dist")).alias("iou"))
+
+
+def detection_scores(truth: DataFrame, found: DataFrame, matches: DataFrame, keys) -> DataFrame:
+    """keys, truths, found, matched, precision, recall; a share of nothing is 0."""
+    count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    j = count(truth, "truths").join(count(found, "found"), keys, "full").join(count(matches, "matched"), keys, "left").fillna(0, ["truths", "found", "matched"])
+    share = lambda n: F.coalesce(F.try_divide(F.col("matched").cast("double"), F.col(n).cast("double")), F.lit(0.0))
+    return j.select(*keys, "truths", "found", "matched", share("found").alias("precision"), share("truths").alias("recall"))
+
+
 def label_rows(lines: DataFrame, classes: int) -> DataFrame:
     """lines: image, value.  Rows of five tokens whose class is in the list."""
     t = lines.withColumn("t", F.split(strip(F.col("value")), r"\s+")).where(F.size("t") == 5)

@@ -53,6 +53,11 @@ CHAIN = {
     "m1": "SELECT doc_id, page, c, list_reduce(list_transform(c, lambda e: [e]), lambda m, e: CASE WHEN len(list_filter(m, lambda k: k.l = e[1].l OR k.r = e[1].r)) > 0 THEN m ELSE list_concat(m, e) END) AS m1 FROM m0",
     "m2": "SELECT doc_id, page, unnest(list_reduce(list_concat([m1], list_transform(c, lambda e: [e])), lambda m, e: CASE WHEN len(list_filter(m, lambda k: k.r = e[1].r)) > 0 OR len(list_filter(m, lambda k: k.l = e[1].l)) >= 3 THEN m ELSE list_concat(m, e) END)) AS k FROM m1",
     "given": "SELECT doc_id, page, k.l AS det_ord, k.r AS text_ord, k.d AS dist, row_number() OVER (PARTITION BY doc_id, page, k.l ORDER BY k.d, k.r) AS place FROM m2",
+    "moved": "SELECT doc_id, page, det_ord, x1 + (det_ord % 7) * 2 AS x1, y1, x2 + (det_ord % 7) * 2 AS x2, y2 FROM dense",
+    "meeting": """SELECT doc_id, page, l, r, CAST(both_ AS DOUBLE) / (whole - both_) AS v FROM (SELECT a.doc_id, a.page, a.det_ord AS l, b.det_ord AS r, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS whole,
+        greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS both_ FROM dense a JOIN moved b ON a.doc_id = b.doc_id AND a.page = b.page) p WHERE both_ > 0 AND both_ >= 0.5 * (whole - both_)""",
+    "matched": """SELECT doc_id, page, k.l AS l, k.r AS r, k.v AS v FROM (SELECT doc_id, page, unnest(list_reduce(list_transform(c, lambda e: [e]), lambda m, e: CASE WHEN len(list_filter(m, lambda k: k.l = e[1].l OR k.r = e[1].r)) > 0 THEN m ELSE list_concat(m, e) END)) AS k
+        FROM (SELECT doc_id, page, list({'l': l, 'r': r, 'v': v} ORDER BY v DESC, l, r) AS c FROM meeting GROUP BY doc_id, page) a) b""",
     "labels": "SELECT g.*, t.confidence AS ocr, t.tag_type, t.tag_id, t.parsed_description, t.pipe_size, t.pipe_spec FROM given g JOIN tags t ON g.page = t.page AND g.text_ord = t.text_ord",
     "per": """SELECT page, det_ord, count(*) AS texts, avg(ocr) AS ocr, arg_min(tag_type, place) FILTER (WHERE tag_type IN ('instrument_tag', 'equipment_tag')) AS tag_type, arg_min(tag_id, place) FILTER (WHERE tag_type IN ('instrument_tag', 'equipment_tag')) AS tag_id,
         arg_min(parsed_description, place) FILTER (WHERE tag_type IN ('instrument_tag', 'equipment_tag')) AS description, arg_min(pipe_size, place) FILTER (WHERE tag_type = 'pipe_size') AS size, arg_min(pipe_spec, place) FILTER (WHERE tag_type = 'specification') AS specification FROM labels GROUP BY page, det_ord""",
@@ -200,6 +205,9 @@ FINAL |= {
     "graph_view": f"SELECT doc_id, {_ID} AS entity_id, coalesce(tag_id, description) AS label, CASE category WHEN 'equipment' THEN '#FF4444' WHEN 'valves' THEN '#44AA44' WHEN 'instruments' THEN '#FF9900' WHEN 'piping' THEN '#4488FF' ELSE '#888888' END AS colour FROM ents",
     "mto_layout": f"SELECT doc_id, item_no, item_no + 6 + 2 * (dense_rank() OVER (PARTITION BY doc_id ORDER BY c) - 1) AS sheet_row, CASE WHEN confidence < 0.6 THEN 'low' WHEN k % 2 = 0 THEN 'zebra' ELSE 'none' END AS fill FROM (SELECT *, list_position({dims.CATEGORY_ORDER}, category) AS c, row_number() OVER (PARTITION BY doc_id ORDER BY list_position({dims.CATEGORY_ORDER}, category), description NULLS FIRST, tag_id, size, specification) AS item_no, row_number() OVER (PARTITION BY doc_id, category ORDER BY description NULLS FIRST, tag_id, size, specification) AS k FROM ({FINAL['mto_rows']}) r) x",
     "yolo_lines": "SELECT page AS image, string_agg(format('7 {:.6f} {:.6f} {:.6f} {:.6f}', (x1 + x2) / 4096, (y1 + y2) / 2048, (x2 - x1) / 2048, (y2 - y1) / 1024), chr(10) ORDER BY det_ord) AS text FROM symbols GROUP BY 1",
+    "box_matches": "SELECT doc_id, page, l AS truth_ord, r AS det_ord, round(v, 9) AS iou FROM matched",
+    "detection_scores": "SELECT d.doc_id, d.page, d.n AS truths, d.n AS found, coalesce(m.n, 0) AS matched, coalesce(m.n, 0) / d.n AS precision, coalesce(m.n, 0) / d.n AS recall FROM (SELECT doc_id, page, count(*) AS n FROM dense GROUP BY doc_id, page) d LEFT JOIN (SELECT doc_id, page, count(*) AS n FROM matched GROUP BY doc_id, page) m ON d.doc_id = m.doc_id AND d.page = m.page",
+    "job_windows": "SELECT date_trunc('hour', created_at) AS since, status, count(*) AS n FROM jobs WHERE created_at IS NOT NULL GROUP BY ALL",
     "nms_order": "SELECT doc_id, page, det_ord, row_number() OVER (PARTITION BY doc_id, page ORDER BY confidence DESC, f, rank) AS place FROM (SELECT *, min(rank) OVER (PARTITION BY doc_id, page, class_name) AS f FROM (SELECT n.*, d.confidence, 'c' || (d.det_ord % 3) AS class_name FROM (" + FINAL["nms"] + ") n JOIN dense d ON d.page = n.page AND d.det_ord = n.det_ord) x) y",
 }
 

@@ -244,3 +244,37 @@ def test_partitions_dont_matter(spark):
     a = drawing.mto_rows(drawing.entities(v["symbols"], v["texts"]))
     b = drawing.mto_rows(drawing.entities(v["symbols"].repartition(5, F.rand(1)), v["texts"].repartition(3, F.rand(2))))
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_box_matches(spark):
+    import random
+
+    rng = random.Random(3)
+    box = lambda x, y: (float(x), float(y), float(x + rng.choice((20, 40, 300))), float(y + rng.choice((20, 40, 300))))
+    truth = [(p, i, *box(rng.randrange(-300, 600), rng.randrange(600))) for p in range(6) for i in range(25)]
+    moved = lambda b: (b[0] + rng.choice((0, 7, 10, 20)), b[1] + rng.choice((0, 0, 13)), b[2] + rng.choice((0, 20)), b[3])
+    found = [(p, i, *moved(b)) for p, i, *b in truth] + [(p, 30 + i, *box(rng.randrange(600), rng.randrange(600))) for p in range(7) for i in range(5)]
+    odd = [(0, 90, None, 1.0, 2.0, 3.0), (0, 91, 5.0, 5.0, 5.0, 9.0)]
+    frame = lambda rows, o: spark.createDataFrame(rows, f"page int, {o} int, x1 double, y1 double, x2 double, y2 double")
+    t, d = frame(truth + odd, "truth_ord"), frame(found + odd, "det_ord")
+
+    def share(a, b):
+        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+        both = w * h if w > 0 and h > 0 else 0.0
+        return both / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both)
+
+    pairs = sorted((-share(a, b), p, i, j) for p, i, *a in truth for q, j, *b in found if p == q and share(a, b) >= 0.5)
+    assert any(v == -0.5 for v, *_ in pairs)  # right at the limit
+    want, lefts, rights = set(), set(), set()
+    for _, p, i, j in pairs:
+        if (p, i) not in lefts and (p, j) not in rights:
+            want.add((p, i, j))
+            lefts.add((p, i))
+            rights.add((p, j))
+    matches = curation.box_matches(t, d, ["page"])
+    assert {(r.page, r.truth_ord, r.det_ord) for r in matches.collect()} == want
+    scores = {r.page: r for r in curation.detection_scores(t, d, matches, ["page"]).collect()}
+    assert (scores[6].truths, scores[6].found, scores[6].matched, scores[6].precision, scores[6].recall) == (0, 5, 0, 0.0, 0.0)
+    assert curation.box_matches(t.limit(0), d, ["page"]).count() == 0
+    with pytest.raises(ValueError):
+        curation.box_matches(t, d, ["page"], 0.4)
