@@ -172,9 +172,10 @@ def ranked_classes(metrics: DataFrame, names: DataFrame, n: int = 15) -> DataFra
 def prompt_summary(e: DataFrame, n: int = 10) -> DataFrame:
     """The entities of a document as text for a prompt: types in order of first occurrence, n lines each."""
     first = first_per_type(e, n).withColumn("begun", F.min("node_ord").over(Window.partitionBy("doc_id", "entity_type")))
-    line = F.format_string("  - %s: %s (confidence: %.2f)", F.coalesce("tag_id", F.lit("None")), "description", "confidence")
+    score = F.format_number("confidence", 2)  # half-even on the binary value
+    line = F.format_string("  - %s: %s (confidence: %s)", F.coalesce("tag_id", F.lit("None")), "description", score)
     kept = first.groupBy("doc_id", "entity_type", "begun", "more").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("l")))), lambda x: x["l"]), "\n").alias("lines"), F.count("*").alias("n"))
-    head = F.format_string("\n### %s (%d items)\n", F.initcap(F.replace("entity_type", F.lit("_"), F.lit("_"))), F.col("n") + F.col("more"))
+    head = F.format_string("\n### %s (%d items)\n", F.replace(F.initcap(F.replace("entity_type", F.lit("_"), F.lit(" "))), F.lit(" "), F.lit("_")), F.col("n") + F.col("more"))
     tail = F.when(F.col("more") > 0, F.format_string("\n  ... and %d more", "more")).otherwise("")
     part = F.struct("begun", F.concat(head, "lines", tail).alias("t"))
     return kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n").alias("text"))

@@ -195,6 +195,9 @@ FINAL |= {
     "node_loops": "SELECT doc_id, node_ord, 'LOOP-' || arg_max(loop, begun * 1000000 + loop::BIGINT) AS instrument_loop FROM (SELECT *, min(node_ord) OVER (PARTITION BY doc_id, loop) AS begun FROM loops) l GROUP BY 1, 2",
     "highlighted_nodes": "SELECT DISTINCT doc_id, node FROM (SELECT doc_id, src AS node FROM graph WHERE connection_type = 'signal' UNION ALL SELECT doc_id, dst FROM graph WHERE connection_type = 'signal') g",
     "fallback_report": "SELECT d.doc_id, coalesce(f.errors, 0) AS errors, coalesce(f.warnings, 0) AS warnings, coalesce(f.total, 0) AS total, coalesce(f.errors, 0) = 0 AS passed FROM (SELECT DISTINCT doc_id FROM ents) d LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) AS total FROM found GROUP BY 1) f ON f.doc_id = d.doc_id",
+    "prompt_summary": """SELECT doc_id, string_agg(part, chr(10) ORDER BY begun) AS text FROM (SELECT doc_id, min(node_ord) AS begun, chr(10) || '### ' || array_to_string(list_transform(string_split(entity_type, '_'), lambda w: upper(w[1]) || w[2:]), '_') || ' (' || max(c) || ' items)' || chr(10)
+        || string_agg('  - ' || coalesce(tag_id, 'None') || ': ' || coalesce(description, 'null') || ' (confidence: ' || printf('%.2f', confidence) || ')', chr(10) ORDER BY k) || CASE WHEN max(c) > 10 THEN chr(10) || '  ... and ' || (max(c) - 10) || ' more' ELSE '' END AS part
+        FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, entity_type ORDER BY node_ord) AS k, count(*) OVER (PARTITION BY doc_id, entity_type) AS c FROM ents) e WHERE k <= 10 GROUP BY doc_id, entity_type) t GROUP BY doc_id""",
     "prompt_issues": "SELECT doc_id, string_agg(k || '. [' || upper(severity) || '] ' || message, chr(10) ORDER BY k) || CASE WHEN max(c) > 15 THEN chr(10) || '... and ' || (max(c) - 15) || ' more issues' ELSE '' END AS text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rule_id, entity_id, message) AS k, count(*) OVER (PARTITION BY doc_id) AS c FROM found) f WHERE k <= 15 GROUP BY doc_id",
     "ranked_classes": f"SELECT 'worst' AS status, k AS rank, id, name FROM (SELECT m.id, n.name, row_number() OVER (ORDER BY precision, m.id) AS k FROM precisions m LEFT JOIN old_names n ON n.id = m.id) w WHERE k <= 3 UNION ALL SELECT 'best', k, id, name FROM (SELECT m.id, n.name, row_number() OVER (ORDER BY precision DESC, m.id DESC) AS k FROM precisions m LEFT JOIN old_names n ON n.id = m.id) b WHERE k <= 3 UNION ALL SELECT 'zero', NULL, m.id, n.name FROM precisions m LEFT JOIN old_names n ON n.id = m.id WHERE precision = 0 UNION ALL SELECT 'never', NULL, n.id, n.name FROM old_names n ANTI JOIN precisions m ON m.id = n.id",
     "extra_repeat": "SELECT image, rep, 'target' || rep || '_split' || split || '_' || name AS name FROM images, (SELECT unnest(range(3)) AS rep) r",
